@@ -106,7 +106,7 @@ def plan_mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST_COP
     order sampling; the random number is a hash of seed, doc_id and text) and the
     sample is a run of that order whose fixed size, counted in words, is what
     the certain copies leave of the target: the run ends before the document that
-    would exceed it, and one later document fills the rest as well as it can. Which
+    would exceed it, and the later document that fills the rest best joins it. Which
     run that is follows from sums for range partitions; rows are looked at one by
     one in one partition per source only.
 
@@ -132,27 +132,31 @@ def plan_mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST_COP
     parts = rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_words"), F.first("_need").alias("_need"))
     before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("_start", F.coalesce(before, F.lit(0)))
-    ends = parts.filter("_start < _need and _start + _words >= _need")  # at most one partition a source
+    ends = parts.filter("_start < _need and _start + _words >= _need")
     ends = ends.unionByName(_last_part(parts))
-    ends = ends.groupBy(F.col("_source").alias("_of"), F.col("_part").alias("_in")).agg(F.first("_start").alias("_start"))
+    ends = ends.groupBy(F.col("_source").alias("_of")).agg(F.min(F.struct("_part", "_start")).alias("_end"))
+    ends = ends.select("_of", F.col("_end._part").alias("_in"), F.col("_end._start").alias("_start"))
     inside = rows.join(ends, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
     of_source = Window.partitionBy("_source")
     through = F.sum("_size").over(of_source.orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("_through", F.col("_start") + through)
     within = F.col("_through") <= F.col("_need")
     gap = F.col("_need") - F.max(F.when(within, F.col("_through")).otherwise(F.col("_start"))).over(of_source)
-    inside = inside.withColumn("_off", F.abs(gap - F.col("_size"))).withColumn("_gap", gap)
+    inside = inside.withColumn("_gap", gap)
     here = F.struct("_rank", "_id", "_check")
+    gaps = inside.groupBy(F.col("_source").alias("_of")).agg(F.first("_gap").alias("_gap"))
     last = inside.filter(within).groupBy(F.col("_source").alias("_of")).agg(F.max(here).alias("_last"))
-    # of the rows that follow in this partition, the one that fills what is missing best
-    fill = inside.filter(~within & (F.col("_off") < F.col("_gap"))).groupBy(F.col("_source").alias("_of"))
-    fill = fill.agg(F.min_by(here, F.struct("_off", "_row")).alias("_fill"))
     # where the run ends before the first row of its partition, the end of the one before
     earlier = parts.filter("_start + _words < _need").groupBy(F.col("_source").alias("_of")).agg(F.max("_part").alias("_in"))
     closing = rows.join(earlier, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
     closing = closing.groupBy("_of").agg(F.max(F.struct("_rank", "_id", "_check")).alias("_last"))
-    last = last.unionByName(closing).groupBy("_of").agg(F.max("_last").alias("_last"))
-    ended = sources.join(last, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
+    last = last.unionByName(closing).groupBy(F.col("_of").alias("_ended")).agg(F.max("_last").alias("_last"))
+    last = cut(gaps.join(last, F.col("_of").eqNullSafe(F.col("_ended")), "left").drop("_ended"))
+    # of all rows after the run, the one that fills what is missing best
+    rest = rows.join(last, F.col("_source").eqNullSafe(F.col("_of"))).filter(F.col("_last").isNull() | (here > F.col("_last")))
+    off = F.abs(F.col("_gap") - F.col("_size"))
+    fill = rest.filter(off < F.col("_gap")).groupBy(F.col("_source").alias("_of")).agg(F.min_by(here, F.struct(off, here)).alias("_fill"))
+    ended = sources.join(last.drop("_gap"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     ended = ended.join(fill, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     return Mix(cut(ended), seed)
 
