@@ -1 +1 @@
-
+"""Column functions and NumPy kernels."""

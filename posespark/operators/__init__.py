@@ -1 +1 @@
-
+"""DataFrame operators on pose time series."""

@@ -1 +1 @@
-
+"""Readers, generators and exporters."""
