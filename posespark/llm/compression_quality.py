@@ -16,8 +16,10 @@ from .common import utf8
 #: Labelled texts of each class that the model is fitted on at most, by least hash of doc_id,
 #: and the bytes above which a text is not chosen (so the driver holds 2 * 1,500 * 16 kB at most).
 MOST_TEXTS, MOST_BYTES = 1_500, 16_384
-#: Bytes of each dictionary, and the compression level.
-DICT_BYTES, LEVEL = 65_536, 3
+#: Bytes of each dictionary, the compression level, and the bytes of a block: a text is
+#: compressed in blocks, so that the dictionary and not the text's own past is what a
+#: block is like. Chosen on the two folds that are learned from (one against the other).
+DICT_BYTES, LEVEL, BLOCK = 16_384, 3, 1024
 #: Share of the fitted texts that calibrate the score and stay out of the dictionaries.
 CALIBRATION = 3
 
@@ -51,10 +53,16 @@ class _Sizes:
         """(bytes with the bad dictionary - bytes with the good one) / their sum; 0 without text."""
         if not text:
             return 0.0
-        good, bad = (len(f.compress(text)) for f in self.frames)
+        parts = blocks(text)
+        good, bad = (sum(len(f.compress(part)) for part in parts) for f in self.frames)
         return (bad - good) / (bad + good)
 
 
+def blocks(text: bytes) -> list[bytes]:
+    """The whole text in pieces of BLOCK bytes."""
+    return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+
+
 def _prepared(data: bytes) -> zstandard.ZstdCompressionDict:
     out = zstandard.ZstdCompressionDict(data)
     out.precompute_compress(level=LEVEL)
@@ -64,7 +72,7 @@ def _prepared(data: bytes) -> zstandard.ZstdCompressionDict:
 def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
     """A trained dictionary; texts too few to train on serve as they are."""
     try:
-        return zstandard.train_dictionary(size, texts).as_bytes()
+        return zstandard.train_dictionary(size, [part for t in texts for part in blocks(t)]).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(texts)[:size] or b"\n" * 8
 
@@ -115,7 +123,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score (higher: quality 1 likelier) and predicted for every document.
 
     The score is a logistic function of the normalised difference of the whole
-    text's sizes as compressed with either dictionary. Null and empty texts have
+    text's sizes as compressed, block by block, with either dictionary. Null and empty texts have
     difference 0. The model (two dictionaries of DICT_BYTES at most) travels with
     the function. Repeated rows score alike; an empty table gives no rows; extra
     columns are ignored.
