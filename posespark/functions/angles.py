@@ -6,6 +6,8 @@ theta is ARRAY<DOUBLE> of tangent angles; a skeleton is ARRAY<STRUCT<x, y>>. NUL
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ def nan() -> Column:
     return F.lit(NAN).cast("double")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, however often the body uses it.
+
+    Array functions are not compiled, so equal parts of an expression are not shared
+    and parts that an inner function mentions are computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(values: Column) -> Column:
     """Inclusive running sums of an array."""
     start = F.struct(F.expr("cast(array() as array<double>)").alias("out"), F.lit(0.0).alias("sum"))
@@ -24,25 +35,35 @@ def prefix_sums(values: Column) -> Column:
 
 
 def _centred(values: Column, canvas: float) -> Column:
-    low, high = F.array_min(values), F.array_max(values)
-    return F.transform(values, lambda v: v - low + (F.lit(canvas) - (high - low)) / 2)
+    def shifted(v: Column) -> Column:
+        low, high = F.array_min(v), F.array_max(v)
+        return let((F.lit(canvas) - (high - low)) / 2 - low, lambda by: F.transform(v, lambda a: a + by))
+
+    return let(values, shifted)
 
 
 def skeleton_from_theta(theta: Column, length: Column, canvas: tuple[float, float] = (0.0, 0.0)) -> Column:
     """Points one segment apart along the angles, centred on a canvas (width, height)."""
     step = length / (F.size(theta) - 1)
-    x = _centred(prefix_sums(F.transform(theta, lambda a: step * F.cos(a))), canvas[0])
-    y = _centred(prefix_sums(F.transform(theta, lambda a: step * F.sin(a))), canvas[1])
-    return F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y")))
+
+    def axis(f: Callable[[Column], Column], size: float) -> Column:
+        return _centred(prefix_sums(F.transform(theta, lambda a: step * f(a))), size)
+
+    return F.zip_with(axis(F.cos, canvas[0]), axis(F.sin, canvas[1]), lambda a, b: F.struct(a.alias("x"), b.alias("y")))
 
 
 def theta_from_points(skeleton: Column) -> Column:
     """Angle of each step from a point to the next."""
-    n = F.size(skeleton) - 1
-    return F.zip_with(
-        F.slice(skeleton, F.lit(1), n), F.slice(skeleton, F.lit(2), n),
+    return let(skeleton, lambda s: _steps(
+        s,
         lambda a, b: F.when(F.isnan(a["x"]) | F.isnan(a["y"]) | F.isnan(b["x"]) | F.isnan(b["y"]), nan()).otherwise(F.atan2(b["y"] - a["y"], b["x"] - a["x"])),
-    )
+    ))
+
+
+def _steps(points: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of each point and the next."""
+    n = F.size(points) - 1
+    return F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), f)
 
 
 def flip(theta: Column) -> Column:
@@ -77,19 +98,23 @@ def symmetric_loss(predicted: Column, label0: Column, label1: Column) -> Column:
 
 def head_tail_cosine(a: Column, b: Column) -> Column:
     """Cosine between the vectors from first to last point; NaN where one has no length."""
-    def ends(s: Column) -> tuple[Column, Column]:
+    def ends(s: Column) -> Column:
         first, last = F.element_at(s, 1), F.element_at(s, -1)
-        return last["x"] - first["x"], last["y"] - first["y"]
+        return F.struct((last["x"] - first["x"]).alias("x"), (last["y"] - first["y"]).alias("y"))
 
-    (ax, ay), (bx, by) = ends(a), ends(b)
-    size = F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by * by)
-    return F.when(size == 0, nan()).otherwise((ax * bx + ay * by) / F.when(size == 0, F.lit(1.0)).otherwise(size))
+    def cosine(v: Column) -> Column:
+        p, q = v["p"], v["q"]
+        size = F.sqrt(p["x"] * p["x"] + p["y"] * p["y"]) * F.sqrt(q["x"] * q["x"] + q["y"] * q["y"])
+        return F.when(size == 0, nan()).otherwise((p["x"] * q["x"] + p["y"] * q["y"]) / F.when(size == 0, F.lit(1.0)).otherwise(size))
+
+    return let(F.struct(let(a, ends).alias("p"), let(b, ends).alias("q")), cosine)
 
 
 def project(theta: Column, basis: Column) -> Column:
     """Coefficients of theta, less its mean, on each mode; basis is ARRAY of mode vectors."""
-    m = mean(theta)
-    return F.transform(basis, lambda v: F.aggregate(F.zip_with(theta, v, lambda a, b: (a - m) * b), F.lit(0.0), lambda s, x: s + x))
+    dot = lambda t, v: F.aggregate(F.zip_with(t, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    centred = let(mean(theta), lambda m: F.transform(theta, lambda a: a - m))
+    return let(centred, lambda t: F.transform(basis, lambda v: dot(t, v)))
 
 
 def reconstruct(modes: Column, basis: Column) -> Column:
@@ -107,12 +132,11 @@ def is_labelled(skeleton: Column) -> Column:
 
 def body_length(skeleton: Column) -> Column:
     """Length along the points; NaN unless all are there."""
-    n = F.size(skeleton) - 1
-    steps = F.zip_with(
-        F.slice(skeleton, F.lit(1), n), F.slice(skeleton, F.lit(2), n),
-        lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])),
-    )
-    return F.when(is_labelled(skeleton), F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)).otherwise(nan())
+    def length(s: Column) -> Column:
+        steps = _steps(s, lambda a, b: F.sqrt((b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])))
+        return F.when(is_labelled(s), F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)).otherwise(nan())
+
+    return let(skeleton, length)
 
 
 def rescale(skeleton: Column, factor: float | Column) -> Column:

@@ -142,6 +142,8 @@ def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "se
     ))
     spread = marked.withColumn("_chunk", F.explode(F.filter(chunks, lambda c: c >= 0))).withColumn("_own", F.col("_chunk") == chunk).drop("_knot")
 
+    names = [*rows.columns, out]
+
     def fill(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
         known = part[value].notna()
@@ -152,7 +154,7 @@ def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "se
         if strict and np.isnan(result).any():
             raise ValueError("samples outside the spline's knots")
         part[out] = result
-        return part.loc[part["_own"], [*rows.columns, out]]
+        return part.loc[part["_own"], names]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` double"
     filled = spread.groupBy(*keys, "_chunk").applyInPandas(fill, schema)

@@ -150,8 +150,8 @@ def labelled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {poses_sql()}, j AS (SELECT video, t, theta, i FROM poses, range(40) AS r(i)),
-p AS (SELECT video, t, theta, i, i * 63 / 39.0::DOUBLE AS at FROM j), q AS (SELECT *, CAST(least(floor(at), 62) AS INTEGER) AS low FROM p)
-SELECT video, t, CAST(i AS INTEGER) AS i, round(theta[low + 1] + (theta[low + 2] - theta[low + 1]) * (at - low), 6) + 0.0 AS value FROM q""")
+p AS (SELECT video, t, theta, i, i * 63 / 39.0::DOUBLE AS place FROM j), q AS (SELECT *, CAST(least(floor(place), 62) AS INTEGER) AS low FROM p)
+SELECT video, t, CAST(i AS INTEGER) AS i, round(theta[low + 1] + (theta[low + 2] - theta[low + 1]) * (place - low), 6) + 0.0 AS value FROM q""")
 def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = poses(spark, sf_dir).select("video", "t", F.posexplode(A.linear_resample(F.col("theta"), 40)).alias("i", "v"))
     return rows.select("video", "t", "i", r6(F.col("v")).alias("value"))
@@ -295,7 +295,7 @@ def spline_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SERIES}, l AS (SELECT video, frame_index AS template FROM series WHERE event_type = 'purchase')
-SELECT s.video, s.frame_index, arg_min(l.template, abs(l.template - s.frame_index) * 100000000 + l.template) AS template FROM series s LEFT JOIN l ON l.video = s.video GROUP BY s.video, s.frame_index""")
+SELECT s.video, s.frame_index, arg_min(l.template, abs(l.template - s.frame_index)::BIGINT * 100000000 + l.template) AS template FROM series s LEFT JOIN l ON l.video = s.video GROUP BY s.video, s.frame_index""")
 def nearest_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.nearest_template(series(spark, sf_dir), F.col("event_type") == "purchase").select("video", "frame_index", "template")
 
@@ -398,9 +398,13 @@ def _vector(theta: str) -> str:
     return f"[list_sum(list_transform({theta}[2:], lambda a: cos(a))), list_sum(list_transform({theta}[2:], lambda a: sin(a)))]"
 
 
+def _cosine(a: str, b: str) -> str:
+    return f"({a}[1] * {b}[1] + {a}[2] * {b}[2]) / (sqrt({a}[1] * {a}[1] + {a}[2] * {a}[2]) * sqrt({b}[1] * {b}[1] + {b}[2] * {b}[2]))"
+
+
 _ALIGNED = f""", v AS (SELECT l.video, l.t, l.segment, {_vector('CASE WHEN l.k = 0 THEN p.theta0 ELSE p.theta1 END')} AS c0, {_vector('CASE WHEN l.k = 0 THEN p.theta1 ELSE p.theta0 END')} AS c1,
   CASE WHEN p.vec_id % 2 = 0 THEN {_vector('p.theta')} END AS b FROM long l JOIN poses p USING (video, t)),
-cs AS (SELECT video, segment, CAST(count(b) AS BIGINT) AS n_labelled, avg(list_cosine_similarity(c0, b)) FILTER (b IS NOT NULL) AS cos0, avg(list_cosine_similarity(c1, b)) FILTER (b IS NOT NULL) AS cos1, min(t) AS first_t, max(t) AS last_t FROM v GROUP BY video, segment),
+cs AS (SELECT video, segment, CAST(count(b) AS BIGINT) AS n_labelled, avg({_cosine('c0', 'b')}) AS cos0, avg({_cosine('c1', 'b')}) AS cos1, min(t) AS first_t, max(t) AS last_t FROM v GROUP BY video, segment),
 al AS (SELECT *, CASE WHEN n_labelled > {headtail.MIN_LABELLED} AND cos0 * cos1 < 0 THEN CASE WHEN cos1 > cos0 THEN 1 ELSE 0 END END AS alignment FROM cs)"""
 
 

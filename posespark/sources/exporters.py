@@ -32,7 +32,7 @@ def trajectory_json(rows: DataFrame, frame_rate: float, ident: str = "1", chunk:
     frames = rows.select("video", F.floor(F.col("t") / chunk).cast("int").alias("part"), F.struct((F.col("t") / frame_rate).alias("t"), coordinates("x").alias("x"), coordinates("y").alias("y")).alias("f"))
     gathered = frames.groupBy("video", "part").agg(F.sort_array(F.collect_list("f")).alias("f"))
     units = F.struct(F.lit("seconds").alias("t"), F.lit("micrometers").alias("x"), F.lit("micrometers").alias("y"))
-    data = F.struct(F.lit(ident).alias("id"), *[F.transform("f", lambda s, k=k: s[k]).alias(k) for k in ("t", "x", "y")])
+    data = F.struct(F.lit(ident).alias("id"), *[F.col("f")[k].alias(k) for k in ("t", "x", "y")])
     return gathered.select("video", "part", F.to_json(F.struct(units.alias("units"), F.array(data).alias("data")), {"ignoreNullFields": "false"}).alias("json"))
 
 
