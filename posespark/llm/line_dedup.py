@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 8
@@ -17,6 +17,8 @@ MIN_SITES = 8
 LG_K = 10
 #: Estimates within this share of MIN_SITES are settled by an exact count (over 3 errors).
 NEAR = 0.2
+#: A line with more than one in so many of all lines is heavy; fewer than that many lines are.
+HEAVY = 1000
 
 _SPACES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 _STRIP = " \t\n\r\x0b\x0c"
@@ -29,31 +31,46 @@ def _hashes(line: Column) -> list[Column]:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, site and the hashes of each line that has a word, ends trimmed."""
-    lines = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    trimmed = lines.select("doc_id", "site", F.regexp_replace("line", _SPACES, "").alias("line")).filter("line != ''")
-    return trimmed.select("doc_id", "site", *_hashes(F.col("line")))
+    """doc_id, text_hash, site and the hashes of each line that has a word, ends trimmed."""
+    site = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("site")
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), site, F.explode(F.split("text", "\n")).alias("line"))
+    trimmed = lines.select("doc_id", "text_hash", "site", F.regexp_replace("line", _SPACES, "").alias("line")).filter("line != ''")
+    return trimmed.select("doc_id", "text_hash", "site", *_hashes(F.col("line")))
 
 
-def boilerplate(keys: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
-    """(h1, h2) of the lines that stand on min_sites distinct sites or more.
+def line_spread(keys: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, near: float = NEAR) -> DataFrame:
+    """h1, h2, boilerplate and heavy of lines that are near min_sites distinct sites or above, or heavy.
 
     Every task sketches the sites of its lines (HyperLogLog) and the sketches of a
     line merge in the aggregation, so that a line on every page moves one sketch a
     task. Estimates away from the threshold decide; lines near it get exact counts
-    of distinct sites.
+    of distinct sites, from (line, site) pairs that are made distinct before they move.
     """
+    total = keys.count()
     spread = keys.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.count("*").alias("n"))
     # fewer lines than sites asked for cannot reach them, whatever the sketch says
-    spread = spread.filter(F.col("n") >= min_sites).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites"))
-    spread = cut(spread.filter(F.col("sites") >= (1 - near) * min_sites))
-    wide = spread.filter(F.col("sites") > (1 + near) * min_sites).select("h1", "h2")
-    close = spread.filter(F.col("sites") <= (1 + near) * min_sites).select("h1", "h2")
-    exact = (
-        keys.select("h1", "h2", "site").join(close, ["h1", "h2"], "left_semi").distinct()
-        .groupBy("h1", "h2").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites).select("h1", "h2")
-    )
-    return cut(wide.unionByName(exact))
+    heavy = F.col("n") * HEAVY > total
+    spread = spread.filter((F.col("n") >= min_sites) | heavy).select("h1", "h2", heavy.alias("heavy"), F.hll_sketch_estimate("sketch").alias("sites"))
+    spread = cut(spread.filter((F.col("sites") >= (1 - near) * min_sites) | F.col("heavy")))
+    close = spread.filter(F.col("sites").between((1 - near) * min_sites, (1 + near) * min_sites))
+    # not a semi join: that would be moved below distinct, and all rows of a line with it
+    pairs = keys.select("h1", "h2", "site").distinct().join(close.select("h1", "h2"), ["h1", "h2"])
+    exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("exact"))
+    judged = spread.join(exact, ["h1", "h2"], "left")
+    return cut(judged.select("h1", "h2", "heavy", (F.coalesce("exact", "sites") >= min_sites).alias("boilerplate")))
+
+
+def boilerplate_lines(keys: DataFrame, spread: DataFrame) -> DataFrame:
+    """doc_id, text_hash, h1, h2 of the rows of keys that are boilerplate.
+
+    Heavy lines (fewer than HEAVY) are sent to every task, so that their rows stay
+    where they are; only the rows of other lines move to meet their line.
+    """
+    heavy = F.broadcast(spread.filter("heavy").select("h1", "h2", F.col("boilerplate").alias("known")))
+    marked = keys.select("doc_id", "text_hash", "h1", "h2").join(heavy, ["h1", "h2"], "left")
+    light = spread.filter("boilerplate and not heavy").select("h1", "h2")
+    rest = marked.filter("known is null").join(light, ["h1", "h2"], "left_semi")
+    return marked.filter("known").unionByName(rest).select("doc_id", "text_hash", "h1", "h2")
 
 
 def _line_hashes(line: str) -> tuple[int, int]:
@@ -83,9 +100,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     """doc_id, n_lines, n_removed and the text without boilerplate lines, for each document.
 
     A site is a value of `source`. Lines are compared without white space at their
-    ends; lines without a word are never removed. A document's boilerplate lines
-    are gathered by doc_id (as many as the document has lines), never a line's
-    documents; texts move once, to meet them.
+    ends; lines without a word are never removed. The lines' hashes are written once
+    to the shared folder. A document's boilerplate lines are gathered by doc_id and
+    hash of the text (as many as the document has lines), never a line's documents;
+    texts move once, to meet them.
 
     Null text stays null with no lines; null source is a site of its own; documents
     without id, or that share one, each lose their own boilerplate lines. A
@@ -93,11 +111,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     rows; extra columns are ignored.
     """
     docs = docs.select("doc_id", "source", "text")
-    keys = line_keys(docs)
-    bad = boilerplate(keys, min_sites, lg_k, near)
-    found = keys.select("doc_id", "h1", "h2").join(bad, ["h1", "h2"], "left_semi")
-    per_doc = found.distinct().groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("h1", "h2")).alias("bad"))
-    met = docs.select("doc_id", "text").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_of")), "left")
+    keys = written(line_keys(docs), "lines")
+    found = boilerplate_lines(keys, line_spread(keys, min_sites, lg_k, near))
+    per_doc = found.distinct().groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("h1", "h2")).alias("bad"))
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_hash"))
+    met = docs.select("doc_id", "text").join(per_doc, same, "left")
     kind = dict(docs.dtypes)["doc_id"]
     return met.select("doc_id", "text", "bad").mapInArrow(_without, f"doc_id {kind}, n_lines long, n_removed long, text string")
 
