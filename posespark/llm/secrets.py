@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: A candidate: so many characters of keys, tokens and encoded bytes in a row.
-CANDIDATE = r"[A-Za-z0-9+/_=\-]{16,}"
+#: A candidate: so many characters of keys, tokens and encoded bytes in a row, with padding
+#: at its end only, so that the name in name=value stays a neighbour of the value.
+CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: Words before and after a candidate that count as its neighbours.
 BEFORE, AFTER = 3, 2
 #: Documents with a word: so many make it one of the dictionary.
