@@ -12,6 +12,8 @@ from .common import WORD, cut, in_order, part_of, place_of
 
 #: Copies of a source's words that the mix takes at most.
 MOST_COPIES = 3
+#: Up to so many sources their plan is sent to every task; a longer one is joined by shuffle.
+MOST_SENT = 20_000
 #: Weights of the sources in code-point order, repeated.
 CYCLE = (1, 2, 3)
 #: A document of so many words has half the highest preference.
@@ -73,18 +75,21 @@ class Mix:
 
     sources: DataFrame
     seed: int
+    sent: bool
 
     def copies(self, docs: DataFrame) -> DataFrame:
         """docs with _size, source_size, target and _copies, by each row's own values."""
-        rows = _joined(_keys(docs), self.sources, self.seed)
+        rows = _joined(_keys(docs), self.sources, self.seed, self.sent)
         here = F.struct("_rank", "_id", "_check")
         extra = F.when((F.col("_p") > 0) & ((here <= F.col("_last")) | (here == F.col("_fill"))), 1).otherwise(0)
         return rows.withColumn("_copies", (F.col("_whole") + extra).cast("int"))
 
 
-def _joined(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def _joined(rows: DataFrame, sources: DataFrame, seed: int, sent: bool) -> DataFrame:
     """rows with their source's plan, inclusion probability _p and Pareto rank _rank."""
     plan = sources.withColumnRenamed("_source", "_of")
+    if sent:
+        plan = F.broadcast(plan)
     out = rows.join(plan, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     # the tilt keeps each probability within 0 and 1 and the expected words exact
     tilt = F.least(F.lit(1.0), (1 - F.col("_part_copy")) / F.col("_part_copy"))
@@ -124,8 +129,9 @@ def plan_mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST_COP
         (F.coalesce(F.col("_preferred") / F.nullif("source_size", F.lit(0)), F.lit(0.0)) / 1000).alias("_mean_prefer"),
     )
     sources = cut(sources)
+    sent = sources.count() <= MOST_SENT
     need = (F.col("target") - F.col("_whole") * F.col("source_size")).alias("_need")
-    drawn = _joined(meta, sources, seed).filter("_p > 0").select("_source", "_rank", "_id", "_check", "_size", need)
+    drawn = _joined(meta, sources, seed, sent).filter("_p > 0").select("_source", "_rank", "_id", "_check", "_size", need)
     rows = in_order(drawn, F.col("_source"), F.col("_rank"), F.col("_id"), F.col("_check"))
     rows = rows.withColumn("_part", part_of(F.col("_row")))
     # a row for each source and partition that holds some of it
@@ -158,7 +164,7 @@ def plan_mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST_COP
     fill = rest.filter(off < F.col("_gap")).groupBy(F.col("_source").alias("_of")).agg(F.min_by(here, F.struct(off, here)).alias("_fill"))
     ended = sources.join(last.drop("_gap"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     ended = ended.join(fill, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
-    return Mix(cut(ended), seed)
+    return Mix(cut(ended), seed, sent)
 
 
 def _last_part(parts: DataFrame) -> DataFrame:
