@@ -1,0 +1,60 @@
+from __future__ import annotations
+
+import re
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from posespark.llm import secrets
+
+
+
+def test_candidates(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = set()
+    for r in docs.collect():
+        words = re.split(r"[\x20\x09-\x0D]+", r["text"])
+        for i, w in enumerate(words):
+            for n, c in enumerate(re.findall(secrets.CANDIDATE, w)):
+                before = " ".join([*words[max(0, i - secrets.BEFORE) : i], re.sub(secrets.CANDIDATE, " ", w)])
+                want.add((r["doc_id"], i, n, c, before, " ".join(words[i + 1 : i + 1 + secrets.AFTER]), r["source"]))
+    got = {tuple(r) for r in secrets.candidates(docs).select("doc_id", "word", "nth", "candidate", "before", "after", "path").collect()}
+    assert {g[:4] + g[5:] for g in got} == {w[:4] + w[5:] for w in want} and len(got) > 5
+    assert {(g[0], g[1], " ".join(g[4].split())) for g in got} == {(w[0], w[1], " ".join(w[4].split())) for w in want}
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secrets.labelled_findings(spark, 6000).withColumn("fold", F.pmod(F.xxhash64("candidate", "before", "after"), F.lit(3)))
+    words = spark.createDataFrame([("thetheing",), ("config",), ("value",)], "entry string")
+    detector = secrets.fit(rows.filter("fold != 1").drop("fold"), words)
+    test = secrets.features(rows.filter("fold = 1").drop("fold"), words, detector.odds)
+    out = detector.forest.transform(VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(test))
+    right = out.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("share"), F.count("*").alias("n")).collect()
+    assert all(r["share"] > 0.95 and r["n"] > 300 for r in right) and len(right) == 2
+
+
+def test_planted_secrets_and_look_alikes(spark):
+    sha = "9f14a7029c8514dfe98aba92898d323168e199da"
+    rows = [
+        (1, f"set token = {sha} and go", "src"), (2, f"see commit {sha} for this", "src"), (3, "password: q8Zk3Lw0TtYbN2vXcR5mPd7s", "src"),
+        (4, "the internationalisierungsgesellschaft met", "src"), (5, "---------------------------", "src"), (6, f"api_key={sha}", "config"),
+    ]
+    out = {r["doc_id"]: r["is_secret"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out == {1: True, 2: False, 3: True, 4: False, 5: False, 6: True}
+
+
+def test_dictionary_counts_documents(spark):
+    docs = spark.createDataFrame([(i, "river river stone" if i < 5 else "stone") for i in range(6)] + [(9, None)], "doc_id long, text string")
+    assert {r["entry"] for r in secrets.dictionary(docs, 6).collect()} == {"stone"}
+    assert {r["entry"] for r in secrets.dictionary(docs, 5).collect()} == {"stone", "river"}
+
+
+def test_transition_odds(spark):
+    rows = spark.createDataFrame([("ab12ab12ab12ab12", 1), ("abcdefghijklmnop", 0)], "candidate string, label int")
+    odds = secrets.transition_odds(rows)
+    assert len(odds) == 25 and odds["00"] > 0 > odds["cc"]
+
+
+def test_no_python_in_the_plan(spark, sf_dir):
+    plan = secrets.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
