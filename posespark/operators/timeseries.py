@@ -142,23 +142,46 @@ def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "se
     ))
     spread = marked.withColumn("_chunk", F.explode(F.filter(chunks, lambda c: c >= 0))).withColumn("_own", F.col("_chunk") == chunk).drop("_knot")
 
-    names = [*rows.columns, out]
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        known = part[value].notna()
-        x = part.loc[known, order].to_numpy(float)
-        result = np.full(len(part), np.nan)
-        if len(x) >= 4:
-            result = not_a_knot(x, part.loc[known, value].to_numpy(float), part[order].to_numpy(float))
+    names, group = [*rows.columns, out], [*keys, "_chunk"]
+
+    def filled(part: pd.DataFrame) -> pd.DataFrame:
+        """Whole groups, one after the other."""
+        y, at = part[value].to_numpy(float), part[order].to_numpy(float)
+        known, result = ~np.isnan(y), np.full(len(part), np.nan)
+        bounds = [*_starts(part, group), len(part)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            here = known[a:b]
+            if here.sum() >= 4:
+                result[a:b] = not_a_knot(at[a:b][here], y[a:b][here], at[a:b])
         if strict and np.isnan(result).any():
             raise ValueError("samples outside the spline's knots")
         part[out] = result
         return part.loc[part["_own"], names]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            part = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = int(_starts(part, group)[-1]) if len(part) else 0  # the last group may go on
+            held = part.iloc[last:]
+            if last:
+                yield filled(part.iloc[:last].copy())
+        if held is not None and len(held):
+            yield filled(held.copy())
+
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` double"
-    filled = spread.groupBy(*keys, "_chunk").applyInPandas(fill, schema)
-    return filled.withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    placed = spread.repartition(*group).sortWithinPartitions(*group, order)
+    return placed.mapInPandas(run, schema).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+
+
+def _starts(part: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Row numbers at which another group begins; equal keys stand together, null is a key."""
+    new = np.zeros(len(part), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        codes = pd.factorize(part[k], use_na_sentinel=False)[0]
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
 
 
 def streamed_fold(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start, step, schema: str) -> DataFrame:
