@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .angles import theta_from_points
+from .angles import nan, theta_from_points
 from .kernels import interpolate_skeleton
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -17,6 +17,11 @@ def points_of(skeleton) -> np.ndarray:
     return np.array([[np.nan if p[k] is None else p[k] for k in ("x", "y")] for p in skeleton], dtype=float).reshape(-1, 2)
 
 
+def with_nan(points: Column) -> Column:
+    """points with NaN for null coordinates: on its way back from pandas NaN becomes null."""
+    return F.transform(points, lambda p: F.struct(F.coalesce(p["x"], nan()).alias("x"), F.coalesce(p["y"], nan()).alias("y")))
+
+
 def resample_skeleton(skeleton: Column, steps: int) -> Column:
     """Cubic resampling to steps + 1 points; null stays null."""
 
@@ -30,7 +35,7 @@ def resample_skeleton(skeleton: Column, steps: int) -> Column:
                 out.append([{"x": float(x), "y": float(y)} for x, y in interpolate_skeleton(points_of(v), steps)])
         return pd.Series(out)
 
-    return resample(skeleton)
+    return with_nan(resample(skeleton))
 
 
 def skeleton_to_theta(skeleton: Column, dims: int) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import images
-from ..functions.arrow import points_of
+from ..functions.angles import nan
+from ..functions.arrow import points_of, with_nan
 from .sampling import choice, uniform
 
 #: Augmentation: shift, thickness, length, share of blurred images, odd blur kernels, tail on top.
@@ -98,7 +99,8 @@ def score_candidates(candidates: DataFrame, size: int) -> DataFrame:
             found = [one(r) for r in batch.itertuples(index=False)]
             yield pd.DataFrame({"video": batch["video"], "t": batch["t"], "k": batch["k"], "score": [f[0] for f in found], "skeleton": [f[1] for f in found]})
 
-    return candidates.mapInPandas(run, f"video {kinds['video']}, t {kinds['t']}, k {kinds['k']}, score double, skeleton array<struct<x:double,y:double>>")
+    scored = candidates.mapInPandas(run, f"video {kinds['video']}, t {kinds['t']}, k {kinds['k']}, score double, skeleton array<struct<x:double,y:double>>")
+    return scored.withColumns({"score": F.coalesce("score", nan()), "skeleton": with_nan(F.col("skeleton"))})
 
 
 def augmentation(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:

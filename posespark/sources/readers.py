@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,16 +70,12 @@ def microns_per_pixel(xml: Column) -> Column:
 
 def checked_timestamps(rows: DataFrame, ts: str, key: str = "video") -> DataFrame:
     """rows; an error for a video all of whose timestamps are missing."""
-    from pyspark.sql import Window
-
     some = F.max(~F.isnan(ts)).over(Window.partitionBy(key))
     return rows.withColumn(ts, F.when(some, F.col(ts)).otherwise(F.raise_error(F.lit("all timestamps are missing")).cast("double")))
 
 
 def single_entity(rows: DataFrame, entity: str, key: str) -> DataFrame:
     """Rows of each key's least entity."""
-    from pyspark.sql import Window
-
     return rows.withColumn("_least", F.min(entity).over(Window.partitionBy(key))).filter(F.col(entity) == F.col("_least")).drop("_least")
 
 
@@ -103,9 +100,6 @@ def read_image_folder(spark: SparkSession, path: str, pattern: str = "*.pgm", de
 
     Binary PGM is decoded here; other formats by a decoder from bytes to (height, width, pixels).
     """
-    import pandas as pd
-    from pyspark.sql import Window
-
     read = decode or decode_pgm
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     if files.isEmpty():

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import points_of
+from ..functions.images import body_mask
+
 FRAME_RATE, WIDTH, SIDE = 30.0, 5.0, 100
 
 
@@ -24,12 +29,6 @@ def toy_features(spark: SparkSession, num_frames: int = 500, num_joints: int = 5
 
 def toy_frames(features: DataFrame) -> DataFrame:
     """The frames of such a video: the body drawn dark on a light ground."""
-    import numpy as np
-    import pandas as pd
-
-    from ..functions.arrow import points_of
-    from ..functions.images import body_mask
-
     @F.pandas_udf("binary")
     def draw(skeletons: pd.Series) -> pd.Series:
         out = []
