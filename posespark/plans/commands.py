@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles as A
@@ -130,17 +130,21 @@ def evaluate(features: DataFrame, crops: DataFrame, model: Column, joints: int,
     return met.select("video", "frame_index", alignment.closest_flip(F.col("theta"), F.col("label")).alias("b")).select("video", "frame_index", "b.*")
 
 
-def generate(features: DataFrame, crops: DataFrame, mixture: tuple, samples: int, size: int, joints: int, seed: int = 0, per_video: int = TEMPLATES) -> DataFrame:
+def generate(features: DataFrame, crops: DataFrame, mixture: tuple, samples: int, size: int, joints: int, seed: int = 0, most: int = TEMPLATES) -> DataFrame:
     """id, image, label0, label1 of synthetic samples: a drawn posture, a template and random changes each.
 
-    mixture: weights, means and covariances of posture vectors with `joints` angles.
+    mixture: weights, means and covariances of posture vectors with `joints` angles. Of all
+    labelled frames `most` serve as templates, spread evenly over the videos; that bounds what
+    is numbered in one task and sent to all.
     """
-    pool = templates(features, crops).join(body_means(features, joints), "video").join(crops.select("video", F.col("frame_index").alias("template"), "background"), ["video", "template"])
-    pool = sampling.sample_per_group(pool, per_video, ["video"], [sampling.draw(seed, "video", "template"), "template"])
-    video = pool.select("video").distinct().select("video", F.xxhash64("video").alias("h"))
-    ranked = pool.join(video, "video").select("*", F.struct("h", "template").alias("place"))
-    names = ranked.groupBy().agg(F.sort_array(F.collect_list("place")).alias("all"))  # per_video rows a video at most
+    marks = labelled(features).select("video", "frame_index")
+    chosen = sampling.two_stage_sample(marks, most, seed).select("video", F.col("frame_index").alias("template"))
+    grounds = crops.select("video", F.col("frame_index").alias("template"), "background")
+    pool = templates(features, crops).join(F.broadcast(chosen), ["video", "template"]).join(grounds, ["video", "template"]).join(body_means(features, joints), "video")
+    pool = pool.withColumn("place", F.row_number().over(Window.orderBy("video", "template")) - 1).withColumnRenamed("template", "frame").withColumnRenamed("template_image", "template")
+    n = chosen.count()
+    if not n:
+        raise ValueError("no labelled frame to take a template from")
     postures = imaging.augmentation(models.sample_postures(features.sparkSession, samples, *mixture, seed=seed), seed)
-    drawn = postures.join(F.broadcast(names)).withColumn("place", F.get("all", sampling.choice(seed + 9, F.size("all"), "id").cast("int"))).drop("all")
-    rows = drawn.join(ranked.drop("template", "h").withColumnRenamed("template_image", "template"), "place").drop("place", "video")
-    return imaging.synthesize(rows, size)
+    drawn = postures.withColumn("place", sampling.choice(seed + 9, n, "id").cast("int"))
+    return imaging.synthesize(drawn.join(F.broadcast(pool), "place").drop("place", "video", "frame"), size)

@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import angles as A
+from ..functions.aggregates import nan_mean
+from ..functions.arrow import resample_skeleton
 from ..functions.kernels import savgol_weights
 from ..operators import aggregations, alignment, headtail, sampling, timeseries
 from ..sources.toy import toy_features
+from . import commands
 from .views import FRAME_RATE, SERIES, WIDTHS, cosine_basis, losses, poses, poses_sql, series, table, widths
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,9 +453,83 @@ def resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headtail.resolution_stats(headtail.resolve(*inputs, FRAME_RATE), inputs[2])
 
 
+# --- filters, selections, means
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""")
+def video_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named groups only; the filter reaches the scan."""
+    from ..sources.readers import select_videos
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return select_videos(orders, ["1-URGENT", "5-LOW"], "o_orderpriority").select("o_orderkey", "o_custkey")
+
+
+@query(f"""WITH {SERIES} SELECT DISTINCT video FROM series""")
+def video_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("video")).distinct()
+
+
+@query(f"""WITH {poses_sql()}, s AS (SELECT video, t, score AS s0, CASE WHEN vec_id % 5 = 0 THEN 'NaN'::DOUBLE ELSE score / 2 END AS s1 FROM poses)
+SELECT video, t, round(greatest(s0, s1), 6) AS best FROM s WHERE NOT isnan(s0) AND NOT isnan(s1) AND greatest(s0, s1) >= {headtail.SCORE_THRESHOLD}""")
+def early_score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = poses(spark, sf_dir).select("video", "t", F.col("score").alias("score0"), F.when(F.col("vec_id") % 5 == 0, A.nan()).otherwise(F.col("score") / 2).alias("score1"))
+    return headtail.passing(rows).select("video", "t", r6(F.greatest("score0", "score1")).alias("best"))
+
+
+@query(f"""WITH {poses_sql()}, s AS (SELECT video, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE greatest(score, score / 2) END AS best FROM poses)
+SELECT video, round(avg(best), 6) AS mean_score, CAST(count(*) FILTER (best >= {headtail.SCORE_THRESHOLD}) AS BIGINT) AS n_good, count(*) AS n FROM s GROUP BY video""")
+def mean_best_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = poses(spark, sf_dir).select("video", F.when(F.col("vec_id") % 5 == 0, A.nan()).otherwise(F.greatest(F.col("score"), F.col("score") / 2)).alias("best"))
+    good = F.count_if(~F.isnan("best") & (F.col("best") >= headtail.SCORE_THRESHOLD))
+    return rows.groupBy("video").agg(r6(nan_mean(F.col("best"))).alias("mean_score"), good.alias("n_good"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {WIDTHS}, m AS (SELECT video, avg(CASE WHEN NOT isnan(midbody_width) THEN midbody_width END) AS m FROM widths GROUP BY video)
+SELECT l_orderkey, l_linenumber, round(l_quantity / m, 6) AS relative_width FROM lineitem JOIN m ON video = l_suppkey WHERE l_returnflag <> 'R'""")
+def template_mean_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each labelled frame beside the means of its video."""
+    means = aggregations.video_means(widths(spark, sf_dir), ["midbody_width"]).withColumnRenamed("video", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag").filter("l_returnflag <> 'R'")
+    return lines.join(means, "l_suppkey").select("l_orderkey", "l_linenumber", r6(F.col("l_quantity") / F.col("midbody_width")).alias("relative_width"))
+
+
+@query("""SELECT p_partkey, CAST(floor(0.1::DOUBLE * p_size) AS INTEGER) AS head, CAST(floor(0.5::DOUBLE * p_size) AS INTEGER) AS middle, CAST(floor(0.9::DOUBLE * p_size) AS INTEGER) AS tail FROM part""")
+def joint_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joints = A.joint_indexes(F.col("p_size"))
+    return table(spark, sf_dir, "part").select("p_partkey", *[joints[i].alias(n) for i, n in enumerate(("head", "middle", "tail"))])
+
+
+@query()
+def resampled_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cubic resampling of skeletons to 30 points."""
+    rows = _skeletons(spark, sf_dir).select("video", "t", F.posexplode(resample_skeleton(F.col("skeleton"), 29)).alias("i", "p"))
+    return rows.select("video", "t", "i", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
+
+
+@query()
+def post_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps filled, angles unwrapped, smoothed and projected on modes, a row a frame and mode."""
+    rows = poses(spark, sf_dir).select("video", "t", F.when(F.col("vec_id") % 11 != 0, F.col("theta")).alias("theta"))
+    out = commands.post_process(rows, basis=cosine_basis(64, MODES))
+    return out.filter("smooth is not null").select("video", "t", F.posexplode("modes_smooth").alias("mode", "c")).select("video", "t", "mode", r6(F.col("c")).alias("coefficient"))
+
+
 # --- sampling, ranking, counting
 
 
+@query()
+def evaluation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames spread evenly over videos, then at random within each."""
+    return sampling.two_stage_sample(series(spark, sf_dir).select("video", "frame_index"), 1000, 7)
+
+
+@query()
+def template_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws with replacement: a template and whether it is turned, by hash of the sample's number."""
+    return spark.range(1000).select("id", sampling.choice(7, 500, "id").alias("template"), sampling.choice(8, 2, "id").alias("turned"))
+
+
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS val_loss FROM orders ORDER BY o_totalprice, CAST(o_orderkey AS VARCHAR) DESC LIMIT 5""")
 def best_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.best_models(losses(spark, sf_dir))
