@@ -242,3 +242,25 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def digest(items: Iterable[str]) -> str:
     """items_sha256 of a list of item ids, as contamination() gives it."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS_SQL = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS_SQL} AS w FROM benchmark),
+starts AS (SELECT item, w, unnest(range(1, greatest(1, len(w) - {WINDOW} + 1) + 1)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, len(w[i:i + {WINDOW - 1}]) AS n, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM starts),
+places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+runs AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM places, (SELECT DISTINCT n FROM windows) WHERE i + n - 1 <= len(w)),
+found AS (SELECT DISTINCT r, i, n, item FROM runs JOIN windows USING (n, g)),
+hit AS (SELECT DISTINCT r, unnest(range(i - 1, i - 1 + n)) AS p FROM found),
+islands AS (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS island FROM hit),
+merged AS (SELECT r, min(p) AS a, max(p) + 1 AS b FROM islands GROUP BY r, island),
+spans AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_hit, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM merged GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  n_hit IS NOT NULL AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN spans USING (r) LEFT JOIN items USING (r)
+"""

@@ -28,7 +28,9 @@ def op4_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    rows = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rows.withColumn("spans", spans)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_spread": line_dedup.ORACLE_SQL,
+        "op5_decontamination": decontamination.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_url_filter": url_filter.ORACLE_SQL,
         "op8_license_scan": licenses.ORACLE_SQL,
