@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ POINTS = "array<struct<x:double,y:double>>"
 FEATURES = f"video string, frame_index int, timestamp bigint, skeleton {POINTS}, head_width double, midbody_width double, tail_width double, frame_rate double, ventral_side string"
 FRAMES = "video string, frame_index int, height int, width int, pixels binary"
 MIN_JOINTS = 20
+#: Files that Spark's image source decodes.
+IMAGE_FILES = "*.{png,jpg,jpeg,bmp,gif,PNG,JPG,JPEG,BMP,GIF}"
 
 _LOADERS: dict[str, Callable[..., tuple[DataFrame, DataFrame]]] = {}
 
@@ -95,24 +99,50 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FRAMES).parquet(path)
 
 
-def read_image_folder(spark: SparkSession, path: str, pattern: str = "*.pgm", decode: Callable[[bytes], tuple[int, int, bytes]] | None = None) -> DataFrame:
-    """Frames of a folder of grey images in name order; the folder's name is the video.
+def read_image_folder(spark: SparkSession, path: str, pattern: str | None = None, decode: Callable[[bytes], tuple[int, int, bytes]] | None = None) -> DataFrame:
+    """Frames of a folder of images in name order, in grey; the folder's name is the video.
 
-    Binary PGM is decoded here; other formats by a decoder from bytes to (height, width, pixels).
+    Binary PGM is decoded here, PNG, JPEG, BMP and GIF by Spark's image source, other
+    formats by a decoder from bytes to (height, width, pixels). Without a pattern
+    all files with these endings are frames. An unreadable image is an error.
     """
-    read = decode or decode_pgm
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    if files.isEmpty():
-        raise FileNotFoundError(f"no {pattern} in {path}")
+    own = decode or decode_pgm
+    plain = [pattern or "*.pgm"] if decode or pattern is None or pattern.lower().endswith(".pgm") else []
+    spark_made = [] if decode else [pattern or IMAGE_FILES] if pattern is None or not plain else []
 
     @F.pandas_udf("height int, width int, pixels binary")
     def pixels(content: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read(bytes(c)) for c in content], columns=["height", "width", "pixels"])
-
-    video = F.element_at(F.split("path", "/"), -2)
+        return pd.DataFrame([own(bytes(c)) for c in content], columns=["height", "width", "pixels"])
+
+    @F.pandas_udf("binary")
+    def grey(data: pd.Series, channels: pd.Series) -> pd.Series:
+        return pd.Series([grey_of(d, n) for d, n in zip(data, channels, strict=True)])
+
+    def files(source: str, glob: str) -> DataFrame:
+        return spark.read.format(source).option("pathGlobFilter", glob).load(path)
+
+    name = F.regexp_replace("path", "^file:/+", "file:/")
+    listed = reduce(DataFrame.unionByName, [files("binaryFile", g).select(name.alias("path")) for g in [*plain, *spark_made]])  # reads no content
+    if listed.isEmpty():
+        raise FileNotFoundError(f"no {pattern or 'images'} in {path}")
+    read = [files("binaryFile", g).select(name.alias("path"), pixels("content").alias("p")) for g in plain]
+    for g in spark_made:
+        images = files("image", g).select(F.col("image.origin").alias("path"), "image.*").withColumn("path", name)
+        height = F.when(F.col("height") > 0, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("not an image: "), "path")))
+        read.append(images.select("path", F.struct(height.cast("int").alias("height"), "width", grey("data", "nChannels").alias("pixels")).alias("p")))
     order = (F.row_number().over(Window.partitionBy("video").orderBy("path")) - 1).alias("frame_index")
-    numbered = files.select("path", video.alias("video")).select("path", "video", order)  # without the images
-    return files.select("path", pixels("content").alias("p")).join(numbered, "path").select("video", "frame_index", "p.*")
+    numbered = listed.select("path", F.element_at(F.split("path", "/"), -2).alias("video")).select("path", "video", order)  # without the images
+    return reduce(DataFrame.unionByName, read).join(numbered, "path").select("video", "frame_index", "p.*")
+
+
+def grey_of(data: bytes, channels: int) -> bytes:
+    """One byte a pixel of rows of grey, blue-green-red or blue-green-red-alpha bytes, by the usual weights."""
+    if channels == 1:
+        return bytes(data)
+    if channels not in (3, 4):
+        return b""
+    parts = np.frombuffer(data, dtype=np.uint8).reshape(-1, channels)[:, :3]
+    return np.rint(parts @ np.array([0.114, 0.587, 0.299])).astype(np.uint8).tobytes()
 
 
 def decode_pgm(data: bytes) -> tuple[int, int, bytes]:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import gzip
 import json
+import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,31 @@ def test_image_folder(spark, tmp_path):
         readers.read_image_folder(spark, str(tmp_path / "clip"), "*.none")
 
 
+def _png(rows, channels):
+    """A PNG file of eight-bit rows: grey, red-green-blue or with alpha."""
+    size = (len(rows[0]) // channels, len(rows))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", *size, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+
+def test_image_folder_of_png_files(spark, tmp_path):
+    clip = tmp_path / "film"
+    clip.mkdir()
+    (clip / "1.png").write_bytes(_png([[0, 10, 255], [1, 2, 3]], 1))
+    (clip / "0.png").write_bytes(_png([[255, 0, 0, 0, 255, 0]], 3))
+    (clip / "2.PNG").write_bytes(_png([[0, 0, 255, 255]], 4))
+    (clip / "1b.pgm").write_bytes(b"P5\n2 1\n255\n" + bytes([7, 8]))
+    (clip / "notes.txt").write_text("no image")
+    rows = readers.read_image_folder(spark, str(clip)).orderBy("frame_index").collect()
+    got = [(r["video"], r["frame_index"], r["height"], r["width"], list(r["pixels"])) for r in rows]
+    assert got == [("film", 0, 1, 2, [76, 150]), ("film", 1, 2, 3, [0, 10, 255, 1, 2, 3]), ("film", 2, 1, 2, [7, 8]), ("film", 3, 1, 1, [29])]
+    assert [r["frame_index"] for r in readers.read_image_folder(spark, str(clip), "*.png").collect()] == [0, 1]
+    (clip / "3.png").write_bytes(b"broken")
+    with pytest.raises(Exception, match="not an image"):
+        readers.read_image_folder(spark, str(clip)).collect()
+
+
 def test_models_on_disk(spark, tmp_path):
     (tmp_path / "basis.csv").write_text("1,2\n3,4\n")
     assert readers.read_basis(spark, str(tmp_path / "basis.csv")) == [[1, 3], [2, 4]] and readers.read_basis(spark, None) is None
