@@ -648,7 +648,17 @@ def trajectory_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(rows, FRAME_RATE)
 
 
-@query()
+_PART = "p[8 * y + 1:8 * y + 32]"
+
+
+def _product(a: str, b: str) -> str:
+    """SQL for the sum of products of two lists of 32 less their means."""
+    return f"(list_inner_product({a}, {b}) - list_sum({a}) * list_sum({b}) / 32)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: trunc(least(255, greatest(0, 128 + 255 * x::DOUBLE)))) AS p FROM embeddings),
+s AS (SELECT vec_id, CAST(y AS INTEGER) AS y, CASE WHEN {_product(_PART, _PART)} > 0 THEN {_product(_PART, 'p[17:48]')} / sqrt({_product(_PART, _PART)} * {_product('p[17:48]', 'p[17:48]')}) ELSE 0 END AS score FROM v, range(5) AS r(y))
+SELECT vec_id, round(max(score), 6) AS score, 0 AS x, arg_max(y, score) AS y FROM s GROUP BY vec_id""")
 def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.imaging import score_pairs
 
