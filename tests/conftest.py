@@ -17,7 +17,6 @@ def spark():
         SparkSession.builder.master("local[8]").appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.driver.host", "127.0.0.1")
-        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1")  # many short plans: compile fast
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
