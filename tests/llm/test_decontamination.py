@@ -61,3 +61,22 @@ def test_removed_spans(spark):
     out = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(df, bench).collect()}
     assert out[104].strip() == "" and out[102] is None and len(out) == df.count()
     assert brute.contamination(out[100], items)[1] == 0
+
+
+def test_sql_on_the_fixture(spark):
+    """The SQL says the same of null texts, items without words or id, short items and repeated rows."""
+    import duckdb
+
+    docs, items, df, bench = _fixture(spark)
+    docs, items = [*docs, docs[-1], (None, docs[-2][1])], [*items, (None, items[2][1])]
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id BIGINT", docs), ("benchmark", "item_id VARCHAR", items)):
+        con.execute(f"CREATE TABLE {name} ({key}, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    want = con.execute(f"SELECT {', '.join(names)} FROM ({decontamination.ORACLE_SQL})").fetchall()
+    found = decontamination.contamination(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    ).select(*names).collect()
+    got = [(*r[:6], ",".join(f"{s['start']}-{s['end']}" for s in r["spans"])) for r in found]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r[5] for r in got) > 5
