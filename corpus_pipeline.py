@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from posespark.llm import decontamination, mixing, quality_rules, sharding, simhash
+from posespark.llm import decontamination, mixing, near_copies, quality_rules, sharding
 from posespark.llm.common import read, shared_dir
 
 
@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group that share four fifths of their five-word shingles."""
+    return near_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,18 +20,26 @@ BUCKET_LIMIT = 32
 LOW_MASK = 0xFFFFFFFF
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """64 majority bits of the hashes of a text's shingles; 0 without words."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of a text's shingles in order; of all words where they are fewer, none without words."""
     words = (text or b"").translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     last = ends[min(shingle, len(words)) - 1 :]
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """64 majority bits of the hashes of a text's shingles; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     if n == 1:
         return int(hashes[0])
     votes = np.zeros(64, dtype=np.int64)
