@@ -109,3 +109,17 @@ KNOWN = {
     "Apache-2.0:notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0:notice": "This work is licensed under the GNU General Public License, version 3.",
 }
+
+#: Notices that are looked for inside documents only.
+NOTICES = {
+    "CC-BY-NC-4.0:notice": "Licensed under CC BY-NC 4.0.",
+}
+
+#: Long licences that are looked for inside documents: words, run hash and digest of the canonical text.
+FULL: dict[str, tuple[int, int, str]] = {
+    "Apache-2.0": (1607, 0xE933414DA586F748, "1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea"),
+    "GPL-2.0": (2975, 0x65081634ED25AF06, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    "GPL-3.0": (5684, 0x16C1FB7CF350266F, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    "LGPL-3.0": (1231, 0xF251E9B2984EFED8, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    "MPL-2.0": (2426, 0xA11350D9440C00F8, "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+}

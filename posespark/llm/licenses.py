@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import utf8
-from .license_texts import KNOWN
+from .license_texts import FULL, KNOWN, NOTICES
 
 #: Spellings that count as equal, as words of canonical text.
 SPELLINGS: Mapping[str, str] = {
@@ -96,6 +98,75 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return digests.join(known, F.col("digest") == F.col("license_digest"), "left").drop("license_digest")
 
 
+#: Base of the hashes of runs of words, odd, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _run_hashes(words: list[bytes], lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the hashes of all runs of so many words."""
+    n = len(words)
+    power, back = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
+    if n:
+        power[0] = back[0] = 1
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n) * np.cumprod(power), out=sums[1:])
+    back = np.cumprod(back)
+    for m in lengths:
+        if m <= n:
+            yield m, (sums[m:] - sums[: n - m + 1]) * back[: n - m + 1]
+
+
+def known_runs(texts: Mapping[str, str] = KNOWN | NOTICES, full: Mapping[str, tuple[int, int, str]] = FULL) -> dict[str, tuple[int, int, str]]:
+    """Words, run hash and digest of known licences by identifier."""
+    out = {}
+    for name, text in texts.items():
+        plain = canonical(text.encode())
+        words = plain.split(b" ")
+        out[name] = (len(words), int(next(_run_hashes(words, [len(words)]))[1][0]), hashlib.sha256(plain).hexdigest())
+    return out | dict(full)
+
+
+def find(docs: DataFrame, known: Mapping[str, tuple[int, int, str]] | None = None) -> DataFrame:
+    """doc_id, license_id, digest, start and end of every known licence inside each document.
+
+    start and end (excluded) count the canonical words of the document. A licence may
+    stand at any place in other text; one that lies inside a longer one is left
+    out. Hashes of all runs of a known length pick the candidates, SHA-256 decides.
+    Documents without a licence have no row; repeated rows are judged alike.
+    """
+    known = known_runs() if known is None else known
+    names = docs.sparkSession.createDataFrame([(d, n) for n, (_, _, d) in known.items()] or [("", "")], "digest string, license_id string")
+    names = names.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    lengths = sorted({m for m, _, _ in known.values()}, reverse=True)
+    hashes = {m: np.array(sorted({h for k, h, _ in known.values() if k == m}), dtype=np.uint64) for m in lengths}
+    digests = {d for _, _, d in known.values()}
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, str, int, int]] = []
+            for i, text in enumerate(utf8(batch.column("text"))):
+                words = canonical(text).split()
+                spans: list[tuple[int, int]] = []
+                for m, at in _run_hashes(words, lengths):
+                    for a in np.flatnonzero(np.isin(at, hashes[m])).tolist():
+                        d = hashlib.sha256(b" ".join(words[a : a + m])).hexdigest()
+                        if d in digests and not any(b <= a and a + m <= e for b, e in spans):
+                            spans.append((a, a + m))
+                            rows.append((i, d, a, a + m))
+            at, found, starts, ends = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").take(pa.array(at, type=pa.int64())),
+                "digest": pa.array(found, type=pa.string()),
+                "start": pa.array(starts, type=pa.int64()),
+                "end": pa.array(ends, type=pa.int64()),
+            })
+
+    runs = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, digest string, start long, end long")
+    return runs.join(names, "digest").select("doc_id", "license_id", "digest", "start", "end")
+
+
 def _oracle() -> str:
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     line = r"trim(regexp_replace(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
