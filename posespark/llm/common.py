@@ -24,12 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary folder where the session names none (single-machine tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the
+    context's checkpoint folder, else (on one machine only) a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not (context.master or "").startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         named = context.getCheckpointDir()
     return named
@@ -51,6 +53,34 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables in the shared folder that are deleted when the block ends.
+
+    What leaves the block must be cut: it may not read these tables any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.parquet(self.paths[-1])
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,4 +1,10 @@
-"""Near copies by the share of common shingles (Jaccard), all pairs: prefixes in one order, then exact verification."""
+"""Near copies by the share of common shingles: SimHash links first, then all pairs that it can't see.
+
+Fingerprints of 64 bits tell copies with a few changes apart from all else, but not a share
+of four fifths: there they differ in ten bits on average, and no segment of a useful length
+keeps a small ball. So the links that multi-index hashing finds are completed by sets that
+have one of their rarest shingles in common, and every link of either kind is decided by whole sets.
+"""
 
 from __future__ import annotations
 
@@ -11,91 +17,118 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, utf8, written
-from .simhash import components, shingle_hashes
+from . import simhash
+from .common import Scratch, cut, utf8
 
 #: Words of a shingle, and the least share of common shingles as a fraction.
 SHINGLE, SHARE = 5, (4, 5)
-#: Frequent shingles come last in the order: documents they are counted in, the least count, the most shingles.
-SAMPLE, SEEN, MOST = 20_000, 4, 100_000
+#: Frequent shingles come last in the order. They are looked for in a fiftieth of the documents, in so many
+#: at least; so many of the documents make a shingle frequent, and so many shingles are kept at most.
+SAMPLE, SAMPLED, SEEN, MOST = 20_000, 0.02, 4, 200_000
+#: Sets that one task holds under a frequent shingle, by the estimate.
+HELD = 2_000
 #: Most keys of rows or sets that are sent to every task, and most pairs of one set in a task's key.
-SEND, SPREAD = 2_000_000, 256
+SEND, SPREAD = 500_000, 256
+#: Parity bits for each shingle of a set.
+PARITY = 2
 
 
 def _set(text: bytes | None, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle))
-
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
-def _with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """_doc with fp, a hash of its set of shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = (_set(t, shingle) for t in utf8(batch.column("_doc").field("text")))
-            prints = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in batch.schema.names} | {"fp": pa.array(prints.view(np.int64))})
+def _sets(texts: list[bytes | None], shingle: int) -> Iterator[list[np.ndarray]]:
+    for i in range(0, len(texts), 500):  # sets are larger than texts
+        yield [_set(t, shingle) for t in texts[i : i + 500]]
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    values = np.concatenate(arrays) if arrays else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64) if values.dtype == np.uint64 else values))
 
-def _sets(tagged: DataFrame, shingle: int, take: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """fp, n, the size of its set, and hashes: what take gives of the set (all without).
 
-    Of equal sets a task gives one, so a large group of copies makes few rows.
-    """
+def _frequent(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are common in a sample, and how many documents may have them."""
+    rows = keyed.count()
+    share = min(1.0, max(SAMPLED, SAMPLE / max(rows, 1))) if SAMPLE else 0.0
+    part = keyed.filter(F.pmod(F.col("_k1"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            new = []
-            for i, fp in enumerate(batch.column("fp").to_pylist()):
-                if fp not in seen:
-                    seen.add(fp)
-                    new.append(i)
-            batch = batch.take(pa.array(new, type=pa.int64()))
-            texts = utf8(batch.column("text"))
-            for i in range(0, len(texts), 500):  # sets are larger than texts
-                sets = [_set(t, shingle) for t in texts[i : i + 500]]
-                taken = [s if take is None else take(s) for s in sets]
-                ends = np.cumsum([0, *map(len, taken)], dtype=np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    "fp": batch.column("fp").slice(i, 500),
-                    "n": pa.array([len(s) for s in sets], type=pa.int64()),
-                    "hashes": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(taken).view(np.int64))),
-                })
+            for sets in _sets(utf8(batch.column("text")), shingle):
+                yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(sets).view(np.int64))})
 
-    return tagged.select("fp", F.col("_doc.text").alias("text")).mapInArrow(run, "fp long, n long, hashes array<long>")
+    counts = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    table = counts.filter(F.col("n") >= SEEN).orderBy(F.desc("n"), "h").limit(MOST).toArrow()
+    hashes, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    by_hash = np.argsort(hashes)
+    return hashes[by_hash], (n[by_hash] / max(share, 1e-9)).astype(np.int64)
 
 
-def _prefix(frequent: np.ndarray, counts: np.ndarray, share: tuple[int, int]) -> Callable[[np.ndarray], np.ndarray]:
-    """The first hashes of a set, of which two sets with the share have one in common.
+def _prefix(frequent: np.ndarray, counts: np.ndarray, share: tuple[int, int]) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The first hashes of a set, of which two sets with the share have one in common, and their counts.
 
     Any one order of hashes serves; here the frequent ones come last, by count.
     """
     p, q = share
-    by_hash = np.argsort(frequent)
-    frequent, counts = frequent[by_hash], counts[by_hash]
 
-    def take(hashes: np.ndarray) -> np.ndarray:
+    def take(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(hashes)
-        if not n:
-            return hashes
-        rank = np.zeros(n, dtype=np.int64)
-        if len(frequent):
+        count = np.zeros(n, dtype=np.int64)
+        if n and len(frequent):
             at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-            rank = np.where(frequent[at] == hashes, counts[at], 0)
-        return hashes[np.lexsort((hashes, rank))[: n + (-p * n) // q + 1]]
+            count = np.where(frequent[at] == hashes, counts[at], 0)
+        first = np.lexsort((hashes, count))[: n + (-p * n) // q + 1] if n else np.empty(0, dtype=np.int64)
+        return hashes[first], count[first]
 
     return take
 
 
-def _frequent(tagged: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that are common in a sample, and their counts."""
-    rows = tagged.count()
-    part = tagged.filter(F.pmod(F.xxhash64("_row"), F.lit(1_000_000)) < F.lit(1_000_000 * SAMPLE // max(rows, SAMPLE)))
-    counts = _sets(part, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    table = counts.filter(F.col("n") >= SEEN).orderBy(F.desc("n"), "h").limit(MOST).toArrow()
-    return table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes in buckets, packed in words: a power of two at PARITY bits a hash or more.
+
+    Two sets differ in at least as many hashes as their parities differ in bits.
+    """
+    n_bits = 1 << max(6, (PARITY * len(hashes) - 1).bit_length())
+    bits = np.bincount((hashes & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _tagged(keyed: DataFrame, shingle: int, take: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """_k1, _k2 and doc_id with the hash of the set, its size, the fingerprint, parities and first hashes.
+
+    Parities and first hashes are given once for each distinct set of a task, so a large group of copies
+    makes few of them; null otherwise.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            at = 0
+            for sets in _sets(utf8(batch.column("text")), shingle):
+                part = batch.slice(at, len(sets))
+                at += len(sets)
+                prints = [xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets]
+                new = []
+                for fp in prints:
+                    new.append(fp not in seen)
+                    seen.add(fp)
+                firsts = [take(s) if fresh else (s[:0], np.empty(0, dtype=np.int64)) for s, fresh in zip(sets, new, strict=True)]
+                parity = [_parity(s) if fresh else np.empty(0, dtype="<i8") for s, fresh in zip(sets, new, strict=True)]
+                yield pa.RecordBatch.from_pydict({
+                    "_k1": part.column("_k1"), "_k2": part.column("_k2"), "doc_id": part.column("doc_id"),
+                    "fp": pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
+                    "n": pa.array([len(s) for s in sets], type=pa.int32()),
+                    "bits": pa.array([simhash.majority(s) if fresh else 0 for s, fresh in zip(sets, new, strict=True)], type=pa.uint64()).view(pa.int64()),
+                    "fresh": pa.array(new),
+                    "parity": _lists(parity), "hashes": _lists([h for h, _ in firsts]), "counts": _lists([c for _, c in firsts]),
+                })
+
+    many = T.ArrayType(T.LongType())
+    kinds = {"_k1": T.LongType(), "_k2": T.LongType(), "doc_id": keyed.schema["doc_id"].dataType, "fp": T.LongType(), "n": T.IntegerType()}
+    kinds |= {"bits": T.LongType(), "fresh": T.BooleanType(), "parity": many, "hashes": many, "counts": many}
+    return keyed.select("_k1", "_k2", "doc_id", "text").mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
 
 
 def _can(x: str, y: str, share: tuple[int, int]) -> Column:
@@ -106,61 +139,127 @@ def _can(x: str, y: str, share: tuple[int, int]) -> Column:
     return (q * F.least(n, m) >= p * F.greatest(n, m)) & ((p + q) * left >= p * (n + m))
 
 
-def _verified(pairs: DataFrame, tagged: DataFrame, shingle: int, share: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have the share.
+def _folded(a: str, b: str) -> Column:
+    """Bits in which two parities differ, the longer one folded to the length of the other."""
+    short = F.least(F.size(a), F.size(b))
 
-    Each set is made again from one text; a set in many pairs is sent under several keys.
-    """
-    p, q = share
-    pairs = cut(pairs.distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("uses")))
-    few = wanted.count() <= SEND
-    keys = tagged.select("fp", "_row").join(F.broadcast(wanted.select("fp")) if few else wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.min("_row").alias("_row"))
-    keys = cut(keys.select("_row"))
-    sets = written(_sets(tagged.join(F.broadcast(keys) if few else keys, "_row", "left_semi"), shingle), "near-sets")
-    sets = sets.join(wanted, "fp").withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor(F.col("uses") / SPREAD).cast("int"))))
-    uses = wanted.filter(F.col("uses") >= SPREAD).select("fp", F.floor(F.col("uses") / SPREAD).cast("int").alias("more"))
+    def fold(x: str) -> Column:
+        half = F.zip_with(F.slice(x, F.lit(1), short), F.slice(x, short + 1, short), lambda u, v: u.bitwiseXOR(F.coalesce(v, F.lit(0))))
+        return F.when(F.size(x) > short, half).otherwise(F.col(x))
+
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
+
+
+class _Verifier:
+    """Decides pairs of sets: sizes, then parities, then the sets themselves."""
+
+    def __init__(self, keyed: DataFrame, sets: DataFrame, shingle: int, share: tuple[int, int], tables: Scratch):
+        self.keyed, self.sets, self.shingle, self.share, self.tables = keyed, sets, shingle, share, tables
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that sizes and parities do not rule out."""
+        p, q = self.share
+        side = lambda k: self.sets.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        sizes = q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")
+        # a pair whose sizes are too far apart is never folded more than once
+        return both.filter(sizes).filter((p + q) * _folded("parity_a", "parity_b") <= (q - p) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sets have the share.
 
-    def keyed(df: DataFrame, key: str, other: str) -> DataFrame:
-        more = F.coalesce(F.col("more"), F.lit(0)) + 1
-        return df.join(F.broadcast(uses.withColumnRenamed("fp", key)), key, "left").withColumn(f"{key}_copy", F.pmod(F.xxhash64(other), more).cast("int")).drop("more")
+        Each set is made again from one text; a set in many pairs is sent under several keys.
+        """
+        p, q = self.share
+        pairs = cut(self.likely(pairs.distinct()))
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("uses")))
+        few = wanted.count() <= SEND
+        keys = self.sets.join(wanted, "fp").select("fp", F.col("first._k1").alias("_k1"), F.col("first._k2").alias("_k2"))
+        made = self.tables.write(self._made(self.keyed.join(F.broadcast(keys) if few else keys, ["_k1", "_k2"])), "near-sets")
+        made = made.dropDuplicates(["fp"]).join(wanted, "fp").withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor(F.col("uses") / SPREAD).cast("int"))))
+        uses = wanted.filter(F.col("uses") >= SPREAD).select("fp", F.floor(F.col("uses") / SPREAD).cast("int").alias("more"))
 
-    def side(key: str) -> DataFrame:
-        return sets.select(F.col("fp").alias(key), F.col("copy").alias(f"{key}_copy"), F.col("n").alias(f"n_{key}"), F.col("hashes").alias(f"h_{key}"))
+        def keyed(df: DataFrame, key: str, other: str) -> DataFrame:
+            more = F.coalesce(F.col("more"), F.lit(0)) + 1
+            return df.join(uses.withColumnRenamed("fp", key), key, "left").withColumn(f"{key}_copy", F.pmod(F.xxhash64(other), more).cast("int")).drop("more")
 
-    both = keyed(keyed(pairs, "a", "b"), "b", "a").join(side("b"), ["b", "b_copy"]).join(side("a"), ["a", "a_copy"])
-    return cut(both.filter((p + q) * F.size(F.array_intersect("h_a", "h_b")) >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
+        def side(key: str) -> DataFrame:
+            return made.select(F.col("fp").alias(key), F.col("copy").alias(f"{key}_copy"), F.col("n").alias(f"n_{key}"), F.col("hashes").alias(f"h_{key}"))
 
+        both = keyed(keyed(pairs, "a", "b"), "b", "a").join(side("b"), ["b", "b_copy"]).join(side("a"), ["a", "a_copy"])
+        return cut(both.filter((p + q) * F.size(F.array_intersect("h_a", "h_b")) >= p * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
 
-def near_links(tagged: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
+    def _made(self, rows: DataFrame) -> DataFrame:
+        shingle = self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = 0
+                for sets in _sets(utf8(batch.column("text")), shingle):
+                    yield pa.RecordBatch.from_pydict({"fp": batch.column("fp").slice(at, len(sets)), "n": pa.array([len(s) for s in sets], type=pa.int64()), "hashes": _lists(sets)})
+                    at += len(sets)
+
+        return rows.select("fp", "text").mapInArrow(run, "fp long, n long, hashes array<long>")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of the links, the roots included."""
+    found = simhash.components(links)
+    return cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
+
+
+def _named(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    """rows with the root of the node; a node without links is its own."""
+    found = roots.select(F.col("node").alias("_node"), F.col("root").alias(name))
+    if roots.count() <= SEND:
+        found = F.broadcast(found)
+    return rows.join(found, F.col(node) == F.col("_node"), "left").withColumn(name, F.coalesce(name, F.col(node))).drop("_node")
+
+
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of sets (a, b), a < b, that fingerprints of 64 bits link: equal ones, and by multi-index hashing those within 2 bits."""
+    one = cut(sets.groupBy("bits").agg(F.min("fp").alias("one")))
+    equal = sets.join(one, "bits").filter("fp != one").select(F.least("one", "fp").alias("a"), F.greatest("one", "fp").alias("b"))
+    near = simhash.near_links(one.select(F.col("bits").alias("fp")))
+    of = lambda k: one.select(F.col("bits").alias(k), F.col("one").alias(f"{k}_fp"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
+    return equal.unionByName(near)
+
+
+def near_links(tagged: DataFrame, verifier: _Verifier) -> DataFrame:
     """Pairs (a, b) of sets, a < b, with at least the share of common shingles, that link all such.
 
-    Two sets with the share have a hash in common among the first n - ceil(share n) + 1
-    of each in one order of all hashes, so the rows that share one of these are
-    the candidates; sizes and places of the hash rule out most, the sets
-    themselves decide. First each is held against the least set under the same hash.
-    Then all others under a hash are held against each other, but for those that these first
-    links join already, so that a large group of near copies does not pair up.
+    1. Pairs that SimHash links are verified.
+    2. Two sets with the share have a hash in common among the first n - ceil(share n) + 1
+    of each in one order of all hashes, so the rows that share one of these are the candidates;
+    sizes and places of the hash rule out most. Each row is held against the least under the
+    same hash, unless step 1 joined them; rows of a frequent hash are dealt over several tasks,
+    each with its own least.
+    3. Sets that share a hash and are not joined yet are held against each other, but
+    for those that belong to the commonest group under the hash, so that a large group of near
+    copies does not pair up.
     """
-    take = _prefix(*_frequent(tagged, shingle), share)
-    rows = _sets(tagged, shingle, take).select("fp", "n", F.posexplode("hashes").alias("pos", "h")).repartition("h").dropDuplicates(["h", "fp"])
-    under = Window.partitionBy("h")
+    share = verifier.share
+    first = verifier.verified(simhash_pairs(verifier.sets.filter("n > 0")))
+    pairs = F.arrays_zip("hashes", "counts")
+    rows = tagged.filter("fresh and n > 0").select("fp", "n", F.posexplode(pairs).alias("pos", "e")).select("fp", "n", "pos", F.col("e.hashes").alias("h"), F.col("e.counts").alias("often"))
+    dealt = F.pmod(F.xxhash64("h", "fp"), 1 + F.floor(F.col("often") / HELD)).cast("int")
+    rows = rows.withColumn("part", dealt).repartition("h", "part").dropDuplicates(["h", "part", "fp"])
+    under = Window.partitionBy("h", "part")
     item = F.struct("fp", "n", "pos")
-    rows = written(
-        rows.select("h", item.alias("x"), F.min(item).over(under).alias("y"), F.count("*").over(under).alias("m")).filter("m > 1 and x.fp != y.fp").drop("m"),
-        "near-rows",
-    )
-    first = _verified(rows.filter(_can("x", "y", share)).select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")), tagged, shingle, share)
-    found = components(first)
-    roots = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()))
-    named = rows.select("h", "x", F.col("x.fp").alias("node"), F.col("y.fp").alias("least"))
-    named = named.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
-    named = named.join(roots.select(F.col("node").alias("least"), F.col("root").alias("main")), "least", "left").withColumn("main", F.coalesce("main", "least")).drop("least")
-    named = written(named, "near-rows")
+    rows = rows.select("h", "part", "often", item.alias("x"), F.min(item).over(under).alias("y"), F.count("*").over(under).alias("m"))
+    # of a frequent hash every row stays, as its other rows may be in other tasks
+    rows = verifier.tables.write(rows.filter((F.col("m") > 1) | (F.col("often") >= HELD)).select("h", "x", "y"), "near-rows")
+    found = _roots(first)
+    star = _named(_named(rows.filter("x.fp != y.fp").filter(_can("x", "y", share)), found, "x.fp", "root"), found, "y.fp", "main").filter("root != main")
+    first = cut(first.unionByName(verifier.verified(star.select(F.col("y.fp").alias("a"), F.col("x.fp").alias("b")))))
+    named = _named(rows.select("h", "x"), _roots(first), "x.fp", "root")
+    groups = named.groupBy("h", "root").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    named = verifier.tables.write(named.join(groups.filter("roots > 1").drop("roots"), "h"), "near-rows")
     other = named.filter("root != main").select("h", F.col("x").alias("y"), F.col("root").alias("root_y"))
     met = named.join(other, "h").filter((F.col("root") != F.col("root_y")) & _can("x", "y", share))
     later = met.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
-    return first.unionByName(_verified(later, tagged, shingle, share)).distinct()
+    return first.unionByName(verifier.verified(later)).distinct()
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int, int] = SHARE) -> DataFrame:
@@ -168,16 +267,18 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, share: tuple[int,
 
     A group is what a chain of links joins; two texts link where at least the share
     of their shingles (words in lower case, each shingle counted once) is common to both.
-    Null, empty and blank texts are one group.
+    Null, empty and blank texts are one group. An empty table gives no rows; other
+    columns stay as they are, whatever their names.
+
+    The texts are read where they lie and never shuffled while the dropped rows are few: rows are named by
+    two hashes of all their columns (simhash.keyed), and tables between are deleted at the end.
     """
-    whole = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    tagged = written(_with_sets(whole, shingle).withColumn("_row", F.monotonically_increasing_id()), "near-copies")
-    found = components(near_links(tagged, shingle, share))
-    roots = cut(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("fp"), "root"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
-    firsts = tagged.groupBy("fp").agg(F.min(order).alias("first"))
-    firsts = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    dropped = cut(tagged.select("_row").join(chosen, "_row", "left_anti"))
-    few = dropped.count() <= SEND  # then the texts stay where they are
-    return tagged.join(F.broadcast(dropped) if few else dropped, "_row", "left_anti").select("_doc.*")
+    keyed = simhash.keyed(docs)
+    texts = keyed.select("_k1", "_k2", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
+    with Scratch(docs.sparkSession) as tables:
+        tagged = tables.write(_tagged(texts, shingle, _prefix(*_frequent(texts, shingle), share)), "near-tags")
+        sets = tagged.filter("fresh").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parity").alias("parity"), F.min(F.struct("_k1", "_k2")).alias("first"))
+        sets = tables.write(sets, "near-sets")
+        roots = _roots(near_links(tagged, _Verifier(texts, sets, shingle, share, tables)))
+        chosen = simhash.chosen_rows(_named(tagged.select("_k1", "_k2", "doc_id", "fp"), roots, "fp", "root"))
+    return simhash.with_rows(keyed, chosen, SEND)

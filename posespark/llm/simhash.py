@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, utf8, written
+from .common import LOWER, cut, utf8
 
 #: Words of a shingle, seed of its hash, and the most bits in which linked fingerprints differ.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -36,7 +36,11 @@ def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """64 majority bits of the hashes of a text's shingles; 0 without words."""
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; 0 without hashes."""
     n = len(hashes)
     if not n:
         return 0
@@ -49,14 +53,12 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """Adds fp, the fingerprint as a signed long, from the column text (then left out) or _doc.text."""
+    """Adds fp, the fingerprint as a signed long, and leaves text out."""
     keep = [f for f in docs.schema.fields if f.name != "text"]
-    inner = "text" not in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_doc").field("text") if inner else batch.column("text")
-            prints = np.fromiter((fingerprint(t) for t in utf8(texts)), dtype=np.uint64, count=batch.num_rows)
+            prints = np.fromiter((fingerprint(t) for t in utf8(batch.column("text"))), dtype=np.uint64, count=batch.num_rows)
             columns = {f.name: batch.column(f.name) for f in keep}
             yield pa.RecordBatch.from_pydict(columns | {"fp": pa.array(prints.view(np.int64))})
 
@@ -165,18 +167,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return tagged.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind.fields)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """_doc, the row itself, with _k1 and _k2, two hashes of its columns (but for maps and variants).
+
+    They name rows by value, so a row keeps its name when docs is read again.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    values = [F.col(f"`{f.name}`") for f in docs.schema.fields if _hashable(f.dataType)]
+    return docs.select(F.xxhash64(*values).alias("_k1"), F.xxhash64(F.lit(SEED), *values).alias("_k2"), F.struct(*columns).alias("_doc"))
+
+
+def chosen_rows(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (_k1, _k2, doc_id, root): the names that are not the least of their root, and the least that several rows have."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")
+    best = cut(named.groupBy("root").agg(F.min(order).alias("best")).select("best._k1", "best._k2"))
+    names = cut(named.groupBy("_k1", "_k2").agg(F.count("*").alias("rows")))
+    dropped = cut(names.join(best, ["_k1", "_k2"], "left_anti").select("_k1", "_k2"))
+    return dropped, cut(names.filter("rows > 1").select("_k1", "_k2").join(best, ["_k1", "_k2"], "left_semi"))
+
+
+def with_rows(keyed: DataFrame, chosen: tuple[DataFrame, DataFrame], send: int) -> DataFrame:
+    """The rows of keyed that chosen_rows leaves, one of repeated rows; up to `send` names go to every task, so that rows stay in place."""
+    keys = ["_k1", "_k2"]
+    dropped, repeated = (F.broadcast(x) if x.count() <= send else x for x in chosen)
+    left = keyed.join(dropped, keys, "left_anti")
+    if not chosen[1].isEmpty():
+        left = left.join(repeated, keys, "left_anti").unionByName(left.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return left.select("_doc.*")
+
+
+def drop_near_duplicates(docs: DataFrame, send: int = 500_000) -> DataFrame:
     """docs with one row of each component: least doc_id (null last), of repeated rows one.
 
-    The rows with their fingerprints are written once to the shared folder, so that
-    the row numbers by which they are chosen stay as they are.
+    Null, empty and blank texts have fingerprint zero and are linked like any other. An empty table gives
+    no rows; other columns stay as they are, whatever their names.
     """
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    whole = docs.select("doc_id", kept)
-    tagged = written(with_fingerprints(whole).withColumn("_row", F.monotonically_increasing_id()), "simhash")
-    roots = _roots(tagged)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
-    firsts = tagged.groupBy("fp").agg(F.min(order).alias("first"))
-    firsts = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return tagged.join(chosen, "_row", "left_semi").select("_doc.*")
+    rows = keyed(docs)
+    tagged = cut(with_fingerprints(rows.select("_k1", "_k2", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))))
+    named = tagged.join(_roots(tagged), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return with_rows(rows, chosen_rows(named), send)
