@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from math import radians
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import head_tail_cosine, nan
+from .lineage import cut
 from .timeseries import streamed_fold
 
 #: Largest mean angle between successive frames, and times in seconds: look-back, least
@@ -152,29 +154,36 @@ def spread(segments: pd.DataFrame, limit: int) -> pd.DataFrame:
     chosen = [None if pd.isna(a) else int(a) for a in table["alignment"]]
     first, last = table["first_t"].tolist(), table["last_t"].tolist()
     end = {name: [np.asarray(v, float) for v in table[name]] for name in ("first0", "first1", "last0", "last1")}
-    while True:
-        best = None
-        for i, a in enumerate(chosen):
-            if a is not None:
-                continue
-            for side in (-1, 1):
-                j = i + side
-                if 0 <= j < len(chosen) and chosen[j] is not None:
-                    gap = first[i] - last[j] if side < 0 else first[j] - last[i]
-                    if best is None or gap < best[0]:
-                        best = (gap, i, j)
-        if best is None or best[0] > limit:
-            break
-        _, i, j = best
-        mine, theirs = ("first", "last") if j < i else ("last", "first")
-        anchor = end[f"{theirs}{chosen[j]}"][j]
-        chosen[i] = int(_cosine(end[f"{mine}1"][i], anchor) > _cosine(end[f"{mine}0"][i], anchor))
+    waiting: list[tuple[int, int, int]] = []  # gap, open segment, side of the aligned one
+
+    def offer(j: int) -> None:
+        """The neighbours of an aligned segment that are open."""
+        for i, side in ((j - 1, 1), (j + 1, -1)):
+            if 0 <= i < len(chosen) and chosen[i] is None:
+                gap = first[i] - last[j] if side < 0 else first[j] - last[i]
+                if gap <= limit:
+                    heappush(waiting, (gap, i, side))
+
+    for j, a in enumerate(chosen):
+        if a is not None:
+            offer(j)
+    while waiting:
+        _, i, side = heappop(waiting)
+        if chosen[i] is None:
+            mine, theirs = ("first", "last") if side < 0 else ("last", "first")
+            anchor = end[f"{theirs}{chosen[i + side]}"][i + side]
+            chosen[i] = int(_cosine(end[f"{mine}1"][i], anchor) > _cosine(end[f"{mine}0"][i], anchor))
+            offer(i)
     table["alignment"] = pd.array(chosen, dtype="Int32")
     return table
 
 
 def align_neighbours(segments: DataFrame, parts: DataFrame, skeletons: DataFrame, frame_rate: float) -> DataFrame:
-    """video, segment, alignment after spreading to neighbours; a row of segments per video is small."""
+    """video, segment, alignment after spreading to neighbours.
+
+    An orientation never crosses a gap above the limit, so the segments between such gaps
+    are a group of their own: a long video spreads over tasks.
+    """
     def vector(k: int) -> Column:
         s = F.col(f"skeleton{k}")
         return F.array(F.element_at(s, -1)["x"] - F.element_at(s, 1)["x"], F.element_at(s, -1)["y"] - F.element_at(s, 1)["y"])
@@ -187,11 +196,14 @@ def align_neighbours(segments: DataFrame, parts: DataFrame, skeletons: DataFrame
     table = segments.select("video", "segment", "alignment").join(ends, ["video", "segment"])
     limit = frames_of(MAX_SPREAD_S, frame_rate)
     kind = dict(parts.dtypes)["video"]
+    along = Window.partitionBy("video").orderBy("first_t")
+    apart = F.coalesce((F.col("first_t") - F.lag("last_t").over(along) > limit).cast("int"), F.lit(0))
+    table = table.withColumn("_apart", apart).withColumn("_piece", F.sum("_apart").over(along)).drop("_apart")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return spread(group, limit)[["video", "segment", "alignment"]]
 
-    return table.groupBy("video").applyInPandas(run, f"video {kind}, segment int, alignment int")
+    return table.groupBy("video", "_piece").applyInPandas(run, f"video {kind}, segment int, alignment int")
 
 
 def resolve(frames: DataFrame, skeletons: DataFrame, labels: DataFrame, frame_rate: float, threshold: float = SCORE_THRESHOLD) -> DataFrame:
@@ -200,7 +212,7 @@ def resolve(frames: DataFrame, skeletons: DataFrame, labels: DataFrame, frame_ra
     frames as above; skeletons: video, t, skeleton0, skeleton1 in candidate order;
     labels: video, t, label. Videos without an aligned segment stay unresolved.
     """
-    parts = drop_short(continuous_partitions(frames, frame_rate, threshold), frame_rate)
+    parts = cut(drop_short(continuous_partitions(frames, frame_rate, threshold), frame_rate))  # narrow, and used five times
     # stored order: what the fold chose comes first
     stored = skeletons.join(parts, ["video", "t"]).select(
         "video", "t",

@@ -97,9 +97,9 @@ def score_candidates(candidates: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [one(r) for r in batch.itertuples(index=False)]
-            yield pd.DataFrame({"video": batch["video"], "t": batch["t"], "k": batch["k"], "score": [f[0] for f in found], "skeleton": [f[1] for f in found]})
+            yield pd.DataFrame({"video": batch["video"], "t": batch["t"], "k": batch["k"], "theta": batch["theta"], "score": [f[0] for f in found], "skeleton": [f[1] for f in found]})
 
-    scored = candidates.mapInPandas(run, f"video {kinds['video']}, t {kinds['t']}, k {kinds['k']}, score double, skeleton array<struct<x:double,y:double>>")
+    scored = candidates.mapInPandas(run, f"video {kinds['video']}, t {kinds['t']}, k {kinds['k']}, theta {kinds['theta']}, score double, skeleton array<struct<x:double,y:double>>")
     return scored.withColumns({"score": F.coalesce("score", nan()), "skeleton": with_nan(F.col("skeleton"))})
 
 

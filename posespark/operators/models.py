@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,12 +34,18 @@ def information_criterion(modes: DataFrame, column: str, ks: Sequence[int], seed
             try:
                 likelihood = GaussianMixture(k=k, seed=seed, maxIter=max_iter, featuresCol="_v").fit(vectors).summary.logLikelihood
                 out.append((k, seed, 2 * (k - 1 + k * dims + k * dims * (dims + 1) // 2) - 2 * likelihood))
-            except Exception:  # noqa: BLE001  a degenerate fit is a missing value
+            except IllegalArgumentException:  # a degenerate covariance; a job that fails is an error
                 out.append((k, seed, float("nan")))
     vectors.unpersist()
     return out
 
 
+def criterion_spread(criteria: DataFrame) -> DataFrame:
+    """k, n, mean and (population) deviation of the AIC over the seeds; NaN fits are left out."""
+    known = F.when(~F.isnan("aic"), F.col("aic"))
+    return criteria.groupBy("k").agg(F.count(known).alias("n"), F.avg(known).alias("mean_aic"), F.stddev_pop(known).alias("deviation"))
+
+
 def sample_postures(spark: SparkSession, n: int, weights: Sequence[float], means: Sequence[Sequence[float]], covariances: Sequence, seed: int = 0) -> DataFrame:
     """id and theta of n postures: a component by weight, a normal draw, a turn of the whole body.
 

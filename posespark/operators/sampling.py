@@ -33,6 +33,19 @@ def best_models(losses: DataFrame, n: int = 5) -> DataFrame:
     return losses.orderBy(F.col("val_loss"), F.col("name").desc()).limit(n)
 
 
+def model_registry(losses: DataFrame, n: int = 5) -> DataFrame:
+    """name, epoch, val_loss, is_best, is_last and keep of each saved model.
+
+    The n best and the latest epoch are kept, the latest being where training goes on; of equal
+    losses or epochs the names later in the alphabet. losses: name, epoch, val_loss.
+    """
+    last = losses.agg(F.max(F.struct("epoch", "name")).alias("last")).select(F.col("last.name").alias("_last"))
+    best = best_models(losses, n).select(F.col("name").alias("_best"))
+    marked = losses.join(F.broadcast(best), F.col("name") == F.col("_best"), "left").join(F.broadcast(last))  # n rows and one row
+    marked = marked.select("name", "epoch", "val_loss", F.col("_best").isNotNull().alias("is_best"), (F.col("name") == F.col("_last")).alias("is_last"))
+    return marked.withColumn("keep", F.col("is_best") | F.col("is_last"))
+
+
 def sample_per_group(rows: DataFrame, n: int, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The n first rows of each group in an order, all where there are fewer."""
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))

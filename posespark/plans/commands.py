@@ -15,6 +15,7 @@ from ..functions import angles as A
 from ..functions.aggregates import nan_mean
 from ..functions.arrow import skeleton_to_theta
 from ..operators import alignment, headtail, imaging, models, sampling, timeseries
+from ..operators.lineage import cut
 
 #: Defaults: images scored for calibration and evaluation, templates that a sample is drawn from.
 CALIBRATION_FRAMES, EVALUATION_FRAMES, TEMPLATES = 500, 1000, 1000
@@ -41,7 +42,7 @@ def templates(features: DataFrame, crops: DataFrame) -> DataFrame:
 
 
 def score(candidates: DataFrame, features: DataFrame, crops: DataFrame, size: int, joints: int) -> DataFrame:
-    """candidates (video, t, k, theta) with score and skeleton, drawn from the nearest labelled frame.
+    """candidates (video, t, k, theta; t is a frame) with score and skeleton, drawn from the nearest labelled frame.
 
     The nearest frame is found on narrow rows; images only meet the frames that need them.
     """
@@ -60,23 +61,47 @@ def expand(predictions: DataFrame) -> DataFrame:
 
 
 def predict(crops: DataFrame, features: DataFrame, model: Column, size: int, joints: int, frame_rate: float, threshold: float = headtail.SCORE_THRESHOLD) -> dict[str, DataFrame]:
-    """Stages `unaligned` (both candidates) and `resolved` (one, or null) of every frame of videos with a label.
+    """Stages `original` (the labels), `unaligned` (both candidates) and `resolved` (one, or null) of every frame of videos with a label.
 
     model: an expression over the column image that gives theta, for instance
-    models.predictor(load)(F.col("image")).
+    models.predictor(load)(F.col("image")). The model and the scores run once: the candidates are
+    cut in the shared folder, without images, and everything after them starts there.
     """
     some = labelled(features).select("video").distinct()
     thetas = crops.join(some, "video", "left_semi").select("video", F.col("frame_index").alias("t"), model.alias("theta"))
-    scored = score(expand(thetas), features, crops, size, joints).join(expand(thetas), ["video", "t", "k"])
+    scored = score(expand(thetas), features, crops, size, joints)
     side = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k}")
-    unaligned = scored.groupBy("video", "t").agg(*[side(c, k) for c in ("theta", "score", "skeleton") for k in (0, 1)])
+    unaligned = cut(scored.groupBy("video", "t").agg(*[side(c, k) for c in ("theta", "score", "skeleton") for k in (0, 1)]))
     labels = labelled(features).select("video", F.col("frame_index").alias("t"), F.col("skeleton").alias("label"))
     usable = headtail.score_guard(unaligned, threshold).filter("resolvable").select("video")
     frames = unaligned.join(usable, "video", "left_semi")
     chosen = headtail.resolve(frames, frames.select("video", "t", "skeleton0", "skeleton1"), labels, frame_rate, threshold)
     pick = lambda c: F.when(F.col("k") == 0, F.col(f"{c}0")).when(F.col("k") == 1, F.col(f"{c}1")).alias(c)
     resolved = chosen.join(frames, ["video", "t"]).select("video", "t", "segment", "k", "score", pick("theta"), pick("skeleton"))
-    return {"unaligned": unaligned, "resolved": resolved}
+    return {"original": original(features.join(some, "video", "left_semi"), joints), "unaligned": unaligned, "resolved": resolved}
+
+
+def original(features: DataFrame, joints: int) -> DataFrame:
+    """video, t, theta and skeleton of the labels; theta null where a frame has none."""
+    theta = F.when(A.is_labelled(F.col("skeleton")), skeleton_to_theta(F.col("skeleton"), joints))
+    return features.select("video", F.col("frame_index").alias("t"), theta.alias("theta"), "skeleton")
+
+
+def rescore(processed: DataFrame, features: DataFrame, crops: DataFrame, size: int, joints: int, names: Sequence[str] = ("interp", "smooth")) -> DataFrame:
+    """processed with score_* and skeleton_* of the named angles, drawn and scored again; null where there are no angles.
+
+    processed: as post_process() gives it, by tick. A tick meets the frames whose timestamp it is;
+    of several the last counts, and a tick without a frame has no score. Angles turned for
+    the ventral side must be rescored before they are turned.
+    """
+    frames = features.select("video", "frame_index", F.coalesce("timestamp", F.col("frame_index").cast("bigint")).alias("tick"))
+    at = alignment.tick_lookup(processed.select("video", "t"), frames).select("video", "t", "frame_index")
+    each = processed.select("video", "t", F.posexplode(F.array(*names)).alias("k", "theta")).filter("theta is not null")
+    drawn = each.join(at, ["video", "t"]).select("video", F.col("frame_index").alias("t"), "k", "theta")
+    scored = score(drawn, features, crops, size, joints).select("video", F.col("t").alias("frame_index"), "k", "score", "skeleton")
+    last = lambda c, k: F.max_by(F.when(F.col("k") == k, F.col(c)), F.when(F.col("k") == k, F.col("frame_index")))
+    by_tick = scored.join(at, ["video", "frame_index"]).groupBy("video", "t").agg(*[last(c, k).alias(f"{c}_{n}") for k, n in enumerate(names) for c in ("score", "skeleton")])
+    return processed.join(by_tick, ["video", "t"], "left")
 
 
 def post_process(

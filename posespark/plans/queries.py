@@ -441,13 +441,30 @@ def score_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headtail.score_guard(rows, 0.5).select("video", "all_missing", r6(F.col("best_score")).alias("best_score"), "resolvable")
 
 
-@query()
+_SPREAD = f""", ends AS (SELECT video, segment, min(t) AS f, max(t) AS l, arg_min(c0, t) AS f0, arg_min(c1, t) AS f1, arg_max(c0, t) AS l0, arg_max(c1, t) AS l1 FROM v GROUP BY video, segment),
+segs AS (SELECT video, list(segment ORDER BY f) AS s, list(alignment ORDER BY f) AS a, list(f ORDER BY f) AS f, list(l ORDER BY f) AS l, list(f0 ORDER BY f) AS f0, list(f1 ORDER BY f) AS f1,
+  list(l0 ORDER BY f) AS l0, list(l1 ORDER BY f) AS l1 FROM ends JOIN (SELECT video, segment, alignment FROM al) USING (video, segment) GROUP BY video),
+spread AS (SELECT video, a, 0 AS step FROM segs
+UNION ALL SELECT video, list_transform(range(1, len(r.a) + 1), lambda j: CASE WHEN j <> x.b.i THEN r.a[j] WHEN
+  {_cosine('(CASE WHEN x.b.d < 0 THEN s.f1[x.b.i] ELSE s.l1[x.b.i] END)', '(CASE WHEN x.b.d < 0 THEN CASE WHEN r.a[x.b.i - 1] = 0 THEN s.l0[x.b.i - 1] ELSE s.l1[x.b.i - 1] END ELSE CASE WHEN r.a[x.b.i + 1] = 0 THEN s.f0[x.b.i + 1] ELSE s.f1[x.b.i + 1] END END)')}
+  > {_cosine('(CASE WHEN x.b.d < 0 THEN s.f0[x.b.i] ELSE s.l0[x.b.i] END)', '(CASE WHEN x.b.d < 0 THEN CASE WHEN r.a[x.b.i - 1] = 0 THEN s.l0[x.b.i - 1] ELSE s.l1[x.b.i - 1] END ELSE CASE WHEN r.a[x.b.i + 1] = 0 THEN s.f0[x.b.i + 1] ELSE s.f1[x.b.i + 1] END END)')} THEN 1 ELSE 0 END), r.step + 1
+  FROM spread r JOIN segs s USING (video), LATERAL (SELECT list_sort(list_filter(flatten(list_transform(range(1, len(r.a) + 1), lambda i: CASE WHEN r.a[i] IS NOT NULL THEN [] ELSE [
+    CASE WHEN i > 1 AND r.a[i - 1] IS NOT NULL THEN {{'g': s.f[i] - s.l[i - 1], 'i': i, 'd': -1}} END, CASE WHEN i < len(r.a) AND r.a[i + 1] IS NOT NULL THEN {{'g': s.f[i + 1] - s.l[i], 'i': i, 'd': 1}} END] END)),
+    lambda y: y IS NOT NULL AND y.g <= {headtail.frames_of(headtail.MAX_SPREAD_S, FRAME_RATE)}))[1] AS b) x WHERE x.b IS NOT NULL),
+final AS (SELECT video, unnest(segs.s) AS segment, unnest(w.a) AS alignment FROM (SELECT video, arg_max(a, step) AS a FROM spread GROUP BY video) w JOIN segs USING (video)),
+chosen AS (SELECT video, t, segment, xor(CAST(k AS INTEGER), CAST(alignment AS INTEGER)) AS k FROM long JOIN final USING (video, segment) WHERE alignment IS NOT NULL),
+resolved AS (SELECT p.video, p.t, segment, CASE WHEN score >= {headtail.SCORE_THRESHOLD} THEN k END AS k, CASE WHEN k IS NOT NULL AND score >= {headtail.SCORE_THRESHOLD} THEN score END AS score
+  FROM poses p LEFT JOIN chosen c ON c.video = p.video AND c.t = p.t)"""
+
+
+@query(_fold_sql(3.0) + _LONG + _ALIGNED + _SPREAD + " SELECT video, t, CAST(segment AS INTEGER) AS segment, CAST(k AS INTEGER) AS k, round(score, 6) AS score FROM resolved")
 def resolve_headtail(spark: SparkSession, sf_dir: str) -> DataFrame:
     resolved = headtail.resolve(*_inputs(spark, sf_dir, 3.0), FRAME_RATE)
     return resolved.select("video", "t", "segment", "k", r6(F.col("score")).alias("score"))
 
 
-@query()
+@query(_fold_sql(3.0) + _LONG + _ALIGNED + _SPREAD + """, n AS (SELECT video, count(*) AS n_frames, count(k) AS n_resolved FROM resolved GROUP BY video), b AS (SELECT video, count(*) AS n_labelled FROM poses WHERE vec_id % 2 = 0 GROUP BY video)
+SELECT video, n_frames, n_resolved, coalesce(n_labelled, 0) AS n_labelled, round(100 * n_resolved / n_frames, 4) AS resolved_percent, round(100 * coalesce(n_labelled, 0) / n_frames, 4) AS labelled_percent FROM n LEFT JOIN b USING (video)""")
 def resolution_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = _inputs(spark, sf_dir, 3.0)
     return headtail.resolution_stats(headtail.resolve(*inputs, FRAME_RATE), inputs[2])

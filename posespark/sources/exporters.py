@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.angles import is_labelled
@@ -37,9 +41,9 @@ def trajectory_json(rows: DataFrame, frame_rate: float, ident: str = "1", chunk:
 
 
 def write_results(results: Mapping[str, DataFrame], path: str) -> None:
-    """Each stage of results under its own partition of one table, by video."""
+    """Each stage of results under its own partition of one table, by video; a rerun replaces the partitions that it writes."""
     for stage, rows in results.items():
-        rows.withColumn("stage", F.lit(stage)).write.mode("append").partitionBy("stage", "video").parquet(path)
+        rows.withColumn("stage", F.lit(stage)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "video").parquet(path)
 
 
 def read_results(spark, path: str, stages: tuple[str, ...] = ("resolved", "original")) -> DataFrame:
@@ -59,3 +63,32 @@ def write_scores(scores: DataFrame, path: str) -> None:
 def frame_file_name(t: Column, frame: Column, score: Column, digits: int = 6) -> Column:
     """Name of an annotated image: time, frame and score, padded with zeros."""
     return F.concat(F.lit("t"), F.lpad(t.cast("string"), digits, "0"), F.lit("_f"), F.lpad(frame.cast("string"), digits, "0"), F.lit("_s"), F.coalesce(F.format_string("%.4f", score), F.lit("nan")), F.lit(".pgm"))
+
+
+def write_archives(files: DataFrame, path: str, part: int = 1_000) -> None:
+    """A zip archive for each video and `part` files of it, as rows (video, part, archive) of a Parquet table.
+
+    files: video, name and content (binary). Names are numbered on narrow rows; a task holds one archive.
+    """
+    place = F.row_number().over(Window.partitionBy("video").orderBy("name")) - 1
+    parts = files.select("video", "name").distinct().withColumn("part", F.floor(place / part).cast("int"))
+    numbered = files.dropDuplicates(["video", "name"]).join(parts, ["video", "name"])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            for name, content in sorted(zip(rows["name"], rows["content"], strict=True)):
+                archive.writestr(zipfile.ZipInfo(name), bytes(content))
+        return pd.DataFrame({"video": [rows["video"].iloc[0]], "part": [rows["part"].iloc[0]], "archive": [held.getvalue()]})
+
+    kind = dict(files.dtypes)["video"]
+    numbered.groupBy("video", "part").applyInPandas(pack, f"video {kind}, part int, archive binary").write.mode("overwrite").parquet(path)
+
+
+def write_settings(spark: SparkSession, settings: Mapping[str, object], path: str) -> None:
+    """Settings of an experiment as one JSON text file."""
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True, indent=None),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict[str, object]:
+    return json.loads(spark.read.text(path).first()[0])
