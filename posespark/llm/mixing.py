@@ -76,13 +76,37 @@ class Mix:
     sources: DataFrame
     seed: int
     sent: bool
+    split: bool
 
     def copies(self, docs: DataFrame) -> DataFrame:
-        """docs with _size, source_size, target and _copies, by each row's own values."""
+        """docs with _size, source_size, target and _copies, by each row's own values.
+
+        Equal rows (of one source, doc_id and text) draw the same number. Where a sample ends
+        among them, or takes one of them to fill what is missing, they are numbered, each task's
+        rows by themselves with offsets from one count a task, and the first ones are taken.
+        """
         rows = _joined(_keys(docs), self.sources, self.seed, self.sent)
         here = F.struct("_rank", "_id", "_check")
-        extra = F.when((F.col("_p") > 0) & ((here <= F.col("_last")) | (here == F.col("_fill"))), 1).otherwise(0)
-        return rows.withColumn("_copies", (F.col("_whole") + extra).cast("int"))
+        drawn = F.col("_p") > 0
+        at_cut, at_fill = drawn & (here == F.col("_cut")), drawn & (here == F.col("_fill"))
+        rows = rows.withColumn("_quota", F.when(at_cut, F.col("_take")).when(at_fill, F.lit(1)))
+        rows = rows.withColumn("_many", F.coalesce((at_cut & (F.col("_take") > 0) & (F.col("_cut_n") > 1)) | (at_fill & (F.col("_fill_n") > 1)), F.lit(False)))
+        inside = drawn & ((here < F.col("_cut")) | (F.col("_cut").isNull() & (here <= F.col("_last"))))
+        if not self.split:
+            extra = F.when(inside | (F.col("_quota") > 0), 1).otherwise(0)
+            return rows.withColumn("_copies", (F.col("_whole") + extra).cast("int"))
+        alone = rows.filter("not _many").withColumn("_copies", (F.col("_whole") + F.when(inside | (F.col("_quota") > 0), 1).otherwise(0)).cast("int"))
+        many = cut(rows.filter("_many").withColumn("_row", F.monotonically_increasing_id())).withColumn("_task", part_of(F.col("_row")))
+        group = ["_source", "_rank", "_id", "_check"]
+        counts = many.groupBy("_task", *group).agg(F.count("*").alias("_n"))  # a row for each task and group, two groups a source at most
+        counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        many = many.withColumn("_nth", F.row_number().over(Window.partitionBy("_task", *group).orderBy("_row")))
+        counts = counts.select(F.col("_task").alias("_of_task"), *[F.col(c).alias(f"_of{c}") for c in group], "_before")
+        same = (F.col("_task") == F.col("_of_task")) & F.col("_source").eqNullSafe(F.col("_of_source"))
+        for c in group[1:]:
+            same = same & (F.col(c) == F.col(f"_of{c}"))
+        many = many.join(counts, same).withColumn("_copies", (F.col("_whole") + (F.col("_before") + F.col("_nth") <= F.col("_quota")).cast("int")).cast("int"))
+        return alone.unionByName(many.select(*alone.columns))
 
 
 def _joined(rows: DataFrame, sources: DataFrame, seed: int, sent: bool) -> DataFrame:
@@ -111,16 +135,18 @@ def plan_mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST_COP
     order sampling; the random number is a hash of seed, doc_id and text) and the
     sample is a run of that order whose fixed size, counted in words, is what
     the certain copies leave of the target: the run ends before the document that
-    would exceed it, and the later document that fills the rest best joins it. Which
-    run that is follows from sums for range partitions; rows are looked at one by
-    one in one partition per source only.
+    would exceed it, and the later document that fills the rest best joins it (this
+    one is chosen by its size, not by the sampling). Which run that is follows from sums for
+    range partitions; rows are looked at one by one in one partition per source only.
 
     Null text and texts without words have size 0; null source is a source of its
-    own, after the others; null doc_id is the least id. Rows equal in doc_id and
-    text draw the same number and are taken alike. An empty table gives no rows.
+    own, after the others; null doc_id is the least id. Rows equal in source, doc_id and
+    text are counted before they move, draw the same number and stand side by side in the
+    order; the run can end among them. An empty table gives no rows.
     """
-    meta = cut(_keys(docs).select("_id", "_check", "_size", "_prefer", "_source"))
-    sizes = meta.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.sum(F.col("_size") * F.col("_prefer")).alias("_preferred"))
+    meta = cut(_keys(docs).groupBy("_id", "_check", "_size", "_prefer", "_source").agg(F.count("*").alias("_n")))
+    words = F.col("_size") * F.col("_n")
+    sizes = meta.groupBy("_source").agg(F.sum(words).alias("source_size"), F.sum(words * F.col("_prefer")).alias("_preferred"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = source_targets(sizes, cycle, most).select(
         "_source", "source_size", "target",
@@ -131,11 +157,12 @@ def plan_mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST_COP
     sources = cut(sources)
     sent = sources.count() <= MOST_SENT
     need = (F.col("target") - F.col("_whole") * F.col("source_size")).alias("_need")
-    drawn = _joined(meta, sources, seed, sent).filter("_p > 0").select("_source", "_rank", "_id", "_check", "_size", need)
+    drawn = _joined(meta, sources, seed, sent).filter("_p > 0").select("_source", "_rank", "_id", "_check", "_size", "_n", need)
     rows = in_order(drawn, F.col("_source"), F.col("_rank"), F.col("_id"), F.col("_check"))
     rows = rows.withColumn("_part", part_of(F.col("_row")))
+    here = F.struct("_rank", "_id", "_check")
     # a row for each source and partition that holds some of it
-    parts = rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_words"), F.first("_need").alias("_need"))
+    parts = rows.groupBy("_source", "_part").agg(F.sum(words).alias("_words"), F.first("_need").alias("_need"))
     before = F.sum("_words").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("_start", F.coalesce(before, F.lit(0)))
     ends = parts.filter("_start < _need and _start + _words >= _need")
@@ -143,28 +170,30 @@ def plan_mix(docs: DataFrame, cycle: Sequence[int] = CYCLE, most: int = MOST_COP
     ends = ends.groupBy(F.col("_source").alias("_of")).agg(F.min(F.struct("_part", "_start")).alias("_end"))
     ends = ends.select("_of", F.col("_end._part").alias("_in"), F.col("_end._start").alias("_start"))
     inside = rows.join(ends, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
-    of_source = Window.partitionBy("_source")
-    through = F.sum("_size").over(of_source.orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("_through", F.col("_start") + through)
-    within = F.col("_through") <= F.col("_need")
-    gap = F.col("_need") - F.max(F.when(within, F.col("_through")).otherwise(F.col("_start"))).over(of_source)
-    inside = inside.withColumn("_gap", gap)
-    here = F.struct("_rank", "_id", "_check")
-    gaps = inside.groupBy(F.col("_source").alias("_of")).agg(F.first("_gap").alias("_gap"))
-    last = inside.filter(within).groupBy(F.col("_source").alias("_of")).agg(F.max(here).alias("_last"))
-    # where the run ends before the first row of its partition, the end of the one before
-    earlier = parts.filter("_start + _words < _need").groupBy(F.col("_source").alias("_of")).agg(F.max("_part").alias("_in"))
-    closing = rows.join(earlier, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in")))
-    closing = closing.groupBy("_of").agg(F.max(F.struct("_rank", "_id", "_check")).alias("_last"))
-    last = last.unionByName(closing).groupBy(F.col("_of").alias("_ended")).agg(F.max("_last").alias("_last"))
-    last = cut(gaps.join(last, F.col("_of").eqNullSafe(F.col("_ended")), "left").drop("_ended"))
+    through = F.sum(words).over(Window.partitionBy("_source").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    inside = inside.withColumn("_before", F.col("_start") + through - words)
+    # the first rows that do not all fit, and how many of them do; none where all of the partition fits
+    over = F.col("_before") + words > F.col("_need")
+    first = F.struct(here.alias("cut"), "_size", F.col("_n").alias("_cut_n"), "_need", "_before")
+    last = inside.groupBy(F.col("_source").alias("_of")).agg(F.min(F.when(over, first)).alias("_first"), F.max(here).alias("_last"))
+    last = last.select("_of", F.col("_first.cut").alias("_cut"), "_last", F.col("_first._cut_n").alias("_cut_n"),
+                       F.floor((F.col("_first._need") - F.col("_first._before")) / F.col("_first._size")).alias("_take"),
+                       (F.col("_first._need") - F.col("_first._before")).alias("_left"), F.col("_first._size").alias("_cut_size"))
+    last = cut(last.withColumn("_gap", F.col("_left") - F.col("_take") * F.col("_cut_size")).drop("_left", "_cut_size"))
     # of all rows after the run, the one that fills what is missing best
-    rest = rows.join(last, F.col("_source").eqNullSafe(F.col("_of"))).filter(F.col("_last").isNull() | (here > F.col("_last")))
+    rest = rows.join(last, F.col("_source").eqNullSafe(F.col("_of"))).filter(here >= F.col("_cut"))
     off = F.abs(F.col("_gap") - F.col("_size"))
-    fill = rest.filter(off < F.col("_gap")).groupBy(F.col("_source").alias("_of")).agg(F.min_by(here, F.struct(off, here)).alias("_fill"))
+    fill = rest.filter(off < F.col("_gap")).groupBy(F.col("_source").alias("_of")).agg(F.min_by(F.struct(here.alias("fill"), F.col("_n").alias("n")), F.struct(off, here)).alias("_best"))
     ended = sources.join(last.drop("_gap"), F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
     ended = ended.join(fill, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of")
-    return Mix(cut(ended), seed, sent)
+    own = F.col("_best.fill") == F.col("_cut")
+    ended = ended.withColumns({
+        "_take": F.col("_take") + F.coalesce(own.cast("int"), F.lit(0)),
+        "_fill": F.when(~own, F.col("_best.fill")), "_fill_n": F.when(~own, F.col("_best.n")),
+    }).drop("_best")
+    ended = cut(ended)
+    split = not ended.filter("(_take > 0 and _cut_n > 1) or _fill_n > 1").isEmpty()
+    return Mix(ended, seed, sent, split)
 
 
 def _last_part(parts: DataFrame) -> DataFrame:
@@ -174,7 +203,7 @@ def _last_part(parts: DataFrame) -> DataFrame:
 
 
 def mix_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target and the words taken of each document."""
+    """doc_id, source, size, source_size, target and the words taken of each document; null, empty and repeated rows as in plan_mix()."""
     mix = plan_mix(docs)
     rows = mix.copies(docs.select("doc_id", "text", "source"))
     return rows.select(
@@ -184,7 +213,11 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of docs as often as the mix takes it."""
+    """The mixed corpus: each row of docs as often as the mix takes it.
+
+    Rows without words come along as their draw falls; other columns stay as they are,
+    whatever their names. An empty table gives no rows; null and repeated rows as in plan_mix().
+    """
     whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = plan_mix(docs).copies(whole).filter("_copies > 0")
     repeated = rows.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,6 +46,27 @@ def test_targets_are_met_and_reruns_agree(spark, sf_dir):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine)
 
 
+@pytest.mark.parametrize(("ids", "repeats"), [(1, 300), (10, 100), (40, 3)])
+def test_repeated_rows(spark, ids, repeats):
+    """Equal rows in one source: each source comes within one document of its target, whatever the partitions."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 20), "a") for i in range(ids)] * repeats
+    rows += [(1000 + i, prose(rng, 20), "b") for i in range(300)] + [(2000, prose(rng, 7), None)] * 50
+    want = Counter()
+    for r, c in zip(rows, brute.copies(rows), strict=True):
+        want[r[0]] += c
+    for parts in (3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out = mixing.mix_sizes(docs).collect()
+        got, taken = Counter(), Counter()
+        for r in out:
+            got[r["doc_id"]] += r["taken"] // r["size"]
+            taken[r["source"]] += r["taken"]
+        assert got == want and len(out) == len(rows)
+        assert all(abs(taken[r["source"]] - r["target"]) <= 20 for r in out)
+        assert Counter(r["doc_id"] for r in mixing.mix_documents(docs).collect()) == +want
+
+
 def test_longer_documents_are_likelier(spark):
     rows = [(i, " ".join(["w"] * (20 if i % 2 else 400)), "s" if i < 4000 else "t") for i in range(8000)]
     out = mixing.mix_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("source = 's'")
