@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 import numpy as np
@@ -46,40 +45,48 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _as_number(docs: DataFrame, names: Sequence[str]) -> dict[str, Column]:
-    """A numeric image of each dimension that keeps its order.
+def cut_points(docs: DataFrame, names: Sequence[str], bits: int) -> list[list[float | str]]:
+    """2**bits - 1 values of each dimension that cut its rows into equal shares, exact, in order.
 
-    Of a text dimension, seven bytes after the prefix that its least and greatest
-    value (and so all values) share.
+    Distinct values are counted before they move, sorted over range partitions and
+    accumulated with offsets from one row a partition; only the cut points reach the driver. A
+    value that many rows have takes several of them, so its cell lies where its share of the rows does: the
+    cells of four languages spread over the whole grid. Nulls do not count.
     """
-    kinds = dict(docs.dtypes)
-    texts = [n for n in names if kinds[n] == "string"]
-    image = {n: F.col(n).cast("double") for n in names if n not in texts}
-    if texts:
-        ends = docs.agg(*[f(n).alias(f"{k}_{i}") for i, n in enumerate(texts) for k, f in (("lo", F.min), ("hi", F.max))]).first()
-        for i, n in enumerate(texts):
-            skip = len(os.path.commonprefix([(ends[f"lo_{i}"] or "").encode(), (ends[f"hi_{i}"] or "").encode()]))
-            tail = F.rpad(F.hex(F.substring(F.col(n).cast("binary"), skip + 1, 7)), 14, "0")
-            image[n] = F.conv(tail, 16, 10).cast("double")
-    return image
+    kinds, cells = dict(docs.dtypes), 1 << bits
+    entry = lambda i, n: F.struct(
+        F.lit(i).alias("dim"),
+        (F.lit(None) if kinds[n] == "string" else F.col(n)).cast("double").alias("num"),
+        (F.col(n) if kinds[n] == "string" else F.lit(None)).cast("string").alias("txt"),
+    )
+    values = docs.select(F.explode(F.array(*[entry(i, n) for i, n in enumerate(names)])).alias("e")).select("e.*")
+    values = values.filter("num is not null or txt is not null").groupBy("dim", "num", "txt").agg(F.count("*").alias("n"))
+    rows = in_order(values, F.col("dim"), F.col("num"), F.col("txt")).withColumn("_part", part_of(F.col("_row")))
+    of_dim = Window.partitionBy("dim")
+    earlier = of_dim.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part", "dim").agg(F.sum("n").alias("_n"))
+    parts = parts.select("_part", "dim", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(of_dim).alias("_all"))
+    inside = Window.partitionBy("_part", "dim").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts), ["_part", "dim"])
+    at = at.withColumn("_start", F.col("_before") + F.col("_inside"))
+    low, high = F.expr(f"(_start * {cells}) div _all + 1"), F.least(F.expr(f"((_start + n) * {cells}) div _all"), F.lit(cells - 1))
+    at = at.select("dim", "num", "txt", low.alias("low"), high.alias("high")).filter("low <= high")
+    found = at.select("dim", "num", "txt", F.explode(F.sequence("low", "high")).alias("k")).collect()  # 2**bits - 1 rows a dimension
+    points = {(r["dim"], r["k"]): r["num"] if r["txt"] is None else r["txt"] for r in found}
+    return [[points[i, k] for k in range(1, cells) if (i, k) in points] for i in range(len(names))]
 
 
 def quantise(docs: DataFrame, names: Sequence[str], bits: int) -> list[Column]:
-    """A cell number from 0 to 2**bits - 1 for each dimension, by quantiles.
-
-    The cut points (2**bits - 1 numbers a dimension, whatever the rows) come from
-    one aggregate over those columns alone. Null takes the last cell.
-    """
-    image = _as_number(docs, names)
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = docs.agg(*[F.percentile_approx(image[n], shares, 100_000).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    """A cell number from 0 to 2**bits - 1 for each dimension, by quantiles; null takes the last cell."""
+    kinds = dict(docs.dtypes)
     cells = []
-    for i, n in enumerate(names):
-        points = sorted(set(cuts[f"c{i}"] or []))
+    for n, points in zip(names, cut_points(docs, names, bits), strict=True):
+        value = F.col(n) if kinds[n] == "string" else F.col(n).cast("double")
+        distinct = sorted(set(points))
         below = F.lit(0)
-        for p in points:
-            below = below + (image[n] >= F.lit(p)).cast("int")
-        cells.append(F.coalesce(below, F.lit((1 << bits) - 1)))
+        for p in distinct:
+            below = below + F.when(value >= F.lit(p), points.count(p)).otherwise(0)
+        cells.append(F.when(value.isNull(), (1 << bits) - 1).otherwise(below))
     return cells
 
 
@@ -165,7 +172,11 @@ def shard_documents(
 
 
 def write_files(docs: DataFrame, path: str, n_files: int | None = None, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> None:
-    """Writes whole documents as Parquet files that are runs of the curve."""
+    """Writes whole documents as Parquet files that are runs of the curve.
+
+    Null dimensions take the last cell; null, empty and repeated rows are written like any other, other
+    columns stay as they are. An empty table writes no rows.
+    """
     n = n_files or shuffle_partitions(docs.sparkSession)
     cells = quantise(docs, dimensions, bits)
     keyed = docs.withColumn("_curve", curve([c.cast("int") for c in cells], bits))
