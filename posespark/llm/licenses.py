@@ -32,32 +32,49 @@ _LINES = _PLAIN[:10] + b"\n" + _PLAIN[11:]
 _SIGN = "©".encode()
 
 
+#: Words after "copyright" in sentences of licences, so that a line with them is none about who and when.
+_SENTENCE = ("act", "and", "for", "holder", "holders", "in", "interest", "is", "law", "laws", "license", "licenses", "notice", "notices", "of", "or", "owner", "owners", "permission", "protection", "statement", "to", "treaty")
+_SENTENCE_WORDS = frozenset(w.encode() for w in _SENTENCE)
+#: Most words of a copyright line without a year.
+_LINE = 8
+
+
+def _year(word: bytes) -> bool:
+    return len(word) == 4 and word.isdigit()
+
+
 def _is_copyright(words: list[bytes]) -> bool:
     """Whether a line is a copyright line: it says who and when, not what is allowed."""
-    if words and words[0] in (b"copyright", _SIGN):
-        return any(w in (b"c", _SIGN) or (len(w) == 4 and w.isdigit()) or w == b"year" for w in words[1:3])
-    return words == [b"all", b"rights", b"reserved"]
+    own = words[1:] if words[:1] == [b"portions"] else words
+    if own and own[0] in (b"copyright", _SIGN):
+        if any(w in (b"c", _SIGN, b"year") for w in own[1:3]) or any(map(_year, own[1:])):
+            return True
+        return 1 < len(own) <= _LINE and own[1] not in _SENTENCE_WORDS
+    return words == [b"all", b"rights", b"reserved"] or (len(words) > 1 and words[0] == b"c" and _year(words[1]))
 
 
 def canonical(text: bytes | None) -> bytes:
-    """Words in lower case without punctuation, copyright lines and variant spellings, joined by spaces."""
+    """Words in lower case without punctuation, copyright lines and variant spellings, joined by spaces.
+
+    A copyright line is a whole line; in a licence written on one line its words stay.
+    """
     out: list[bytes] = []
     for line in (text or b"").translate(_LINES).split(b"\n"):
         words = line.split()
         if not _is_copyright(words):
-            out.extend(words)
-    out = [_WORDS.get(w, w) for w in out]
-    for (a, b), joined in _PAIRS.items():
-        if a in out:
-            k = 0
-            while k < len(out) - 1:
-                if out[k] == a and out[k + 1] == b:
-                    out[k : k + 2] = [joined]
-                k += 1
+            out.extend(_WORDS.get(w, w) for w in words)
+    if any(a in out for a, _ in _PAIRS):
+        paired: list[bytes] = []
+        for w in out:
+            joined = _PAIRS.get((paired[-1], w)) if paired else None
+            if joined is None:
+                paired.append(w)
+            else:
+                paired[-1] = joined
+        out = paired
     return b" ".join(out)
 
 
-
 def digest(text: bytes | None) -> str | None:
     """SHA-256 of the canonical text, in hexadecimal; none where no word is left."""
     plain = canonical(text)
@@ -70,9 +87,12 @@ def known_digests(spark: SparkSession, texts: Mapping[str, str] = KNOWN) -> Data
     return spark.createDataFrame([(d, n) for d, n in rows.items() if d], "license_digest string, license_id string")
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, inside: Mapping[str, tuple[int, int, str]] | None = None) -> DataFrame:
     """doc_id, n_canonical_words, digest and license_id of every document.
 
+    inside: licences as known_runs() gives them; their identifiers that find() would
+    report in the document are added as the column inside, without variants, sorted and joined by commas.
+
     license_id names the known licence that the entire text is, up to case,
     punctuation, line breaks, copyright lines and equivalent spellings; else null.
     Of several ids for one digest the least is given.
@@ -83,21 +103,31 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = known_digests(docs.sparkSession) if known is None else known
     known = known.filter("license_digest is not null").groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+    known = F.broadcast(known) if known.count() <= MOST_SENT else known  # then no document moves
     kind = dict(docs.dtypes)["doc_id"]
+    names = {} if inside is None else {d: n.partition(":")[0] for n, (_, _, d) in inside.items()}
+    search = None if inside is None else _Search(inside)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             plain = [canonical(t) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_pydict({
+            columns = {
                 "doc_id": batch.column("doc_id"),
                 "n_canonical_words": pa.array([p.count(b" ") + 1 if p else 0 for p in plain], type=pa.int64()),
                 "digest": pa.array([hashlib.sha256(p).hexdigest() if p else None for p in plain], type=pa.string()),
-            })
+            }
+            if search is not None:
+                columns["inside"] = pa.array([",".join(sorted({names[d] for d, _, _ in search(p.split())})) for p in plain], type=pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
-    digests = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_canonical_words long, digest string")
+    more = "" if inside is None else ", inside string"
+    digests = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_canonical_words long, digest string{more}")
     return digests.join(known, F.col("digest") == F.col("license_digest"), "left").drop("license_digest")
 
 
+#: Up to so many known digests are sent to every task; a longer table is joined by shuffle.
+MOST_SENT = 100_000
+
 #: Base of the hashes of runs of words, odd, and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -127,6 +157,24 @@ def known_runs(texts: Mapping[str, str] = KNOWN | NOTICES, full: Mapping[str, tu
     return out | dict(full)
 
 
+class _Search:
+    """Known licences in a list of canonical words: (digest, start, end), those inside a longer one left out."""
+
+    def __init__(self, known: Mapping[str, tuple[int, int, str]]):
+        self.lengths = sorted({m for m, _, _ in known.values()}, reverse=True)
+        self.hashes = {m: np.array(sorted({h for k, h, _ in known.values() if k == m}), dtype=np.uint64) for m in self.lengths}
+        self.digests = {d for _, _, d in known.values()}
+
+    def __call__(self, words: list[bytes]) -> list[tuple[str, int, int]]:
+        found: list[tuple[str, int, int]] = []
+        for m, at in _run_hashes(words, self.lengths):
+            for a in np.flatnonzero(np.isin(at, self.hashes[m])).tolist():
+                d = hashlib.sha256(b" ".join(words[a : a + m])).hexdigest()
+                if d in self.digests and not any(b <= a and a + m <= e for _, b, e in found):
+                    found.append((d, a, a + m))
+        return found
+
+
 def find(docs: DataFrame, known: Mapping[str, tuple[int, int, str]] | None = None) -> DataFrame:
     """doc_id, license_id, digest, start and end of every known licence inside each document.
 
@@ -138,23 +186,14 @@ def find(docs: DataFrame, known: Mapping[str, tuple[int, int, str]] | None = Non
     known = known_runs() if known is None else known
     names = docs.sparkSession.createDataFrame([(d, n) for n, (_, _, d) in known.items()] or [("", "")], "digest string, license_id string")
     names = names.groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    lengths = sorted({m for m, _, _ in known.values()}, reverse=True)
-    hashes = {m: np.array(sorted({h for k, h, _ in known.values() if k == m}), dtype=np.uint64) for m in lengths}
-    digests = {d for _, _, d in known.values()}
+    search = _Search(known)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[int, str, int, int]] = []
             for i, text in enumerate(utf8(batch.column("text"))):
-                words = canonical(text).split()
-                spans: list[tuple[int, int]] = []
-                for m, at in _run_hashes(words, lengths):
-                    for a in np.flatnonzero(np.isin(at, hashes[m])).tolist():
-                        d = hashlib.sha256(b" ".join(words[a : a + m])).hexdigest()
-                        if d in digests and not any(b <= a and a + m <= e for b, e in spans):
-                            spans.append((a, a + m))
-                            rows.append((i, d, a, a + m))
+                rows.extend((i, *hit) for hit in search(canonical(text).split()))
             at, found, starts, ends = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id").take(pa.array(at, type=pa.int64())),
@@ -171,20 +210,32 @@ def _oracle() -> str:
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     line = r"trim(regexp_replace(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
     words = "regexp_split_to_array(p, ' ')"
-    kind = r"(c|©|year|[0-9]{4})"
+    own = "(portions )?(copyright|©)"
+    about = " OR ".join(f"regexp_matches(p, '^{r}')" for r in (own + "( [^ ]+)? (c|©|year)( |$)", own + "( .*)? [0-9]{4}( |$)", "c [0-9]{4}( |$)", "all rights reserved$"))
+    short = f"regexp_matches(p, '^{own}( [^ ]+){{1,{_LINE - 1}}}$') AND NOT regexp_matches(p, '^{own} ({'|'.join(_SENTENCE)})( |$)')"
     spelled = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items() if "-" not in a) + " ELSE w END"
     table = ", ".join(f"('{digest(t.encode())}', '{n}')" for n, t in KNOWN.items())
+    # licences inside, the longest first: what is found is taken out of the text
+    texts = sorted(((canonical(t.encode()).decode(), n.partition(":")[0]) for n, t in (KNOWN | NOTICES).items()), key=lambda x: -x[0].count(" "))
+    steps, hits = "i0 AS (SELECT doc_id, ' ' || replace(text, ' ', '  ') || ' ' AS x FROM d)", []
+    for k, (plain, name) in enumerate(texts):
+        pattern = "' " + plain.replace(" ", "  ") + " '"
+        steps += f",\ni{k + 1} AS (SELECT * EXCLUDE (x), contains(x, {pattern}) AS h{k}, replace(x, {pattern}, '|') AS x FROM i{k})"
+        hits.append(f"CASE WHEN h{k} THEN '{name}' END")
+    inside = f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(hits)}], lambda h: h IS NOT NULL))), ',')"
     return rf"""
 WITH l AS (SELECT doc_id, unnest(string_split({low}, chr(10))) AS line, unnest(range(len(string_split({low}, chr(10))))) AS i FROM documents),
 c AS (SELECT doc_id, i, {line} AS p FROM l),
-k AS (SELECT doc_id, i, unnest({words}) AS w, unnest(range(len({words}))) AS j FROM c
-  WHERE p <> '' AND NOT regexp_matches(p, '^(copyright|©) ([^ ]+ )?{kind}( |$)') AND p <> 'all rights reserved'),
+k AS (SELECT doc_id, i, unnest({words}) AS w, unnest(range(len({words}))) AS j FROM c WHERE p <> '' AND NOT ({about} OR ({short}))),
 d AS (SELECT doc_id, count(*) AS n, regexp_replace(string_agg({spelled}, ' ' ORDER BY i, j), '(^| )non infringement( |$)', '\1noninfringement\2', 'g') AS text FROM k GROUP BY doc_id),
-known(license_digest, license_id) AS (VALUES {table})
+known(license_digest, license_id) AS (VALUES {table}),
+{steps},
+found AS (SELECT doc_id, {inside} AS inside FROM i{len(texts)})
 SELECT documents.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, ' ')) END AS n_canonical_words,
-  CASE WHEN d.text IS NOT NULL THEN sha256(d.text) END AS digest, license_id
-FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN known ON sha256(d.text) = license_digest
+  CASE WHEN d.text IS NOT NULL THEN sha256(d.text) END AS digest, license_id, coalesce(found.inside, '') AS inside
+FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN known ON sha256(d.text) = license_digest
 """
 
 
+#: The long licences of FULL, of which only digests are stated, are beyond it.
 ORACLE_SQL = _oracle()

@@ -43,7 +43,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents"))
+    return licenses.scan(read(spark, sf_dir, "documents"), inside=licenses.known_runs())
 
 
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
