@@ -51,3 +51,38 @@ def test_long_texts_are_scored_whole():
     good, bad = b"calm river stone " * 40, b"### $$$ %%% &&& " * 40
     sizes = cq.Model(good, bad, 1.0, 0.0).differences()
     assert sizes(good * 50) > sizes(good * 50 + bad * 50) > sizes(bad * 50)
+
+
+def test_scores_against_a_plain_version(spark, tables):
+    """Every block compressed by itself with either dictionary as it is, sizes summed, one logistic line."""
+    import math
+
+    import zstandard
+
+    docs, labels = tables
+    model = cq.fit(docs, labels)
+    rows = [r for r in docs.orderBy("doc_id").limit(120).select("doc_id", "text").collect()]
+    rows = [(r["doc_id"], r["text"]) for r in rows] + [(-1, None), (-2, ""), (-3, "é" * 3000), (-4, "x " * 40_000)]
+
+    def plain(text):
+        data, sizes = (text or "").encode(), []
+        for d in (model.good, model.bad):
+            frame = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False, write_checksum=False)
+            sizes.append(sum(len(frame.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)))
+        x = (sizes[1] - sizes[0]) / (sizes[1] + sizes[0]) if data else 0.0
+        return 1 / (1 + math.exp(-(model.slope * x + model.offset)))
+
+    out = {r["doc_id"]: r for r in cq.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for doc, text in rows:
+        assert out[doc]["score"] == pytest.approx(plain(text), abs=1e-12) and out[doc]["predicted"] == int(plain(text) >= 0.5)
+
+
+def test_logistic_line():
+    """At the line the slope of the weighted likelihood is nothing."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = np.concatenate([rng.normal(1, 1, 300), rng.normal(-1, 1, 90)]), np.repeat([1, 0], [300, 90])
+    slope, offset = cq.logistic(x, y)
+    off = (1 / (1 + np.exp(-(slope * x + offset))) - y) * np.where(y == 1, 1 / 600, 1 / 180)
+    assert abs((off * x).sum() + 1e-6 * slope) < 1e-8 and abs(off.sum() + 1e-3 * offset) < 1e-8 and slope > 1
