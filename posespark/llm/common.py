@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, shared_dir
+
+__all__ = ["LOWER", "ROW_BITS", "WORD", "Scratch", "cut", "finished", "in_order", "part_of", "place_of", "read", "remove", "shared_dir", "shuffle_partitions", "utf8", "written"]
+
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,29 +26,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the
-    context's checkpoint folder, else (on one machine only) a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            if not (context.master or "").startswith("local[") and context.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-        named = context.getCheckpointDir()
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for rows too wide to checkpoint."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
@@ -59,6 +39,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table in the shared store was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 class Scratch:
     """Tables in the shared folder that are deleted when the block ends.
 

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import cut, remove, shared_dir, utf8
 from .fmindex import FMIndex, occurrences
+from .simhash import keyed
 
 #: Words of a window; an item of fewer is one window.
 WINDOW = 10
@@ -25,6 +29,9 @@ BLOCK_BYTES = 8_000_000
 #: Byte table: A-Z to a-z, other than letters, digits and non-ASCII to a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
+#: The same words as a pattern.
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -116,13 +123,10 @@ def _hits(phrases, shard_words: int):
             at = 0
             for batch in held:
                 here = slice(at, at := at + batch.num_rows)
-                old_spans, old_items = ([x or [] for x in batch.column(c).to_pylist()] for c in ("spans", "items"))
-                both = [sorted(set(old) | set(new)) for old, new in zip(old_items, items[here], strict=True)]
-                joined = [_merge([(x["start"], x["end"]) for x in old] + new) for old, new in zip(old_spans, spans[here], strict=True)]
                 columns = {name: batch.column(name) for name in batch.schema.names}
                 columns["n_words"] = pa.array(n[here], type=pa.int64())
-                columns["spans"] = pa.array([[{"start": a, "end": b} for a, b in x] for x in joined], type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                columns["items"] = pa.array(both, type=pa.list_(pa.string()))
+                columns["spans"] = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans[here]], type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                columns["items"] = pa.array([sorted(set(x)) for x in items[here]], type=pa.list_(pa.string()))
                 yield pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
@@ -146,14 +150,12 @@ def _hits(phrases, shard_words: int):
     return run
 
 
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _merged(spans: Column) -> Column:
+    """Sorted spans with those that touch made one."""
+    last = lambda a: F.element_at(a, -1)
+    grown = lambda a, s: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))
+    nothing = F.expr("cast(array() as array<struct<start:long,end:long>>)")
+    return F.aggregate(F.array_sort(spans), nothing, lambda a, s: F.when((F.size(a) > 0) & (s["start"] <= last(a)["end"]), grown(a, s)).otherwise(F.concat(a, F.array(s))))
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Phrases]:
@@ -165,26 +167,48 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
         yield Phrases.of((r[0], r[1]) for r in benchmark.filter(block == k).select("item_id", "text").toLocalIterator())
 
 
+def _searched(docs: DataFrame, phrases: Phrases, shard_words: int) -> tuple[DataFrame, Broadcast]:
+    sent = docs.sparkSession.sparkContext.broadcast(vars(phrases))
+    fields = [*docs.schema.fields, *T._parse_datatype_string(HITS).fields]
+    return docs.mapInArrow(_hits(sent, shard_words), T.StructType(fields)), sent
+
+
 def find_spans(docs: DataFrame, benchmark: DataFrame, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, spans (word numbers, end exclusive, merged) and items.
 
     Each task indexes its rows in shards of about shard_words words and searches
-    every window of the benchmark in each index. The benchmark is sent to the tasks
-    in blocks of bounded size, one pass over the rows a block; the passes follow
-    each other in one stage, and nothing is shuffled.
+    every window of the benchmark in each index. A benchmark of up to block_bytes is one pass, and
+    nothing is shuffled. A larger one takes a pass over the texts for each block, one after the other: a task
+    holds one block, which is let go at the end of its pass; the rows with hits are written by
+    the name of their row (simhash.keyed), and all passes' hits of a row meet at the end.
 
     Null or empty text has no words, no spans and no items. An item without words
     is no window; items of equal text are all reported; an item without id counts
-    as 'null'. Repeated rows are judged alike, an empty table gives no rows. docs
-    must not have columns named n_words, spans or items.
+    as 'null'. Repeated rows are judged alike, an empty table gives no rows. Columns of
+    docs named n_words, spans or items are replaced.
     """
-    spark = docs.sparkSession
-    fields = [*docs.schema.fields, *T._parse_datatype_string(HITS).fields]
-    out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    for phrases in benchmark_blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(vars(phrases))
-        out = out.mapInArrow(_hits(sent, shard_words), T.StructType(fields))
-    return out
+    docs = docs.drop("n_words", "spans", "items")
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return _searched(docs, first, shard_words)[0]
+    rows = keyed(docs)
+    texts = rows.select("_k1", "_k2", F.col("_doc.text").alias("text"))
+    path = f"{shared_dir(docs.sparkSession)}/spans-{uuid.uuid4().hex}"
+    for phrases in chain((first, second), blocks):
+        hits, sent = _searched(texts, phrases, shard_words)
+        hits.filter(F.size("spans") > 0).select("_k1", "_k2", "spans", "items").write.mode("append").parquet(path)
+        sent.destroy()
+    every = docs.sparkSession.read.parquet(path).groupBy("_k1", "_k2").agg(
+        _merged(F.flatten(F.collect_set("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    every = cut(every)
+    remove(docs.sparkSession, path)
+    met = rows.join(every, ["_k1", "_k2"], "left")
+    none = {"spans": "cast(array() as array<struct<start:long,end:long>>)", "items": "cast(array() as array<string>)"}
+    n_words = F.coalesce(F.regexp_count(F.col("_doc.text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    return met.select("_doc.*", n_words.alias("n_words"), *[F.coalesce(c, F.expr(e)).alias(c) for c, e in none.items()])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -218,6 +242,7 @@ def _cut_out(text: bytes, spans: list[dict]) -> bytes:
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the spans of benchmark words cut out of the texts; same columns and rows.
 
+    Null and empty texts stay as they are, repeated rows are cut alike, an empty table gives no rows.
     Extra columns of any name are kept: they travel as one struct.
     """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
@@ -233,7 +258,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a benchmark window; same columns."""
+    """docs without those that hold a benchmark window; same columns, whatever their names.
+
+    Null and empty texts stay; repeated rows are judged alike; an empty table gives no rows.
+    """
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     found = find_spans(docs.select("text", kept), benchmark.select("item_id", "text"))
     return found.filter(F.size("spans") == 0).select("_doc.*")
