@@ -91,6 +91,32 @@ def test_prediction_resolves_flips(toy):
     assert all(r["k"] == (1 if r["t"] % 3 == 0 else 0) for r in found)
 
 
+def test_the_model_runs_once(toy):
+    """What is resolved starts from the cut candidates: neither model nor drawing is in its plan."""
+    features, crops = toy
+    few = crops.filter("frame_index < 12")
+    model = F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: i * 0.0 + F.length("image") * 0.0)
+    stages = commands.predict(few, features, model, 80, 50, 30.0, threshold=0.0)
+    plan = stages["resolved"]._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "image" not in plan
+    labels = {r["t"]: r for r in stages["original"].collect()}
+    assert len(labels) == features.count() and len(labels[0]["theta"]) == 50
+
+
+def test_rescored_angles(toy):
+    """The true angles, filled and smoothed, are drawn again for the frame of their tick; nothing is drawn without angles or frame."""
+    features, crops = toy
+    some = features.filter("frame_index < 24").withColumn("timestamp", F.col("frame_index").cast("bigint") + 7)
+    truth = some.select("video", F.col("frame_index").alias("t"), skeleton_to_theta(F.col("skeleton"), 50).alias("theta"))
+    resolved = truth.withColumn("theta", F.when(~F.col("t").isin(9, 10), F.col("theta")))
+    processed = commands.post_process(resolved)
+    extra = processed.filter("t = 5").withColumn("t", F.lit(99))
+    out = {r["t"]: r for r in commands.rescore(processed.unionByName(extra), some, crops, 80, 50).collect()}
+    assert len(out) == 25 and out[99]["score_interp"] is None
+    assert all(out[t]["score_interp"] > (0.3 if t in (9, 10) else 0.7) for t in range(24))  # 9 and 10 are filled
+    assert all(out[t]["score_smooth"] > 0 and len(out[t]["skeleton_smooth"]) == 50 for t in range(24))
+
+
 def test_missing_angles_score_nan(toy):
     features, crops = toy
     lost = crops.filter("frame_index < 2").select("video", F.col("frame_index").alias("t"), F.lit(0).alias("k"), F.array(*[F.lit(float("nan"))] * 50).alias("theta"))
@@ -131,6 +157,18 @@ def test_mixture(spark):
     assert sorted(round(r["mean"][0]) for r in fitted) == [0, 4] and sum(r["weight"] for r in fitted) == pytest.approx(1)
 
 
+def test_spread_of_criteria(spark):
+    rows = spark.createDataFrame([(2, 0, 1.0), (2, 1, 3.0), (2, 2, float("nan")), (3, 0, 5.0)], "k int, seed int, aic double")
+    out = {r["k"]: tuple(r)[1:] for r in models.criterion_spread(rows).collect()}
+    assert out == {2: (2, 2.0, 1.0), 3: (1, 5.0, 0.0)}
+
+
+def test_registry_of_models(spark):
+    rows = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.2), ("c", 3, 0.4), ("d", 4, 0.9)], "name string, epoch int, val_loss double")
+    out = {r["name"]: (r["is_best"], r["is_last"], r["keep"]) for r in sampling.model_registry(rows, 2).collect()}
+    assert out == {"a": (False, False, False), "b": (True, False, True), "c": (True, False, True), "d": (False, True, True)}
+
+
 def test_samples(spark):
     rows = spark.createDataFrame([(f"v{i % 3}", i) for i in range(90)], "video string, frame_index int")
     out = sampling.two_stage_sample(rows, 10, 1).collect()

@@ -114,3 +114,29 @@ def test_resize_factor():
     for wrong in ({"image_size": 33}, {"image_size": 30}, {"image_size": 64, "factor": 2.0}):
         with pytest.raises(ValueError):
             resize_factor(50.0, **wrong)
+
+
+def test_results_written_again_replace_their_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([("v", 1), ("w", 2)], "video string, t int")
+    for part in (rows, rows.filter("video = 'v'"), rows):
+        exporters.write_results({"resolved": part, "original": part}, str(tmp_path / "r"))
+    assert exporters.read_results(spark, str(tmp_path / "r")).count() == 4
+
+
+def test_settings(spark, tmp_path):
+    settings = {"resize_factor": 0.5, "image_shape": [80, 80], "video_names": ["v"], "worm_is_lighter": False}
+    exporters.write_settings(spark, settings, str(tmp_path / "s"))
+    assert exporters.read_settings(spark, str(tmp_path / "s")) == settings
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import zipfile
+
+    files = spark.createDataFrame([("v", f"f{k}.pgm", bytes([k])) for k in range(5)] + [("w", "f0.pgm", b"x"), ("v", "f1.pgm", b"\x01")], "video string, name string, content binary")
+    exporters.write_archives(files, str(tmp_path / "z"), part=3)
+    found = {}
+    for r in spark.read.parquet(str(tmp_path / "z")).collect():
+        archive = zipfile.ZipFile(io.BytesIO(bytes(r["archive"])))
+        found[(r["video"], r["part"])] = {n: archive.read(n) for n in archive.namelist()}
+    assert found == {("v", 0): {f"f{k}.pgm": bytes([k]) for k in range(3)}, ("v", 1): {f"f{k}.pgm": bytes([k]) for k in (3, 4)}, ("w", 0): {"f0.pgm": b"x"}}
