@@ -12,7 +12,7 @@ from ..functions import angles as A
 from ..functions.aggregates import nan_mean
 from ..functions.arrow import resample_skeleton
 from ..functions.kernels import savgol_weights
-from ..operators import aggregations, alignment, headtail, sampling, timeseries
+from ..operators import aggregations, alignment, headtail, models, sampling, timeseries
 from ..sources.toy import toy_features
 from . import commands
 from .views import FRAME_RATE, SERIES, WIDTHS, cosine_basis, losses, poses, poses_sql, series, table, widths
@@ -294,6 +294,36 @@ def spline_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("video", "frame_index", "valid", r6(F.col("filled")).alias("filled"))
 
 
+_CUBIC = "0.4 * pow(f / 100.0, 3) - 1.5 * pow(f / 100.0, 2) + f / 100.0"
+
+
+def _inside_sql() -> str:
+    """CTE inside: frames of usable segments from their first valid frame to their last."""
+    cut = _segments_sql(timeseries.MAX_GAP, timeseries.MIN_SEGMENT).rpartition("\nSELECT video,")[0]
+    return cut + """, k AS (SELECT video, frame_index, valid, min(CASE WHEN valid THEN frame_index END) OVER w AS lo, max(CASE WHEN valid THEN frame_index END) OVER w AS hi,
+  count(*) FILTER (valid) OVER w AS n FROM c WHERE NOT cut WINDOW w AS (PARTITION BY video, c_isl)),
+inside AS (SELECT video, frame_index, CASE WHEN n >= 4 AND frame_index BETWEEN lo AND hi THEN frame_index END AS f FROM k)"""
+
+
+@query(_inside_sql() + f" SELECT video, frame_index, round({_CUBIC}, 6) + 0.0 AS filled FROM inside")
+def spline_fill_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps filled by splines through samples of a cubic, which they must give back."""
+    rows = series(spark, sf_dir)
+    x = F.col("frame_index") / 100.0
+    value = F.when(F.col("valid"), 0.4 * F.pow(x, 3) - 1.5 * F.pow(x, 2) + x)
+    inside = timeseries.in_segments(rows.select("video", "frame_index", "valid", value.alias("value")), timeseries.valid_segments(rows, F.col("valid")))
+    return timeseries.spline_fill(inside, "value").select("video", "frame_index", r6(F.col("filled")).alias("filled"))
+
+
+@query(_inside_sql() + " SELECT video, CAST(frame_index AS INTEGER) AS t, CAST(d AS INTEGER) AS dim, round(CAST(0.1 AS DOUBLE) * d + CAST(0.005 AS DOUBLE) * f, 6) + 0.0 AS interp FROM inside, (SELECT unnest(range(6)) AS d) WHERE f IS NOT NULL")
+def post_processed_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole post-processing of angles that turn evenly: filled gaps lie on the line."""
+    theta = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda d: 0.1 * d + 0.005 * F.col("frame_index"))
+    rows = series(spark, sf_dir).select("video", F.col("frame_index").alias("t"), F.when(F.col("valid"), theta).alias("theta"))
+    out = commands.post_process(rows).filter("interp is not null")
+    return out.select("video", "t", F.posexplode("interp").alias("dim", "v")).select("video", "t", "dim", r6(F.col("v")).alias("interp"))
+
+
 # --- joins in time
 
 
@@ -665,6 +695,86 @@ def trajectory_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(rows, FRAME_RATE)
 
 
+@query(f"""WITH {poses_sql()}, {_points("theta", "video, t", "poses")}
+SELECT video, CAST(t AS INTEGER) AS t, CAST(i AS INTEGER) AS i, round(0.5 * x, 4) + 0.0 AS x, round(0.5 * y, 4) + 0.0 AS y FROM points""")
+def trajectory_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rescaled skeletons exported as JSON and read again."""
+    from ..sources.exporters import trajectory_json as export
+
+    rows = _skeletons(spark, sf_dir).select("video", "t", A.rescale(F.col("skeleton"), 0.5).alias("skeleton"))
+    made = F.from_json("json", "data array<struct<t: array<double>, x: array<array<double>>, y: array<array<double>>>>")
+    data = export(rows, FRAME_RATE).select("video", F.get(made["data"], F.lit(0)).alias("d"))
+    frames = data.select("video", F.explode(F.arrays_zip(F.col("d.t"), F.col("d.x"), F.col("d.y"))).alias("f"))
+    points = frames.select("video", F.round(F.col("f.t") * FRAME_RATE).cast("int").alias("t"), F.posexplode(F.arrays_zip(F.col("f.x"), F.col("f.y"))).alias("i", "p"))
+    return points.select("video", "t", "i", (F.round("p.x", 4) + 0.0).alias("x"), (F.round("p.y", 4) + 0.0).alias("y"))
+
+
+@query(f"""WITH {poses_sql()} SELECT stage, video, CAST(t AS INTEGER) AS t, round(score, 6) AS score FROM (SELECT 'resolved' AS stage, video, t, score FROM poses UNION ALL SELECT 'original', video, t, score FROM poses WHERE t % 3 = 0)""")
+def results_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written by stage and video, the one stage twice and one that is not asked for, and read again."""
+    from ..operators.lineage import shared_dir
+    from ..sources.exporters import read_results, write_results
+
+    path = f"{shared_dir(spark)}/results-{spark.sparkContext.applicationId}"
+    rows = poses(spark, sf_dir).select("video", "t", "score")
+    for stages in ({"resolved": rows.filter("t < 5"), "unaligned": rows}, {"resolved": rows, "original": rows.filter("t % 3 = 0")}):
+        write_results(stages, path)
+    return read_results(spark, path).select("stage", "video", "t", r6(F.col("score")).alias("score"))
+
+
+@query(f"""WITH {poses_sql()} SELECT video, CAST(t AS INTEGER) AS t, 't' || lpad(CAST(t AS VARCHAR), 6, '0') || '_f' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '_s' || CASE WHEN vec_id % 7 = 0 THEN 'nan' ELSE printf('%.4f', score) END || '.pgm' AS name FROM poses""")
+def annotated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.exporters import frame_file_name
+
+    score = F.when(F.col("vec_id") % 7 != 0, F.col("score"))
+    return poses(spark, sf_dir).select("video", "t", frame_file_name(F.col("t"), F.col("vec_id"), score).alias("name"))
+
+
+@query(f"""WITH {poses_sql()} SELECT video, CAST(t AS INTEGER) AS t, CASE WHEN vec_id % 3 = 0 THEN CAST(t AS BIGINT) ELSE vec_id END AS timestamp, CASE WHEN vec_id % 4 = 0 THEN 'unknown' ELSE 'clockwise' END AS ventral_side,
+CAST(CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 30 END AS DOUBLE) AS frame_rate, CAST(len(theta) AS INTEGER) AS n_joints FROM poses""")
+def feature_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a registered loader, checked, with defaults for what is missing."""
+    from ..sources.readers import load_dataset, register_loader
+
+    def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+        some = lambda k, value: F.when(F.col("vec_id") % k != 0, value)
+        rows = poses(spark, path)
+        features = rows.select(
+            "video", F.col("t").alias("frame_index"), some(3, F.col("vec_id")).alias("timestamp"), F.transform("theta", lambda a: F.struct(F.cos(a).alias("x"), F.sin(a).alias("y"))).alias("skeleton"),
+            some(4, F.lit("clockwise")).alias("ventral_side"), some(5, F.lit(30.0)).alias("frame_rate"),
+        )
+        return rows, features
+
+    register_loader("poses", load)
+    features = load_dataset(spark, "poses", sf_dir)[1]
+    return features.select("video", F.col("frame_index").alias("t"), "timestamp", "ventral_side", "frame_rate", F.size("skeleton").alias("n_joints"))
+
+
+@query(f"""WITH {poses_sql()} SELECT video, round(avg(score) FILTER (vec_id % 7 <> 0), 6) AS mean_score, count(*) AS n FROM poses GROUP BY video""")
+def calibration_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = poses(spark, sf_dir).select("video", F.when(F.col("vec_id") % 7 == 0, A.nan()).otherwise(F.col("score")).alias("score"))
+    return commands.calibration_means(rows).select("video", r6(F.col("mean_score")).alias("mean_score"), "n")
+
+
+@query("""SELECT CAST(o_custkey % 7 AS INTEGER) AS k, count(*) FILTER (o_orderkey % 11 <> 0) AS n, round(avg(o_totalprice) FILTER (o_orderkey % 11 <> 0), 3) AS mean_aic,
+round(stddev_pop(o_totalprice) FILTER (o_orderkey % 11 <> 0), 3) AS deviation FROM orders GROUP BY 1""")
+def criterion_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation over the seeds of a sweep; failed fits left out."""
+    aic = F.when(F.col("o_orderkey") % 11 == 0, A.nan()).otherwise(F.col("o_totalprice"))
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).cast("int").alias("k"), aic.alias("aic"))
+    return models.criterion_spread(rows).select("k", "n", F.round("mean_aic", 3).alias("mean_aic"), F.round("deviation", 3).alias("deviation"))
+
+
+@query("""WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS name, o_custkey AS epoch, o_totalprice AS val_loss FROM orders WHERE o_orderpriority = '1-URGENT'),
+b AS (SELECT name FROM m ORDER BY val_loss, name DESC LIMIT 5), l AS (SELECT name FROM m ORDER BY epoch DESC, name DESC LIMIT 1)
+SELECT name, epoch, round(val_loss, 6) AS val_loss, name IN (SELECT name FROM b) AS is_best, name IN (SELECT name FROM l) AS is_last, name IN (SELECT name FROM b) OR name IN (SELECT name FROM l) AS keep FROM m""")
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the saved models are kept: the five best and the latest."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    rows = orders.select(F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").alias("epoch"), F.col("o_totalprice").alias("val_loss"))
+    return sampling.model_registry(rows).withColumn("val_loss", F.round("val_loss", 6))
+
+
 _PART = "p[8 * y + 1:8 * y + 32]"
 
 

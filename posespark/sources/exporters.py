@@ -62,7 +62,7 @@ def write_scores(scores: DataFrame, path: str) -> None:
 
 def frame_file_name(t: Column, frame: Column, score: Column, digits: int = 6) -> Column:
     """Name of an annotated image: time, frame and score, padded with zeros."""
-    return F.concat(F.lit("t"), F.lpad(t.cast("string"), digits, "0"), F.lit("_f"), F.lpad(frame.cast("string"), digits, "0"), F.lit("_s"), F.coalesce(F.format_string("%.4f", score), F.lit("nan")), F.lit(".pgm"))
+    return F.concat(F.lit("t"), F.lpad(t.cast("string"), digits, "0"), F.lit("_f"), F.lpad(frame.cast("string"), digits, "0"), F.lit("_s"), F.when(score.isNull() | F.isnan(score), "nan").otherwise(F.format_string("%.4f", score)), F.lit(".pgm"))
 
 
 def write_archives(files: DataFrame, path: str, part: int = 1_000) -> None:
