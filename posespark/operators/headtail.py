@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import head_tail_cosine, nan
 from .lineage import cut
-from .timeseries import streamed_fold
+from .timeseries import carried_lag, carried_sum, streamed_fold
 
 #: Largest mean angle between successive frames, and times in seconds: look-back, least
 #: segment, and largest gap over which an orientation spreads.
@@ -82,10 +82,11 @@ def continuous_partitions(frames: DataFrame, frame_rate: float, threshold: float
     the stretches between pauses are folded on their own, in parallel.
     """
     look_back = frames_of(LOOK_BACK_S, frame_rate)
-    along = Window.partitionBy("video").orderBy("t")
     good = passing(frames, threshold).select("video", "t", "theta0", "theta1")
-    pause = F.coalesce((F.col("t") - F.lag("t").over(along) > look_back).cast("int"), F.lit(0))
-    stretches = good.withColumn("pause", pause).withColumn("stretch", F.sum("pause").over(along)).drop("pause")
+    # pauses are found and numbered on times alone, in pieces; angles meet the stretch by a join
+    times = carried_lag(good.select("video", "t"), "t", ["video"], ["t"], "previous")
+    pause = F.coalesce((F.col("t") - F.col("previous") > look_back).cast("int"), F.lit(0))
+    stretches = good.join(carried_sum(times, pause, ["video"], ["t"], "stretch").select("video", "t", "stretch"), ["video", "t"])
 
     def step(state, row):
         state, (accepted, opens, k) = fold_step(state, row.t, np.asarray(row.theta0, float), np.asarray(row.theta1, float), look_back)
@@ -93,8 +94,9 @@ def continuous_partitions(frames: DataFrame, frame_rate: float, threshold: float
 
     kinds = dict(frames.dtypes)
     folded = streamed_fold(stretches, ["video", "stretch"], ["t"], FoldState, step, f"video {kinds['video']}, t {kinds['t']}, accepted boolean, opens boolean, k int")
-    segment = F.sum(F.col("opens").cast("int")).over(along) - 1
-    return folded.filter("accepted").withColumn("segment", segment.cast("int")).select("video", "t", "segment", "k")
+    taken = cut(folded.filter("accepted").select("video", "t", "opens", "k"))
+    numbered = carried_sum(taken, F.col("opens").cast("int"), ["video"], ["t"], "opened")
+    return numbered.select("video", "t", (F.col("opened") - 1).cast("int").alias("segment"), "k")
 
 
 def drop_short(parts: DataFrame, frame_rate: float) -> DataFrame:

@@ -81,15 +81,56 @@ def in_segments(rows: DataFrame, segments: DataFrame, key: str = "video", order:
     return carried.filter(F.col("segment").isNotNull() & (F.col(order) < F.col("segment.segment_end"))).select(*rows.columns, "segment.*")
 
 
+#: Frames of a piece of a series: windows run over pieces, and what crosses from one to the next is carried by a row a piece.
+PIECE = 16_384
+
+
+def _meet(rows: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with the columns of their piece; null is a key."""
+    named = pieces.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
+
+
+def carried_lag(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], out: str, piece: int = PIECE) -> DataFrame:
+    """Adds the value of the row before (null for the first), by windows over pieces of `piece` frames.
+
+    order[0] is a whole frame number. No task holds a series: the last value of each piece goes to the next
+    one by a table with a row a piece.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece))
+    last = cut.groupBy(*keys, "_piece").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_piece"))).drop("_last")
+    along = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    inside = cut.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(along))
+    return _meet(inside, last, [*keys, "_piece"]).withColumn(out, F.coalesce("_before", "_carried")["v"]).select(*rows.columns, out)
+
+
+def carried_sum(rows: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], out: str, piece: int = PIECE) -> DataFrame:
+    """Adds the running total of a value, its own row included, by windows over pieces as carried_lag() does."""
+    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
+    total = cut.groupBy(*keys, "_piece").agg(F.sum("_value").alias("_total"))
+    before = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    total = total.withColumn("_carried", F.coalesce(before, F.lit(0))).drop("_total")
+    along = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.withColumn("_inside", F.sum("_value").over(along))
+    return _meet(inside, total, [*keys, "_piece"]).withColumn(out, F.col("_carried") + F.col("_inside")).select(*rows.columns, out)
+
+
 def unwrap(rows: DataFrame, angle: str, keys: Sequence[str], order: Sequence[str], out: str = "unwrapped") -> DataFrame:
-    """Adds the angle without jumps of a whole turn along the order; rows are the valid samples only."""
-    along = Window.partitionBy(*keys).orderBy(*order)
-    step = F.col(angle) - F.lag(angle).over(along)
+    """Adds the angle without jumps of a whole turn along the order; rows are the valid samples only.
+
+    order[0] is a frame number; a long series is unwrapped in pieces.
+    """
+    met = carried_lag(rows, angle, keys, order, "_previous")
+    step = F.col(angle) - F.col("_previous")
     turned = (step + pi) - 2 * pi * F.floor((step + pi) / (2 * pi)) - pi
     turned = F.when((turned == -pi) & (step > 0), F.lit(pi)).otherwise(turned)
-    fix = F.when(F.abs(step) < pi, 0.0).otherwise(turned - step)
-    fixed = rows.withColumn("_fix", F.coalesce(fix, F.lit(0.0)))
-    return fixed.withColumn(out, F.col(angle) + F.sum("_fix").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_fix")
+    fix = F.coalesce(F.when(F.abs(step) < pi, 0.0).otherwise(turned - step), F.lit(0.0))
+    fixed = carried_sum(met, fix, keys, order, "_turns")
+    return fixed.withColumn(out, F.col(angle) + F.col("_turns")).select(*rows.columns, out)
 
 
 def frame_major_unwrap(frames: DataFrame, theta: str = "theta", key: str = "video", order: str = "t") -> DataFrame:
@@ -132,9 +173,8 @@ def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "se
     than four. A long group is fitted in chunks of CHUNK_KNOTS that overlap by
     OVERLAP_KNOTS on either side, so no task holds a whole series.
     """
-    along = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    knots = F.count(value).over(along) - 1
-    marked = rows.withColumn("_knot", F.greatest(knots, F.lit(0)))
+    marked = carried_sum(rows, F.col(value).isNotNull().cast("long"), keys, [order], "_knots")
+    marked = marked.withColumn("_knot", F.greatest(F.col("_knots") - 1, F.lit(0))).drop("_knots")
     chunk = F.floor(F.col("_knot") / CHUNK_KNOTS)
     at = F.col("_knot") % CHUNK_KNOTS
     chunks = F.array_compact(F.array(

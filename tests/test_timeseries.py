@@ -124,3 +124,18 @@ def test_post_processing(spark):
     assert out[12]["smooth"] == pytest.approx(np.unwrap(theta(12)), abs=1e-6)
     assert out[0]["interp"] is None and out[33]["interp"] is None and out[45]["smooth"] is not None
     assert out[12]["modes_smooth"] == pytest.approx([0], abs=1e-6)
+
+
+@pytest.mark.parametrize("piece", [3, 7, 1000])
+def test_pieces_carry_over(spark, piece):
+    """Lags and running totals over pieces equal those over whole series; null keys and values included."""
+    rng = np.random.default_rng(4)
+    rows = [(k, int(t), None if t % 5 == 0 else float(rng.uniform(-9, 9))) for k in ("a", "b", None) for t in rng.choice(60, 30, replace=False)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    out = timeseries.carried_sum(timeseries.carried_lag(df, "v", ["k"], ["t"], "before", piece), F.coalesce("v", F.lit(0.0)), ["k"], ["t"], "total", piece).collect()
+    assert len(out) == len(rows)
+    for k in ("a", "b", None):
+        mine, known = sorted((r for r in out if r["k"] == k), key=lambda r: r["t"]), {t: v for key, t, v in rows if key == k}
+        values = [known[t] for t in sorted(known)]
+        assert [r["before"] for r in mine] == [None, *values[:-1]]
+        assert [r["total"] for r in mine] == pytest.approx(np.cumsum([v or 0.0 for v in values]).tolist())
