@@ -38,6 +38,27 @@ def components(prints: list[int], radius: int = 2) -> list[int]:
     return [root(i) for i in range(len(prints))]
 
 
+def near_roots(texts: list[str | None], shingle: int = 5) -> list[int]:
+    """For each place the least place that a chain of links reaches: four fifths of all shingles in common."""
+    sets = []
+    for text in texts:
+        w = WORD.findall((text or "").translate(LOWER))
+        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        common = len(sets[i] & sets[j])
+        if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))]
+
+
 def contamination(text: str | None, items: list[tuple[str, str | None]], window: int = 10) -> tuple[int, int, list[str]]:
     """Words, hit words and sorted ids of the items found."""
     words = ITEM_WORD.findall((text or "").translate(LOWER))

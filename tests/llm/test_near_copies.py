@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import random
-from itertools import combinations
 
 import corpus_pipeline
 import pytest
@@ -12,25 +11,10 @@ from . import brute
 from .conftest import prose
 
 
-def _groups(rows: list[tuple[int, str | None]], shingle: int = 5) -> list[int]:
+def _groups(rows: list[tuple[int, str | None]]) -> list[int]:
     """The ids that are kept where all pairs of shingle sets are compared."""
-    sets = []
-    for _, text in rows:
-        w = brute.WORD.findall((text or "").translate(brute.LOWER))
-        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
-    root = list(range(len(rows)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in combinations(range(len(rows)), 2):
-        common = len(sets[i] & sets[j])
-        if 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
-            a, b = top(i), top(j)
-            root[max(a, b)] = min(a, b)
-    return [rows[i][0] for i in range(len(rows)) if root[i] == i]
+    roots = brute.near_roots([t for _, t in rows])
+    return [rows[i][0] for i in range(len(rows)) if roots[i] == i]
 
 
 def _edited(rng: random.Random, text: str, n: int) -> str:
@@ -61,6 +45,7 @@ def rows():
 def test_against_all_pairs(spark, rows, sample, monkeypatch):
     monkeypatch.setattr(near_copies, "SAMPLE", sample)
     monkeypatch.setattr(near_copies, "SPREAD", 3)
+    monkeypatch.setattr(near_copies, "HELD", 20)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()) == _groups(rows)
 
