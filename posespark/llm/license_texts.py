@@ -117,7 +117,7 @@ NOTICES = {
 
 #: Long licences that are looked for inside documents: words, run hash and digest of the canonical text.
 FULL: dict[str, tuple[int, int, str]] = {
-    "Apache-2.0": (1607, 0xE933414DA586F748, "1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea"),
+    "Apache-2.0": (1601, 0x8F337EC03E944848, "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6"),
     "GPL-2.0": (2975, 0x65081634ED25AF06, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
     "GPL-3.0": (5684, 0x16C1FB7CF350266F, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
     "LGPL-3.0": (1231, 0xF251E9B2984EFED8, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),

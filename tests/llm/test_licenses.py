@@ -37,9 +37,9 @@ def test_copyright_lines(line):
 @pytest.mark.parametrize("name", KNOWN)
 def test_sentences_are_no_copyright_lines(name):
     """Wherever a licence is wrapped, its own words about copyright stay."""
-    words = KNOWN[name].split()
+    words = licenses.canonical(KNOWN[name].encode()).decode().split()
     for k, w in enumerate(words):
-        if "copyright" in w.lower():
+        if w == "copyright":
             wrapped = " ".join(words[:k]) + "\n" + " ".join(words[k:])
             assert licenses.digest(wrapped.encode()) == licenses.digest(" ".join(words).encode())
 
