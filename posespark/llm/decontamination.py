@@ -29,8 +29,8 @@ BLOCK_BYTES = 8_000_000
 #: Byte table: A-Z to a-z, other than letters, digits and non-ASCII to a space.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-#: The same words as a pattern.
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words as a pattern over any case.
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
