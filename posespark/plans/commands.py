@@ -19,6 +19,8 @@ from ..operators.lineage import cut
 
 #: Defaults: images scored for calibration and evaluation, templates that a sample is drawn from.
 CALIBRATION_FRAMES, EVALUATION_FRAMES, TEMPLATES = 500, 1000, 1000
+#: Bytes of template images that are sent to every task.
+SENT_BYTES = 64_000_000
 
 
 def labelled(features: DataFrame) -> DataFrame:
@@ -160,16 +162,18 @@ def generate(features: DataFrame, crops: DataFrame, mixture: tuple, samples: int
 
     mixture: weights, means and covariances of posture vectors with `joints` angles. Of all
     labelled frames `most` serve as templates, spread evenly over the videos; that bounds what
-    is numbered in one task and sent to all.
+    is numbered in one task (names only). Their images go to every task up to SENT_BYTES, else they are joined by shuffle.
     """
     marks = labelled(features).select("video", "frame_index")
     chosen = sampling.two_stage_sample(marks, most, seed).select("video", F.col("frame_index").alias("template"))
+    chosen = cut(chosen.withColumn("place", F.row_number().over(Window.orderBy("video", "template")) - 1))
     grounds = crops.select("video", F.col("frame_index").alias("template"), "background")
     pool = templates(features, crops).join(F.broadcast(chosen), ["video", "template"]).join(grounds, ["video", "template"]).join(body_means(features, joints), "video")
-    pool = pool.withColumn("place", F.row_number().over(Window.orderBy("video", "template")) - 1).withColumnRenamed("template", "frame").withColumnRenamed("template_image", "template")
+    pool = pool.withColumnRenamed("template", "frame").withColumnRenamed("template_image", "template")
     n = chosen.count()
     if not n:
         raise ValueError("no labelled frame to take a template from")
     postures = imaging.augmentation(models.sample_postures(features.sparkSession, samples, *mixture, seed=seed), seed)
     drawn = postures.withColumn("place", sampling.choice(seed + 9, n, "id").cast("int"))
-    return imaging.synthesize(drawn.join(F.broadcast(pool), "place").drop("place", "video", "frame"), size)
+    pool = F.broadcast(pool) if n * (size * size + 16 * joints) <= SENT_BYTES else pool
+    return imaging.synthesize(drawn.join(pool, "place").drop("place", "video", "frame"), size)

@@ -139,3 +139,12 @@ def test_pieces_carry_over(spark, piece):
         values = [known[t] for t in sorted(known)]
         assert [r["before"] for r in mine] == [None, *values[:-1]]
         assert [r["total"] for r in mine] == pytest.approx(np.cumsum([v or 0.0 for v in values]).tolist())
+
+
+def test_percentile_of_bounded_memory(spark):
+    from posespark.operators.aggregations import percentile_cut
+
+    df = spark.range(10_000).selectExpr("id % 2 AS video", "CAST(id AS double) AS v")
+    exact = {r["video"]: r["cut"] for r in percentile_cut(df, "v", 97.5, ["video"]).collect()}
+    near = {r["video"]: r["cut"] for r in percentile_cut(df, "v", 97.5, ["video"], accuracy=1000).collect()}
+    assert all(abs(near[k] - exact[k]) <= 2 * 5000 / 1000 + 2 for k in (0, 1))
