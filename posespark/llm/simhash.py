@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,8 +119,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two steps over the links until they no longer change: every node's
     larger neighbours, then its smaller ones, are tied to the least neighbour. Minima are taken before rows
     move, so a node with very many links is no hot spot in the aggregate, and its join can be split. The number of
-    rounds grows with the logarithm of the longest chain; each round is cut, and count and checksum that
-    tell its end are taken on the way.
+    rounds grows with the logarithm of the longest chain; each round is cut, and a count and a checksum
+    tell the end (not by an Observation: a session that has one cannot send a fitted forest to its tasks).
     """
     edges, before = cut(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), None
     while True:
@@ -129,9 +129,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").repartition("u")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         smaller = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        seen = Observation()
-        edges = cut(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("check")))
-        now = (seen.get["n"], seen.get["check"])
+        edges = cut(smaller.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
