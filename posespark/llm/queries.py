@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, decontamination, licenses, line_dedup, mixing, quality_rules, secrets, sharding, simhash, url_filter
+from . import compression_quality, decontamination, licenses, line_dedup, merkle, mixing, quality_rules, secrets, sharding, simhash, url_filter
 from .common import read
 
 
@@ -55,10 +55,15 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents")).select("doc_id", F.col("source"), "size", "source_size", "target", "taken")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(read(spark, sf_dir, "documents"), merkle.tampered())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_hilbert_shards, op3_simhash, op4_line_spread, op5_decontamination,
         op6_quality_rules, op7_url_filter, op8_license_scan, op9_compression_quality, op10_pareto_mix,
+        op11_merkle_manifest,
     )}
 
 
@@ -69,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op7_url_filter": url_filter.ORACLE_SQL,
         "op8_license_scan": licenses.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.ORACLE_SQL,
     }

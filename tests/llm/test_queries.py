@@ -20,5 +20,5 @@ def test_query_without_sql_runs(name, spark, sf_dir):
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
-def test_ten_operators():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in q.queries()] == list(range(1, 11))
+def test_every_operator():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in q.queries()] == list(range(1, 12))
