@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression_quality, decontamination, licenses, line_dedup, merkle, mixing, packing, quality_rules, secrets, sharding, simhash, url_filter
+from . import compression_quality, decontamination, licenses, line_dedup, merkle, mixing, packing, periodic, quality_rules, secrets, sharding, simhash, url_filter
 from .common import read
 
 
@@ -63,11 +63,15 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report_runs(periodic.with_planted_repeats(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_scan, op2_hilbert_shards, op3_simhash, op4_line_spread, op5_decontamination,
         op6_quality_rules, op7_url_filter, op8_license_scan, op9_compression_quality, op10_pareto_mix,
-        op11_merkle_manifest, op12_best_fit_packing,
+        op11_merkle_manifest, op12_best_fit_packing, op13_periodic_runs,
     )}
 
 

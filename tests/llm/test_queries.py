@@ -21,4 +21,4 @@ def test_query_without_sql_runs(name, spark, sf_dir):
 
 
 def test_every_operator():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in q.queries()] == list(range(1, 13))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in q.queries()] == list(range(1, 14))
