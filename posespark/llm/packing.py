@@ -9,8 +9,10 @@ solution stay; the pieces of its emptiest ones are pooled over all blocks and pa
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 from zlib import crc32
 
 import numpy as np
@@ -35,7 +37,9 @@ CLOSED, POOLED = 64, 4
 class Encoder:
     """Token ids of texts as little-endian 32-bit numbers, word by word.
 
-    The tokenizer drops white space before it merges, so the ids of a text are those of its words one after the other.
+    The tokenizer drops white space before it merges, so the ids of a text are those of its words one after the other. A word of
+    Latin letters, with or without marks behind it, is one piece of letters and one of marks, and goes to the merges directly;
+    every other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str | None):
@@ -46,6 +50,13 @@ class Encoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer, self.recent, self.older = Tokenizer.from_file(path), {}, {}
+        self.merges, self.letters = self.tokenizer.model, {}
+        split = lambda text: [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+        for c in filter(str.isalpha, map(chr, range(0x41, 0x250))):
+            if len(self.tokenizer.normalizer.normalize_str(c)) == 1 and split(f"{c}a{c}") == [split(c)[0] + "a" + split(c)[0]]:
+                self.letters[ord(c)] = split(c)[0]
+        self.plain = re.compile(f"([{''.join(map(chr, self.letters))}]+)([.,;:!?]*)")
+        self.marks = {"": b""}
 
     def ids(self, text: bytes) -> bytes:
         words = text.split()
@@ -58,13 +69,36 @@ class Encoder:
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         if len(self.recent) > REMEMBERED:
             self.older, self.recent = self.recent, {}
-        learnt = {w: self.older[w] for w in words if w in self.older}
-        unknown = [w for w in words if w not in learnt]
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)):
-            learnt[w] = np.array(e.ids, "<u4").tobytes()
+        learnt, unknown = {}, []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is None and (parts := self.plain.fullmatch(w.decode())):
+                if (marks := self.marks.get(parts[2])) is None:
+                    marks = self._whole([parts[2]])[0]
+                    if len(parts[2]) <= 3:
+                        self.marks[parts[2]] = marks
+                ids = pack_ids([t.id for t in self.merges.tokenize(parts[1].translate(self.letters))]) + marks
+            if ids is None:
+                unknown.append(w)
+            else:
+                learnt[w] = ids
+        learnt |= dict(zip(unknown, self._whole([w.decode() for w in unknown])))
         self.recent |= {w: ids for w, ids in learnt.items() if len(w) <= LONGEST}
         return learnt
 
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(1)
+def encoder_of(path: str | None) -> Encoder:
+    """The encoder of a worker, with the words it remembers, for all its tasks."""
+    return Encoder(path)
+
 
 def best_fit(items: Sequence[int], sizes: list[int], bins: np.ndarray, rooms: list[int], capacity: int) -> None:
     """Puts each item, in turn, into the bin that it leaves least room in, or a new one; bins and rooms are changed in place."""
@@ -222,8 +256,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        end = np.array([END], "<u4").tobytes()
+        encoder, end = encoder_of(tokenizer), pack_ids([END])
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for k, text in enumerate(utf8(batch.column("text"))):

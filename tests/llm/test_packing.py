@@ -106,6 +106,19 @@ def test_word_by_word_equals_whole_text(text):
     assert np.frombuffer(ENCODER.ids(text.encode()), "<u4").tolist() == ids_of(text)[:-1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(min_codepoint=0x41, max_codepoint=0x260), st.sampled_from("aeßİıǅſŉ'.,!?")), min_size=1, max_size=12), max_size=6))
+def test_latin_words_equal_whole_text(words):
+    assert np.frombuffer(ENCODER.ids(" ".join(words).encode()), "<u4").tolist() == ids_of(" ".join(words))[:-1]
+
+
+def test_every_letter_of_the_direct_way():
+    assert len(ENCODER.letters) > 400 and ord("é") in ENCODER.letters and ord("İ") not in ENCODER.letters
+    for c in map(chr, ENCODER.letters):
+        for text in (c, f"a{c}b{c}", f"{c}{c}.", f"{c}'s"):
+            assert np.frombuffer(ENCODER.ids(text.encode()), "<u4").tolist() == ids_of(text)[:-1]
+
+
 def test_special_tokens_and_forgotten_words(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 3)
     encoder = packing.Encoder(None)
