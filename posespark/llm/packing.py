@@ -30,6 +30,8 @@ CAPACITY, END = 2048, 0
 BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 3, 3, 6, 12
 #: Words whose ids a task remembers, at most, in each of two generations, and the longest of them in bytes.
 REMEMBERED, LONGEST = 300_000, 64
+#: Bytes of text whose words are looked up together.
+TOGETHER = 1 << 16
 #: Bins of a part of the capacity in room at most stay closed; the others' pieces are pooled, a quarter of a block's at most.
 CLOSED, POOLED = 64, 4
 
@@ -55,39 +57,40 @@ class Encoder:
         for c in filter(str.isalpha, map(chr, range(0x41, 0x250))):
             if len(self.tokenizer.normalizer.normalize_str(c)) == 1 and split(f"{c}a{c}") == [split(c)[0] + "a" + split(c)[0]]:
                 self.letters[ord(c)] = split(c)[0]
-        self.plain = re.compile(f"([{''.join(map(chr, self.letters))}]+)([.,;:!?]*)")
-        self.marks = {"": b""}
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        parts = list(map(self.recent.get, words))
-        if None in parts:
-            learnt = self._learn({w for w, p in zip(words, parts) if p is None})
-            parts = [learnt[w] if p is None else p for w, p in zip(words, parts)]
-        return b"".join(parts)
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        self.plain = re.compile(f"^(?:([{''.join(map(chr, self.letters))}]+)([.,;:!?]*)|.*)$", re.MULTILINE)
+
+    def ids(self, texts: Sequence[bytes]) -> list[bytes]:
+        """The ids of each text; new words of all of them are learnt together."""
         if len(self.recent) > REMEMBERED:
             self.older, self.recent = self.recent, {}
-        learnt, unknown = {}, []
-        for w in words:
-            ids = self.older.get(w)
-            if ids is None and (parts := self.plain.fullmatch(w.decode())):
-                if (marks := self.marks.get(parts[2])) is None:
-                    marks = self._whole([parts[2]])[0]
-                    if len(parts[2]) <= 3:
-                        self.marks[parts[2]] = marks
-                ids = pack_ids([t.id for t in self.merges.tokenize(parts[1].translate(self.letters))]) + marks
-            if ids is None:
-                unknown.append(w)
+        words = [t.split() for t in texts]
+        new = set().union(*words).difference(self.recent)
+        if new:
+            self._learn(new)
+        found = [b"".join(map(self.recent.__getitem__, w)) for w in words]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.recent[w]
+        return found
+
+    def _learn(self, new: set[bytes]) -> None:
+        fresh = list(new.difference(self.older))
+        self.recent |= {w: self.older[w] for w in new.difference(fresh)}
+        lines = b"\n".join(fresh).decode()
+        parts = self.plain.findall(lines) if fresh else []
+        stems = "\n".join([p[0] for p in parts]).translate(self.letters).split("\n")
+        marks = list({p[1] for p in parts if p[1]})
+        behind = {"": b""} | dict(zip(marks, self._whole(marks)))
+        rest = []
+        for w, stem, (_, mark) in zip(fresh, stems, parts):
+            if stem:
+                self.recent[w] = pack_ids([t.id for t in self.merges.tokenize(stem)]) + behind[mark]
             else:
-                learnt[w] = ids
-        learnt |= dict(zip(unknown, self._whole([w.decode() for w in unknown])))
-        self.recent |= {w: ids for w, ids in learnt.items() if len(w) <= LONGEST}
-        return learnt
+                rest.append(w)
+        self.recent |= dict(zip(rest, self._whole([w.decode() for w in rest])))
 
     def _whole(self, words: list[str]) -> list[bytes]:
-        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -255,12 +258,20 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     key = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
+    def encoded(texts: list[bytes | None]) -> Iterator[bytes]:
+        encoder, end, held, size = encoder_of(tokenizer), pack_ids([END]), [], 0
+        for text in texts:
+            held.append(text or b"")
+            size += len(held[-1])
+            if size > TOGETHER:
+                yield from (ids + end for ids in encoder.ids(held))
+                held, size = [], 0
+        yield from (ids + end for ids in encoder.ids(held))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer), pack_ids([END])
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
-            for k, text in enumerate(utf8(batch.column("text"))):
-                ids = encoder.ids(text or b"") + end
+            for k, ids in enumerate(encoded(utf8(batch.column("text")))):
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     rows.append(k), numbers.append(piece), starts.append(start), lengths.append(min(capacity, n - start))
