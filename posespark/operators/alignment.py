@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.angles import angle_distance, flip
+from .timeseries import carried_fill
 
 
 def exact_align(frames: DataFrame, features: DataFrame, values: Sequence[str], key: str = "video", ts: str = "ts", position: str = "position") -> DataFrame:
@@ -24,13 +25,11 @@ def first_positions(rows: DataFrame, ident: str, position: str, key: str = "vide
 def nearest_template(frames: DataFrame, is_template: Column, key: str = "video", order: str = "frame_index", out: str = "template") -> DataFrame:
     """Adds the nearest template frame before or after; the earlier one on a tie, null without any.
 
-    Two running windows over one sort, so cost does not depend on how many templates there are.
+    The last and the next template are carried along pieces of the series in both directions: cost is linear in
+    frames, does not depend on how many templates there are, and a long video is the work of many tasks.
     """
-    along = Window.partitionBy(key).orderBy(order)
     here = F.when(is_template, F.col(order))
-    back = F.last(here, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(here, ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    rows = frames.withColumns({"_back": back, "_ahead": ahead})
+    rows = carried_fill(frames, here, [key], [order], back="_back", ahead="_ahead")
     nearer = (F.col("_ahead") - F.col(order)) < (F.col(order) - F.col("_back"))
     return rows.withColumn(out, F.when(F.col("_back").isNull() | nearer, F.col("_ahead")).otherwise(F.col("_back"))).drop("_back", "_ahead")
 

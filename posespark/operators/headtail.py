@@ -7,7 +7,7 @@ the few segments of one video are sequential; all else is windows and groups.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from heapq import heappop, heappush
 from math import radians
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.angles import head_tail_cosine, nan
 from .lineage import cut
-from .timeseries import carried_lag, carried_sum, streamed_fold
+from .timeseries import carried_sum, meet_pieces, streamed_fold
 
 #: Largest mean angle between successive frames, and times in seconds: look-back, least
 #: segment, and largest gap over which an orientation spreads.
@@ -27,6 +27,8 @@ MAX_ANGLE, LOOK_BACK_S, MIN_SEGMENT_S, MAX_SPREAD_S = radians(30), 0.2, 0.2, 1.0
 #: A segment needs more labelled frames than this to be aligned with labels.
 MIN_LABELLED = 5
 SCORE_THRESHOLD = 0.7
+#: Time steps of a piece that is folded on its own.
+FOLD_PIECE = 4096
 
 
 def frames_of(seconds: float, frame_rate: float) -> int:
@@ -75,25 +77,93 @@ def fold_step(state: FoldState, t: int, theta0: np.ndarray, theta1: np.ndarray,
     return state, (False, False, 0)
 
 
-def continuous_partitions(frames: DataFrame, frame_rate: float, threshold: float = SCORE_THRESHOLD) -> DataFrame:
+def _piece_ends(spread: DataFrame, look_back: int) -> DataFrame:
+    """Where the fold ends in each piece, for every state it may start with: _piece, start_t, start_k, end_t, end_k.
+
+    States are (t, candidate) of the last accepted frame. A piece starts with one of its halo's frames, or with
+    none that still counts (null). All starts are folded side by side; those that meet go on as one, two as a rule.
+    """
+    kind = dict(spread.dtypes)["video"]
+    names = ["video", "_piece", "start_t", "start_k", "end_t", "end_k"]
+    placed = spread.repartition("video", "_piece").sortWithinPartitions("video", "_piece", "t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, ends, states = None, {}, {}
+
+        def closed() -> list[tuple]:
+            return [] if mine is None else [(*mine, *(start or (None, None)), *(end or (None, None))) for start, end in ends.items()]
+
+        for batch in batches:
+            done = []
+            for row in batch.itertuples(index=False):
+                if (row.video, row.piece) != mine:
+                    done += closed()
+                    mine, ends, states = (row.video, row.piece), {None: None}, {None: FoldState()}
+                thetas = (np.asarray(row.theta0, float), np.asarray(row.theta1, float))
+                if not row.own:
+                    for k in (0, 1):
+                        ends[row.t, k] = (row.t, k)
+                        states[row.t, k] = FoldState(row.t, thetas[k])
+                    continue
+                moved, after = {}, {}
+                for at in set(ends.values()):
+                    state, (accepted, opens, k) = fold_step(states[at], row.t, *thetas, look_back)
+                    moved[at] = (row.t, k) if accepted else at
+                    after[moved[at]] = state
+                ends, states = {start: moved[at] for start, at in ends.items()}, after
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame(closed(), columns=names)
+
+    return placed.withColumnsRenamed({"_piece": "piece", "_own": "own"}).mapInPandas(run, f"video {kind}, _piece long, start_t long, start_k int, end_t long, end_k int")
+
+
+def _piece_starts(ends: DataFrame) -> DataFrame:
+    """The state that each piece does start with, video by video along the pieces; pieces that start with none are left out."""
+    kind = dict(ends.dtypes)["video"]
+
+    def step(state, row):
+        # (piece, its start, end for that start, end for no start); a piece's first row is the one without a start
+        piece, start, end, other = state
+        mine = None if pd.isna(row.start_t) else (int(row.start_t), int(row.start_k))
+        target = None if pd.isna(row.end_t) else (int(row.end_t), int(row.end_k))
+        if mine is None:
+            start = (end or other) if piece == row.piece - 1 else None
+            return (row.piece, start, None, target), (row.video, row.piece, *(start or (None, None)))
+        return (piece, start, target if mine == start else end, other), (row.video, row.piece, None, None)
+
+    rows = ends.withColumnRenamed("_piece", "piece")
+    found = streamed_fold(rows, ["video"], ["piece", "start_t", "start_k"], lambda: (None, None, None, None), step, f"video {kind}, _piece long, start_t long, start_k int")
+    return found.filter("start_t is not null")
+
+
+def continuous_partitions(frames: DataFrame, frame_rate: float, threshold: float = SCORE_THRESHOLD, piece: int = FOLD_PIECE) -> DataFrame:
     """video, t, segment, k of the accepted frames.
 
-    A pause longer than the look-back between passing frames always ends a segment, so
-    the stretches between pauses are folded on their own, in parallel.
+    The fold is sequential, but what it carries is one accepted frame, and that counts for the look-back only. So
+    a video is folded in pieces of `piece` time steps: first each piece from every state that the frames just before it can leave,
+    then these ends are put together along the video, then each piece from the state it does start with. No
+    task folds a whole video, however long it goes on without a pause.
     """
     look_back = frames_of(LOOK_BACK_S, frame_rate)
+    if look_back >= piece:
+        raise ValueError("a piece must be longer than the look-back")
     good = passing(frames, threshold).select("video", "t", "theta0", "theta1")
-    # pauses are found and numbered on times alone, in pieces; angles meet the stretch by a join
-    times = carried_lag(good.select("video", "t"), "t", ["video"], ["t"], "previous")
-    pause = F.coalesce((F.col("t") - F.col("previous") > look_back).cast("int"), F.lit(0))
-    stretches = good.join(carried_sum(times, pause, ["video"], ["t"], "stretch").select("video", "t", "stretch"), ["video", "t"])
+    own = F.floor(F.col("t") / piece)
+    halo = F.when(F.col("t") - own * piece >= piece - look_back, own + 1)
+    spread = good.withColumn("_piece", F.explode(F.array_compact(F.array(own, halo)))).withColumn("_own", F.col("_piece") == own)
+    starts = _piece_starts(_piece_ends(spread, look_back))
+    started = meet_pieces(spread, starts, ["video", "_piece"], "left").withColumnsRenamed({"_piece": "piece", "_own": "own"})
 
     def step(state, row):
+        if not row.own:
+            if not pd.isna(row.start_t) and row.t == row.start_t:
+                state = FoldState(row.t, np.asarray(row.theta1 if row.start_k else row.theta0, float))
+            return state, (row.video, row.t, False, False, 0)
         state, (accepted, opens, k) = fold_step(state, row.t, np.asarray(row.theta0, float), np.asarray(row.theta1, float), look_back)
         return state, (row.video, row.t, accepted, opens, k)
 
     kinds = dict(frames.dtypes)
-    folded = streamed_fold(stretches, ["video", "stretch"], ["t"], FoldState, step, f"video {kinds['video']}, t {kinds['t']}, accepted boolean, opens boolean, k int")
+    folded = streamed_fold(started, ["video", "piece"], ["t"], FoldState, step, f"video {kinds['video']}, t {kinds['t']}, accepted boolean, opens boolean, k int")
     taken = cut(folded.filter("accepted").select("video", "t", "opens", "k"))
     numbered = carried_sum(taken, F.col("opens").cast("int"), ["video"], ["t"], "opened")
     return numbered.select("video", "t", (F.col("opened") - 1).cast("int").alias("segment"), "k")

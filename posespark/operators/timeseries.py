@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import pi
 
 import numpy as np
@@ -17,29 +17,39 @@ MAX_GAP, MIN_SEGMENT, SMOOTH_WINDOW, SMOOTH_ORDER = 4, 8, 8, 3
 #: Knots of a spline chunk, and of the neighbours it overlaps: a knot's weight falls
 #: about fourfold a knot, so 64 of them leave nothing that a double can hold.
 CHUNK_KNOTS, OVERLAP_KNOTS = 4096, 64
+#: Frames of a piece of a series: windows run over pieces, and what crosses from one to the next is carried by a row a piece.
+PIECE = 16_384
 
 
 def dense_resample(rows: DataFrame, values: Sequence[str], key: str = "video", tick: str = "tick", order: str = "frame_index") -> DataFrame:
     """A row for every tick from 0 to last - first of each series; null where none was seen.
 
-    Of several rows with a tick the one latest in order counts.
+    Of several rows with a tick the one latest in order counts. Ticks are made in two steps, pieces and then their
+    ticks, so that a series of any length is no single array and its ticks are made by many tasks.
     """
     last = rows.groupBy(key, tick).agg(F.max_by(F.struct(*values), order).alias("v"))
     bounds = rows.groupBy(key).agg(F.min(tick).alias("lo"), F.max(tick).alias("hi"))
-    every = bounds.select(key, "lo", F.explode(F.sequence(F.lit(0), (F.col("hi") - F.col("lo")).cast("int"))).alias("t"))
+    most = (F.col("hi") - F.col("lo")).cast("int")
+    pieces = bounds.select(key, "lo", most.alias("most"), F.explode(F.sequence(F.lit(0), F.floor(most / PIECE).cast("int"))).alias("_piece")).repartition(key, "_piece")
+    first = F.col("_piece") * PIECE
+    every = pieces.select(key, "lo", F.explode(F.sequence(first, F.least(F.col("most"), first + (PIECE - 1)))).alias("t"))
     placed = every.select(key, "t", (F.col("t") + F.col("lo")).alias(tick))
     return placed.join(last, [key, tick], "left").select(key, "t", *[F.col("v")[v].alias(v) for v in values])
 
 
 def runs(rows: DataFrame, flag: Column, key: str = "video", order: str = "frame_index") -> DataFrame:
-    """Maximal runs of an equal flag: start and half-open end, by gaps and islands."""
-    along = Window.partitionBy(key).orderBy(order)
-    same = Window.partitionBy(key, "flag").orderBy(order)
-    marked = rows.select(key, order, flag.alias("flag")).withColumn("island", F.row_number().over(along) - F.row_number().over(same))
-    return (
-        marked.groupBy(key, "flag", "island").agg(F.min(order).alias("run_start"), (F.max(order) + 1).alias("run_end"))
-        .drop("island")
-    )
+    """Maximal runs of an equal flag: start and half-open end.
+
+    A run's number is the count of changes before it; it is counted in pieces, and a change at a seam between two pieces
+    counts for the later one. No task holds a series, and a run over many pieces is one group of partial aggregates.
+    """
+    marked = rows.select(key, order, flag.alias("flag"))
+    numbered = carried_steps(marked, F.col("flag"), _changed, [key], [order], "run")
+    return numbered.groupBy(key, "run", "flag").agg(F.min(order).alias("run_start"), (F.max(order) + 1).alias("run_end")).drop("run")
+
+
+def _changed(before: Column, now: Column) -> Column:
+    return (~before.eqNullSafe(now)).cast("long")
 
 
 def valid_runs(rows: DataFrame, valid: Column, key: str = "video", order: str = "frame_index") -> DataFrame:
@@ -48,9 +58,7 @@ def valid_runs(rows: DataFrame, valid: Column, key: str = "video", order: str =
 
 def _merged(table: DataFrame, flag: str, key: str, sums: Sequence[str] = ()) -> DataFrame:
     """Neighbouring runs with an equal flag as one; sums are added up."""
-    along = Window.partitionBy(key).orderBy("run_start")
-    changed = F.coalesce((F.col(flag) != F.lag(flag).over(along)).cast("int"), F.lit(0))
-    numbered = table.withColumn("changed", changed).withColumn("group", F.sum("changed").over(along))
+    numbered = carried_steps(table, F.col(flag), _changed, [key], ["run_start"], "group")
     return numbered.groupBy(key, "group", flag).agg(F.min("run_start").alias("run_start"), F.max("run_end").alias("run_end"), *[F.sum(s).alias(s) for s in sums]).drop("group")
 
 
@@ -73,25 +81,23 @@ def valid_segments(rows: DataFrame, valid: Column, max_gap: int = MAX_GAP, min_s
 def in_segments(rows: DataFrame, segments: DataFrame, key: str = "video", order: str = "frame_index") -> DataFrame:
     """rows with the segment_start and segment_end of the segment that holds them, others left out.
 
-    The segments' starts join the rows of their frame and are carried forward.
+    The segments' starts stand among the rows as rows of their own, just before the frame, and are carried forward.
     """
-    starts = segments.select(key, F.col("segment_start").alias(order), F.struct("segment_start", "segment_end").alias("segment"))
-    along = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = rows.join(starts, [key, order], "left").withColumn("segment", F.last("segment", ignorenulls=True).over(along))
-    return carried.filter(F.col("segment").isNotNull() & (F.col(order) < F.col("segment.segment_end"))).select(*rows.columns, "segment.*")
+    starts = segments.select(key, F.col("segment_start").alias(order), F.struct("segment_start", "segment_end").alias("_segment"), F.lit(0).alias("_kind"))
+    both = rows.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    carried = carried_fill(both, F.col("_segment"), [key], [order, "_kind"], back="_within")
+    return carried.filter((F.col("_kind") == 1) & (F.col(order) < F.col("_within.segment_end"))).select(*rows.columns, "_within.*")
 
 
-#: Frames of a piece of a series: windows run over pieces, and what crosses from one to the next is carried by a row a piece.
-PIECE = 16_384
 
 
-def _meet(rows: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+def meet_pieces(rows: DataFrame, pieces: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """rows with the columns of their piece; null is a key."""
     named = pieces.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return rows.join(named, same).drop(*[f"_of_{k}" for k in keys])
+    return rows.join(named, same, how).drop(*[f"_of_{k}" for k in keys])
 
 
 def carried_lag(rows: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], out: str, piece: int = PIECE) -> DataFrame:
@@ -105,7 +111,7 @@ def carried_lag(rows: DataFrame, value: str, keys: Sequence[str], order: Sequenc
     last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_piece"))).drop("_last")
     along = Window.partitionBy(*keys, "_piece").orderBy(*order)
     inside = cut.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(along))
-    return _meet(inside, last, [*keys, "_piece"]).withColumn(out, F.coalesce("_before", "_carried")["v"]).select(*rows.columns, out)
+    return meet_pieces(inside, last, [*keys, "_piece"]).withColumn(out, F.coalesce("_before", "_carried")["v"]).select(*rows.columns, out)
 
 
 def carried_sum(rows: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], out: str, piece: int = PIECE) -> DataFrame:
@@ -116,21 +122,63 @@ def carried_sum(rows: DataFrame, value: Column, keys: Sequence[str], order: Sequ
     total = total.withColumn("_carried", F.coalesce(before, F.lit(0))).drop("_total")
     along = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.withColumn("_inside", F.sum("_value").over(along))
-    return _meet(inside, total, [*keys, "_piece"]).withColumn(out, F.col("_carried") + F.col("_inside")).select(*rows.columns, out)
+    return meet_pieces(inside, total, [*keys, "_piece"]).withColumn(out, F.col("_carried") + F.col("_inside")).select(*rows.columns, out)
+
+
+def carried_steps(rows: DataFrame, value: Column, step: Callable[[Column, Column], Column], keys: Sequence[str], order: Sequence[str], out: str, piece: int = PIECE) -> DataFrame:
+    """Adds the running total of step(value of the row before, value), a number that is never null; the first row adds 0.
+
+    One pass over pieces: each gives its first and last value and its own total, and the steps across the seams
+    are taken between these.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
+    along, boxed = Window.partitionBy(*keys, "_piece").orderBy(*order), F.struct(F.col("_value").alias("v"))
+    inside = cut.withColumn("_before", F.lag(boxed).over(along))
+    inside = inside.withColumn("_step", F.when(F.col("_before").isNotNull(), step(F.col("_before")["v"], F.col("_value")))).drop("_before")
+    total = F.coalesce(F.sum("_step").over(along.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    ends = inside.groupBy(*keys, "_piece").agg(
+        F.min_by(boxed, F.struct(*order)).alias("_first"), F.max_by(boxed, F.struct(*order)).alias("_last"), F.coalesce(F.sum("_step"), F.lit(0)).alias("_total"),
+    )
+    pieces = Window.partitionBy(*keys).orderBy("_piece")
+    ends = ends.withColumn("_left", F.lag("_last").over(pieces))
+    ends = ends.withColumn("_seam", F.when(F.col("_left").isNotNull(), step(F.col("_left")["v"], F.col("_first")["v"])).otherwise(0))
+    carried = F.sum("_seam").over(pieces) + F.coalesce(F.sum("_total").over(pieces.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.withColumn("_carried", carried).drop("_first", "_last", "_total", "_left", "_seam")
+    return meet_pieces(inside.withColumn("_inside", total), ends, [*keys, "_piece"]).withColumn(out, F.col("_carried") + F.col("_inside")).select(*rows.columns, out)
+
+
+def carried_fill(rows: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], back: str | None = None, ahead: str | None = None, piece: int = PIECE) -> DataFrame:
+    """Adds the last known value up to each row (back), the next one from it on (ahead), or both; null without any.
+
+    Within pieces by windows that run to the row, one in each direction; the last and the first known value of each piece go on
+    to the pieces after and before it, past pieces that know none.
+    """
+    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
+    known, boxed = F.when(F.col("_value").isNotNull(), F.struct(*order)), F.struct(F.col("_value").alias("v"))
+    edges = cut.groupBy(*keys, "_piece").agg(F.min_by(boxed, known).alias("_first"), F.max_by(boxed, known).alias("_last"))
+    columns = {}
+    for name, edge, place in ((back, "_last", lambda c: F.asc(c)), (ahead, "_first", lambda c: F.desc(c))):
+        if name is not None:
+            running = Window.partitionBy(*keys).orderBy(place("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+            edges = edges.withColumn(f"_from{edge}", F.last(F.when(F.col(edge)["v"].isNotNull(), F.col(edge)), ignorenulls=True).over(running))
+            within = Window.partitionBy(*keys, "_piece").orderBy(*[place(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+            cut = cut.withColumn(f"_in{edge}", F.last("_value", ignorenulls=True).over(within))
+            columns[name] = F.coalesce(f"_in{edge}", F.col(f"_from{edge}")["v"])
+    return meet_pieces(cut, edges.drop("_first", "_last"), [*keys, "_piece"]).withColumns(columns).select(*rows.columns, *columns)
 
 
 def unwrap(rows: DataFrame, angle: str, keys: Sequence[str], order: Sequence[str], out: str = "unwrapped") -> DataFrame:
     """Adds the angle without jumps of a whole turn along the order; rows are the valid samples only.
 
-    order[0] is a frame number; a long series is unwrapped in pieces.
+    order[0] is a frame number; a long series is unwrapped in pieces, in one pass.
     """
-    met = carried_lag(rows, angle, keys, order, "_previous")
-    step = F.col(angle) - F.col("_previous")
-    turned = (step + pi) - 2 * pi * F.floor((step + pi) / (2 * pi)) - pi
-    turned = F.when((turned == -pi) & (step > 0), F.lit(pi)).otherwise(turned)
-    fix = F.coalesce(F.when(F.abs(step) < pi, 0.0).otherwise(turned - step), F.lit(0.0))
-    fixed = carried_sum(met, fix, keys, order, "_turns")
-    return fixed.withColumn(out, F.col(angle) + F.col("_turns")).select(*rows.columns, out)
+    def turn(before: Column, now: Column) -> Column:
+        step = now - before
+        turned = (step + pi) - 2 * pi * F.floor((step + pi) / (2 * pi)) - pi
+        turned = F.when((turned == -pi) & (step > 0), F.lit(pi)).otherwise(turned)
+        return F.coalesce(F.when(F.abs(step) < pi, 0.0).otherwise(turned - step), F.lit(0.0))
+
+    return carried_steps(rows, F.col(angle), turn, keys, order, "_turns").withColumn(out, F.col(angle) + F.col("_turns")).select(*rows.columns, out)
 
 
 def frame_major_unwrap(frames: DataFrame, theta: str = "theta", key: str = "video", order: str = "t") -> DataFrame:
@@ -139,18 +187,33 @@ def frame_major_unwrap(frames: DataFrame, theta: str = "theta", key: str = "vide
     return unwrap(flat, "angle", [key], [order, "dim"])
 
 
-def smooth(rows: DataFrame, value: str, window: int = SMOOTH_WINDOW, poly: int = SMOOTH_ORDER, keys: Sequence[str] = ("video", "segment_start"), order: str = "frame_index", out: str = "smoothed") -> DataFrame:
-    """Savitzky-Golay smoothing within segments; null in segments shorter than the window.
+def smooth(
+    rows: DataFrame, value: str, window: int = SMOOTH_WINDOW, poly: int = SMOOTH_ORDER, keys: Sequence[str] = ("video", "segment_start"), order: str = "frame_index",
+    out: str = "smoothed", piece: int = PIECE,
+) -> DataFrame:
+    """Savitzky-Golay smoothing within groups of consecutive frames; null in groups shorter than the window.
 
-    Inner samples take the middle weights, the ends of a segment those of the first or
+    Inner samples take the middle weights, the ends of a group those of the first or
     last full window's polynomial: all are sums over neighbours at fixed offsets.
-    An even window counts as the next odd one.
+    An even window counts as the next odd one. A group is smoothed in pieces: each carries the rows within a
+    window's reach of its edges from its neighbours as a halo, so the windows never see a whole group. Frames that are missing or
+    repeated in a group are an error: reach is counted in frames.
     """
     window += 1 - window % 2
+    if piece < window:
+        raise ValueError("the window must not be longer than a piece")
     weights, half = savgol_weights(window, poly), window // 2
-    along = Window.partitionBy(*keys).orderBy(order)
-    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("_at", F.row_number().over(along) - 1).withColumn("_n", F.count("*").over(whole))
+    group = [*keys, "_piece"]
+    own = F.floor(F.col(order) / piece)
+    place = F.col(order) - own * piece
+    reach = F.array_compact(F.array(own, F.when(place < window, own - 1), F.when(place >= piece - window, own + 1)))
+    spread = rows.withColumn("_piece", F.explode(reach))
+    ends = rows.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("_n"))
+    broken = F.raise_error(F.lit("the frames of a group must be consecutive to be smoothed"))
+    ends = ends.withColumn("_n", F.when(F.col("_hi") - F.col("_lo") + 1 == F.col("_n"), F.col("_n")).otherwise(broken))
+    ends = ends.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_lo") / piece), F.floor(F.col("_hi") / piece))))
+    met = meet_pieces(spread, ends, group).withColumn("_at", F.col(order) - F.col("_lo"))
+    along = Window.partitionBy(*group).orderBy(order)
 
     def fitted(place: int) -> Column:
         total = F.lit(0.0)
@@ -163,7 +226,7 @@ def smooth(rows: DataFrame, value: str, window: int = SMOOTH_WINDOW, poly: int =
         result = F.when(F.col("_at") == p, fitted(p)).otherwise(result)
         result = F.when(F.col("_at") == F.col("_n") - 1 - p, fitted(window - 1 - p)).otherwise(result)
     fits = (F.col("_n") >= window) & (F.col("_n") > poly)
-    return rows.withColumn(out, F.when(fits, result)).drop("_at", "_n")
+    return met.withColumn(out, F.when(fits, result)).filter(F.col("_piece") == own).select(*rows.columns, out)
 
 
 def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "segment_start"), order: str = "frame_index", strict: bool = False, out: str = "filled") -> DataFrame:

@@ -51,6 +51,38 @@ def test_fold_in_parallel_stretches(spark):
     assert 20 not in {w[1] for w in want} and len({w[2] for w in want}) == 2
 
 
+def _random_frames(seed, n):
+    """Angles of few directions, missing scores and pauses, so that frames are refused, turned and opened at random."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for t in range(n):
+        if rng.random() < 0.15:
+            continue
+        a, b = rng.choice([0.0, 0.3, 0.6, 1.4, 3.0], 2)
+        rows.append((f"v{rng.integers(2)}", t, [float(a)] * 3, [float(b)] * 3, 0.9 if rng.random() < 0.9 else 0.2, 0.1))
+    return rows
+
+
+@pytest.mark.parametrize("piece", [7, 16, 50])
+def test_fold_in_pieces_equals_the_sequential_fold(spark, piece):
+    rows = _random_frames(piece, 600)
+    got = headtail.continuous_partitions(spark.createDataFrame(rows, SCHEMA).repartition(5), RATE, piece=piece).collect()
+    want = [w for v in ("v0", "v1") for w in _fold([r for r in rows if r[0] == v])]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_one_long_stretch_without_a_pause(spark):
+    """100,000 frames: the same as the sequential fold, and no window over a video in the plan."""
+    n = 100_000
+    rng = np.random.default_rng(1)
+    turn, jump = rng.random(n) < 0.5, rng.random(n) < 0.01
+    base = 0.01 * np.arange(n) + 1.3 * jump
+    rows = [("v", t, [x, x + 0.1], [x + np.pi, x + np.pi + 0.1], 0.9, 0.1) if k else ("v", t, [x + np.pi, x + np.pi + 0.1], [x, x + 0.1], 0.9, 0.1) for t, (x, k) in enumerate(zip(base.tolist(), turn))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    got = sorted(map(tuple, headtail.continuous_partitions(df, RATE).collect()))
+    assert got == _fold(rows)
+
+
 def test_scores_that_are_missing(spark):
     nan = float("nan")
     rows = [("v", 0, [0.0], [1.0], nan, 0.9), ("v", 1, [0.0], [1.0], 0.7, 0.1), ("v", 2, [0.0], [1.0], 0.69, 0.1)]

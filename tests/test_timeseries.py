@@ -126,6 +126,68 @@ def test_post_processing(spark):
     assert out[12]["modes_smooth"] == pytest.approx([0], abs=1e-6)
 
 
+@pytest.mark.parametrize("piece", [5, 16, 1000])
+def test_runs_segments_and_templates_over_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(timeseries, "PIECE", piece)
+    for f in (timeseries.carried_steps, timeseries.carried_fill):
+        monkeypatch.setattr(f, "__defaults__", (*f.__defaults__[:-1], piece))
+    rng = np.random.default_rng(piece)
+    flags = np.repeat(rng.random(60) < 0.6, rng.integers(1, 14, 60))
+    rows = frames(spark, flags).repartition(3)
+    assert sorted((r["run_start"], r["run_end"]) for r in timeseries.valid_runs(rows, F.col("valid")).collect()) == _runs(flags)
+    segments = timeseries.valid_segments(rows, F.col("valid"))
+    want = _segments(flags, timeseries.MAX_GAP, timeseries.MIN_SEGMENT)
+    assert sorted((r["segment_start"], r["segment_end"], r["n_valid"]) for r in segments.collect()) == want
+    inside = timeseries.in_segments(rows, segments).collect()
+    assert sorted((r["frame_index"], r["segment_start"]) for r in inside) == [(t, a) for a, b, _ in want for t in range(a, b)]
+    marks = rng.random(len(flags)) < 0.03
+    marked = spark.createDataFrame([("v", t, bool(m)) for t, m in enumerate(marks)], "video string, frame_index int, mark boolean").repartition(3)
+    places = np.flatnonzero(marks)
+    got = {r["frame_index"]: r["template"] for r in alignment.nearest_template(marked, F.col("mark")).collect()}
+    assert got == {t: int(min(places, key=lambda p: (abs(p - t), p))) for t in range(len(flags))}
+    ticks = spark.createDataFrame([("v", 0, 3, 1.0), ("v", 1, 3 + 4 * piece, 2.0)], "video string, frame_index int, tick int, a double")
+    assert {r["t"]: r["a"] for r in timeseries.dense_resample(ticks, ["a"]).collect()} == {t: {0: 1.0, 4 * piece: 2.0}.get(t) for t in range(4 * piece + 1)}
+
+
+@pytest.mark.parametrize("piece", [9, 25, 1000])
+def test_smoothing_in_pieces(spark, piece):
+    """Halos give the same numbers as whole groups; gaps in a group are refused."""
+    rng = np.random.default_rng(2)
+    rows = [("v", a, t, float(rng.normal())) for a, n in ((3, 40), (60, 9), (80, 8), (100, 1), (110, 27)) for t in range(a, a + n)]
+    df = spark.createDataFrame(rows, "video string, segment_start int, frame_index int, a double").repartition(3)
+    got = {r["frame_index"]: r["smoothed"] for r in timeseries.smooth(df, "a", piece=piece).collect()}
+    value = {r[2]: r[3] for r in rows}
+    for a, n in ((3, 40), (60, 9), (80, 8), (100, 1), (110, 27)):
+        for i in range(n):
+            if n < 9:
+                assert got[a + i] is None
+                continue
+            first = min(max(i - 4, 0), n - 9)
+            fit = np.polynomial.Polynomial.fit(np.arange(9), [value[a + first + j] for j in range(9)], 3)
+            assert got[a + i] == pytest.approx(fit(i - first))
+    with pytest.raises(Exception, match="consecutive"):
+        timeseries.smooth(df.filter("frame_index <> 20"), "a", piece=piece).collect()
+    with pytest.raises(ValueError, match="longer"):
+        timeseries.smooth(df, "a", piece=8)
+
+
+def test_a_long_video_is_linear_and_has_no_window_over_it(spark):
+    """100,000 frames of one video: nearest templates within seconds; no frame reaches to the end of a partition in any plan."""
+    import time
+
+    rows = spark.range(100_000).select(F.lit("v").alias("video"), F.col("id").cast("int").alias("frame_index"), (F.col("id") % 1000 < 990).alias("valid"), F.sin("id").alias("a"), F.lit(0).alias("segment_start"))
+    template = alignment.nearest_template(rows, F.col("frame_index") % 777 == 5)
+    template.count()
+    start = time.perf_counter()
+    assert template.filter("template is null or abs(template - frame_index) > 389").count() == 149  # the last frames have none after them
+    assert time.perf_counter() - start < 10
+    for df in (template, timeseries.valid_segments(rows, F.col("valid")), timeseries.smooth(rows, "a")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "unboundedfollowing" not in plan.lower()
+        over_frames = [line for line in plan.splitlines() if " Window " in line and "windowspecdefinition(video" in line and "frame_index" in line.split("windowspecdefinition")[1] and "_piece" not in line]
+        assert over_frames == []
+
+
 @pytest.mark.parametrize("piece", [3, 7, 1000])
 def test_pieces_carry_over(spark, piece):
     """Lags and running totals over pieces equal those over whole series; null keys and values included."""
