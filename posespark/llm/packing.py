@@ -13,16 +13,19 @@ import re
 import struct
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, reduce
+from itertools import compress, repeat
+from operator import is_
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_partitions, utf8
+from .common import cut, shuffle_partitions
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 2048, 0
@@ -31,7 +34,7 @@ BLOCK, ISLANDS, EPOCHS, POPULATION, CHILDREN = 4096, 3, 3, 6, 12
 #: Words whose ids a task remembers, at most, in each of two generations, and the longest of them in bytes.
 REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text whose words are looked up together.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 23
 #: Bins of a part of the capacity in room at most stay closed; the others' pieces are pooled, a quarter of a block's at most.
 CLOSED, POOLED = 64, 4
 
@@ -59,23 +62,28 @@ class Encoder:
                 self.letters[ord(c)] = split(c)[0]
         self.plain = re.compile(f"^(?:([{''.join(map(chr, self.letters))}]+)([.,;:!?]*)|.*)$", re.MULTILINE)
 
-    def ids(self, texts: Sequence[bytes]) -> list[bytes]:
-        """The ids of each text; new words of all of them are learnt together."""
+    def ids(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (null: none). Words are split and told apart by Arrow; only distinct ones are looked up."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self._of(words.dictionary.cast(pa.binary()).to_pylist()), pa.large_binary()).take(words.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, "<i8", len(ids) + 1, 8 * ids.offset)[split.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        flat = memoryview(data) if data else b""
+        return (bytes(flat[a:b]) for a, b in zip(ends, ends[1:]))
+
+    def _of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self.recent) > REMEMBERED:
             self.older, self.recent = self.recent, {}
-        words = [t.split() for t in texts]
-        new = set().union(*words).difference(self.recent)
-        if new:
-            self._learn(new)
-        found = [b"".join(map(self.recent.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > LONGEST:
-                del self.recent[w]
-        return found
-
-    def _learn(self, new: set[bytes]) -> None:
-        fresh = list(new.difference(self.older))
-        self.recent |= {w: self.older[w] for w in new.difference(fresh)}
+        found = list(map(self.recent.get, words))
+        learnt = self._learn(list(compress(words, map(is_, found, repeat(None)))))
+        self.recent |= {w: ids for w, ids in learnt.items() if len(w) <= LONGEST}
+        return [learnt[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        learnt = {w: ids for w in new if (ids := self.older.get(w)) is not None}
+        fresh = [w for w in new if w not in learnt]
         lines = b"\n".join(fresh).decode()
         parts = self.plain.findall(lines) if fresh else []
         stems = "\n".join([p[0] for p in parts]).translate(self.letters).split("\n")
@@ -84,10 +92,10 @@ class Encoder:
         rest = []
         for w, stem, (_, mark) in zip(fresh, stems, parts):
             if stem:
-                self.recent[w] = pack_ids([t.id for t in self.merges.tokenize(stem)]) + behind[mark]
+                learnt[w] = pack_ids([t.id for t in self.merges.tokenize(stem)]) + behind[mark]
             else:
                 rest.append(w)
-        self.recent |= dict(zip(rest, self._whole([w.decode() for w in rest])))
+        return learnt | dict(zip(rest, self._whole([w.decode() for w in rest])))
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [pack_ids(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
@@ -258,20 +266,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     key = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", key), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
-    def encoded(texts: list[bytes | None]) -> Iterator[bytes]:
-        encoder, end, held, size = encoder_of(tokenizer), pack_ids([END]), [], 0
-        for text in texts:
-            held.append(text or b"")
-            size += len(held[-1])
-            if size > TOGETHER:
-                yield from (ids + end for ids in encoder.ids(held))
-                held, size = [], 0
-        yield from (ids + end for ids in encoder.ids(held))
+    def encoded(texts: pa.Array) -> Iterator[bytes]:
+        encoder, end, sizes = encoder_of(tokenizer), pack_ids([END]), pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        at, size = 0, 0
+        for k, n in enumerate(sizes):
+            size += n
+            if size > TOGETHER or k + 1 == len(sizes):
+                yield from (ids + end for ids in encoder.ids(texts.slice(at, k + 1 - at)))
+                at, size = k + 1, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, numbers, starts, lengths, sums = [], [], [], [], []
-            for k, ids in enumerate(encoded(utf8(batch.column("text")))):
+            for k, ids in enumerate(encoded(batch.column("text"))):
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     rows.append(k), numbers.append(piece), starts.append(start), lengths.append(min(capacity, n - start))
