@@ -123,3 +123,12 @@ FULL: dict[str, tuple[int, int, str]] = {
     "LGPL-3.0": (1231, 0xF251E9B2984EFED8, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
     "MPL-2.0": (2426, 0xA11350D9440C00F8, "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
 }
+
+#: The first words of the texts of FULL.
+FIRST_WORDS = {
+    "Apache-2.0": "apache license version 2 0",
+    "GPL-2.0": "gnu general public license version",
+    "GPL-3.0": "gnu general public license version",
+    "LGPL-3.0": "gnu lesser general public license",
+    "MPL-2.0": "mozilla public license version 2",
+}

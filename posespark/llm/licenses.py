@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import utf8
-from .license_texts import FULL, KNOWN, NOTICES
+from .license_texts import FIRST_WORDS, FULL, KNOWN, NOTICES
 
 #: Spellings that count as equal, as words of canonical text.
 SPELLINGS: Mapping[str, str] = {
@@ -81,9 +81,9 @@ def digest(text: bytes | None) -> str | None:
     return hashlib.sha256(plain).hexdigest() if plain else None
 
 
-def known_digests(spark: SparkSession, texts: Mapping[str, str] = KNOWN) -> DataFrame:
-    """license_digest and license_id of known licence texts (any table of these columns serves)."""
-    rows = {digest(text.encode()): name for name, text in reversed(list(texts.items()))}
+def known_digests(spark: SparkSession, texts: Mapping[str, str] = KNOWN, full: Mapping[str, tuple[int, int, str]] = FULL) -> DataFrame:
+    """license_digest and license_id of known licence texts, the long ones by their stated digests (any table of these columns serves)."""
+    rows = {d: name for name, (_, _, d) in full.items()} | {digest(text.encode()): name for name, text in reversed(list(texts.items()))}
     return spark.createDataFrame([(d, n) for d, n in rows.items() if d], "license_digest string, license_id string")
 
 
@@ -133,18 +133,34 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _run_hashes(words: list[bytes], lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each length the hashes of all runs of so many words."""
-    n = len(words)
-    power, back = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
-    if n:
-        power[0] = back[0] = 1
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n) * np.cumprod(power), out=sums[1:])
-    back = np.cumprod(back)
-    for m in lengths:
-        if m <= n:
-            yield m, (sums[m:] - sums[: n - m + 1]) * back[: n - m + 1]
+#: Words of the runs that are looked up: no known licence is shorter.
+SHORTEST = 5
+
+
+class _Runs:
+    """Hashes of all runs of some words, from sums of their hashes by powers of the base."""
+
+    def __init__(self, words: list[bytes]):
+        n = len(words)
+        power, back = np.full(n, _BASE, dtype=np.uint64), np.full(n, _INVERSE, dtype=np.uint64)
+        if n:
+            power[0] = back[0] = 1
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n) * np.cumprod(power), out=self.sums[1:])
+        self.back = np.cumprod(back)
+
+    def of(self, m: int) -> np.ndarray:
+        """The hash of each run of m words; none where there are fewer."""
+        n = len(self.back)
+        return (self.sums[m:] - self.sums[: n - m + 1]) * self.back[: n - m + 1] if m <= n else np.empty(0, np.uint64)
+
+    def at(self, a: int, m: int) -> int | None:
+        """The hash of the m words from a on; none where there are fewer."""
+        return (int(self.sums[a + m]) - int(self.sums[a])) * int(self.back[a]) % (1 << 64) if a + m < len(self.sums) else None
+
+
+def _run_hash(words: list[bytes]) -> int:
+    return int(_Runs(words).of(len(words))[0])
 
 
 def known_runs(texts: Mapping[str, str] = KNOWN | NOTICES, full: Mapping[str, tuple[int, int, str]] = FULL) -> dict[str, tuple[int, int, str]]:
@@ -153,25 +169,49 @@ def known_runs(texts: Mapping[str, str] = KNOWN | NOTICES, full: Mapping[str, tu
     for name, text in texts.items():
         plain = canonical(text.encode())
         words = plain.split(b" ")
-        out[name] = (len(words), int(next(_run_hashes(words, [len(words)]))[1][0]), hashlib.sha256(plain).hexdigest())
+        out[name] = (len(words), _run_hash(words), hashlib.sha256(plain).hexdigest())
     return out | dict(full)
 
 
+def first_runs() -> dict[str, int]:
+    """The hash of the first SHORTEST words of the licences of this library, by digest."""
+    texts = {digest(t.encode()): canonical(t.encode()) for t in (KNOWN | NOTICES).values()} | {FULL[n][2]: w.encode() for n, w in FIRST_WORDS.items()}
+    return {d: _run_hash(plain.split(b" ")[:SHORTEST]) for d, plain in texts.items() if plain.count(b" ") + 1 >= SHORTEST}
+
+
 class _Search:
-    """Known licences in a list of canonical words: (digest, start, end), those inside a longer one left out."""
+    """Known licences in a list of canonical words: (digest, start, end), those inside a longer one left out.
+
+    Runs of SHORTEST words are looked up once; where a licence's first ones stand, the run of its own length is compared. A
+    licence whose first words are not known is looked up by all runs of its length.
+    """
 
     def __init__(self, known: Mapping[str, tuple[int, int, str]]):
-        self.lengths = sorted({m for m, _, _ in known.values()}, reverse=True)
-        self.hashes = {m: np.array(sorted({h for k, h, _ in known.values() if k == m}), dtype=np.uint64) for m in self.lengths}
+        firsts = first_runs()
+        self.by_first: dict[int, list[tuple[int, int]]] = {}
+        self.by_length: dict[int, set[int]] = {}
+        for m, h, d in known.values():
+            if d in firsts:
+                self.by_first.setdefault(firsts[d], []).append((m, h))
+            else:
+                self.by_length.setdefault(m, set()).add(h)
+        self.firsts = np.array(sorted(self.by_first), dtype=np.uint64)
         self.digests = {d for _, _, d in known.values()}
 
     def __call__(self, words: list[bytes]) -> list[tuple[str, int, int]]:
+        runs, places = _Runs(words), []
+        short = runs.of(SHORTEST)
+        if len(self.firsts) and len(short):
+            near = self.firsts[np.minimum(np.searchsorted(self.firsts, short), len(self.firsts) - 1)]
+            for a in np.flatnonzero(near == short).tolist():
+                places += [(m, a) for m, h in self.by_first[int(short[a])] if runs.at(a, m) == h]
+        for m, wanted in self.by_length.items():
+            places += [(m, a) for h in wanted for a in np.flatnonzero(runs.of(m) == np.uint64(h)).tolist()]
         found: list[tuple[str, int, int]] = []
-        for m, at in _run_hashes(words, self.lengths):
-            for a in np.flatnonzero(np.isin(at, self.hashes[m])).tolist():
-                d = hashlib.sha256(b" ".join(words[a : a + m])).hexdigest()
-                if d in self.digests and not any(b <= a and a + m <= e for _, b, e in found):
-                    found.append((d, a, a + m))
+        for m, a in sorted(set(places), key=lambda p: (-p[0], p[1])):
+            d = hashlib.sha256(b" ".join(words[a : a + m])).hexdigest()
+            if d in self.digests and not any(b <= a and a + m <= e for _, b, e in found):
+                found.append((d, a, a + m))
         return found
 
 
@@ -214,7 +254,8 @@ def _oracle() -> str:
     about = " OR ".join(f"regexp_matches(p, '^{r}')" for r in (own + "( [^ ]+)? (c|©|year)( |$)", own + "( .*)? [0-9]{4}( |$)", "c [0-9]{4}( |$)", "all rights reserved$"))
     short = f"regexp_matches(p, '^{own}( [^ ]+){{1,{_LINE - 1}}}$') AND NOT regexp_matches(p, '^{own} ({'|'.join(_SENTENCE)})( |$)')"
     spelled = "CASE w " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SPELLINGS.items() if "-" not in a) + " ELSE w END"
-    table = ", ".join(f"('{digest(t.encode())}', '{n}')" for n, t in KNOWN.items())
+    table = ", ".join([f"('{digest(t.encode())}', '{n}')" for n, t in KNOWN.items()] + [f"('{d}', '{n}')" for n, (_, _, d) in FULL.items()])
+    whole = ", ".join(f"'{d}'" for _, _, d in FULL.values())
     # licences inside, the longest first: what is found is taken out of the text
     texts = sorted(((canonical(t.encode()).decode(), n.partition(":")[0]) for n, t in (KNOWN | NOTICES).items()), key=lambda x: -x[0].count(" "))
     steps, hits = "i0 AS (SELECT doc_id, ' ' || replace(text, ' ', '  ') || ' ' AS x FROM d)", []
@@ -232,10 +273,10 @@ known(license_digest, license_id) AS (VALUES {table}),
 {steps},
 found AS (SELECT doc_id, {inside} AS inside FROM i{len(texts)})
 SELECT documents.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, ' ')) END AS n_canonical_words,
-  CASE WHEN d.text IS NOT NULL THEN sha256(d.text) END AS digest, license_id, coalesce(found.inside, '') AS inside
+  CASE WHEN d.text IS NOT NULL THEN sha256(d.text) END AS digest, license_id, CASE WHEN sha256(d.text) IN ({whole}) THEN license_id ELSE coalesce(found.inside, '') END AS inside
 FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN found USING (doc_id) LEFT JOIN known ON sha256(d.text) = license_digest
 """
 
 
-#: The long licences of FULL, of which only digests are stated, are beyond it.
+#: Whole texts of FULL are found by their digests; inside other text they are beyond it.
 ORACLE_SQL = _oracle()
