@@ -41,13 +41,11 @@ def otsu(values: np.ndarray) -> int:
     return int(np.nanargmax(np.where(np.isfinite(between), between, -1)))
 
 
-def threshold(image: np.ndarray, blur_size: int = 5, level: int | None = None, lighter: bool = False) -> np.ndarray:
-    """Foreground mask at a constant level, or by Otsu over the pixels that are not zero."""
+def otsu_level(image: np.ndarray, blur_size: int = 5) -> int:
+    """Otsu's level of the blurred image over pixels that are not zero, blurred or not; 0 where none is left."""
     smooth = np.clip(np.rint(blur(image, blur_size)), 0, 255).astype(np.uint8)
-    if level is None:
-        inside = smooth[image > 0]
-        level = otsu(inside) if inside.size else 0
-    return (smooth > level) if lighter else (smooth <= level)
+    inside = smooth[(image > 0) & (smooth > 0)]
+    return otsu(inside) if inside.size else 0
 
 
 def dilate(mask: np.ndarray, size: int) -> np.ndarray:
@@ -87,17 +85,19 @@ def components(mask: np.ndarray) -> np.ndarray:
 def segment_foreground(image: np.ndarray, level: int | None = None, blur_size: int = 5, closing: int = 3, dilation: int = 5, lighter: bool = False) -> tuple[np.ndarray, int]:
     """Mask of the body and the background's mean, cut to a whole number.
 
-    The body is the blob with most pixels in the central part of the image.
+    Pixels of value 0 are masked out of the frame: they are neither body nor background, and don't count for the level. The
+    dark part is what is below the level (given, or Otsu's of the blurred frame), with narrow gaps closed; a lighter body is the
+    rest. The body is the blob with most pixels in the central part of the image, the first one where none reaches it.
     """
-    mask = close(threshold(image, blur_size, level, lighter), closing)
-    outside = image[~mask & (image > 0)] if (~mask & (image > 0)).any() else image[~mask]
-    background = int(outside.mean()) if outside.size else 0
+    seen = image > 0
+    dark = close(seen & (image < (otsu_level(image, blur_size) if level is None else level)), closing)
+    mask, outside = (seen & ~dark, dark) if lighter else (dark, seen & ~dark)
+    background = int(image[outside].mean()) if outside.any() else 0
     labels = components(mask)
     margin = int(CENTRAL_MARGIN * max(image.shape))
-    inner = labels[margin : image.shape[0] - margin or None, margin : image.shape[1] - margin or None]
+    inner = labels[margin : max(margin, image.shape[0] - margin), margin : max(margin, image.shape[1] - margin)]
     counts = np.bincount(inner.ravel(), minlength=labels.max() + 1)
-    counts[0] = 0
-    body = labels == int(np.argmax(counts)) if counts.any() else np.zeros_like(mask)
+    body = labels == 1 + int(np.argmax(counts[1:])) if labels.any() else np.zeros_like(mask)
     return dilate(body, dilation), background
 
 
@@ -128,7 +128,7 @@ def crop(image: np.ndarray, box: tuple[int, int, int, int], size: int, backgroun
 
 
 def resize(image: np.ndarray, factor: float) -> np.ndarray:
-    """Area means for whole shrink factors, else bilinear."""
+    """Bilinear values at the centres of the new pixels."""
     h, w = (max(1, int(round(s * factor))) for s in image.shape)
     y = (np.arange(h) + 0.5) * image.shape[0] / h - 0.5
     x = (np.arange(w) + 0.5) * image.shape[1] / w - 0.5

@@ -59,6 +59,43 @@ def test_segmentation_finds_the_central_blob():
         images.crop(clean, box, 31, background)
 
 
+def _masked_frame():
+    """A frame of zeros with a bright window that holds a dark body of 400 pixels."""
+    image = np.zeros((100, 100), np.uint8)
+    image[20:80, 20:80] = 200
+    image[45:55, 30:70] = 50
+    return image
+
+
+def test_masked_pixels_are_no_foreground():
+    image = _masked_frame()
+    mask, background = images.segment_foreground(image)
+    assert mask.sum() == 616 and mask[50, 50] and not (mask & (image == 0)).any() and background == 200
+    ys, xs = np.nonzero(mask)
+    assert (ys.min(), ys.max(), xs.min(), xs.max()) == (43, 56, 28, 71)
+    lighter = np.where(image == 0, 0, 250 - image).astype(np.uint8)
+    mask, background = images.segment_foreground(lighter, lighter=True)
+    assert mask.sum() == 616 and background == 50
+    assert images.segment_foreground(image, level=40)[0].sum() == 0
+    assert images.segment_foreground(np.zeros((20, 30), np.uint8)) == (pytest.approx(np.zeros((20, 30))), 0)
+
+
+def test_crops_of_masked_frames(spark):
+    frame = _masked_frame()
+    df = spark.createDataFrame([("v", 0, 100, 100, bytearray(frame.tobytes()))], "video string, frame_index int, height int, width int, pixels binary")
+    row = imaging.crop_frames(df, 60).first()
+    image = np.frombuffer(row["image"], np.uint8).reshape(60, 60)
+    assert row["background"] == 200 and (image == 50).sum() == 400 and (image == 0).sum() == 0
+    ys, xs = np.nonzero(image == 50)
+    assert (ys.min() + row["offset_y"], xs.min() + row["offset_x"]) == (45, 30)
+
+
+def test_a_blob_outside_the_centre_is_taken_where_no_other_is():
+    image = np.full((40, 40), 200, np.uint8)
+    image[0:3, 0:3] = image[36:40, 30:40] = 50
+    assert images.segment_foreground(image, level=100, dilation=1)[0].sum() == 9
+
+
 def test_resize():
     assert images.resize(np.full((10, 20), 7, np.uint8), 0.5).tolist() == np.full((5, 10), 7).tolist()
 
