@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import not_a_knot, savgol_weights
+from .lineage import cut
 
 #: Post-processing defaults: largest gap to bridge, least run to trust, smoothing window and order.
 MAX_GAP, MIN_SEGMENT, SMOOTH_WINDOW, SMOOTH_ORDER = 4, 8, 8, 3
@@ -69,7 +70,7 @@ def valid_segments(rows: DataFrame, valid: Column, max_gap: int = MAX_GAP, min_s
     and only gaps above max_gap cut the series. Everything after the first pass works
     on runs, not frames.
     """
-    table = runs(rows, valid, key, order)
+    table = cut(runs(rows, valid, key, order))  # a row a run, used several times
     length = F.col("run_end") - F.col("run_start")
     table = table.select(key, "run_start", "run_end", (F.col("flag") & (length >= min_segment)).alias("big"), F.when(F.col("flag"), length).otherwise(0).alias("n_valid"))
     gaps = _merged(table, "big", key, ["n_valid"])
@@ -81,16 +82,19 @@ def valid_segments(rows: DataFrame, valid: Column, max_gap: int = MAX_GAP, min_s
 def in_segments(rows: DataFrame, segments: DataFrame, key: str = "video", order: str = "frame_index") -> DataFrame:
     """rows with the segment_start and segment_end of the segment that holds them, others left out.
 
-    The segments' starts stand among the rows as rows of their own, just before the frame, and are carried forward.
+    Each segment stands among the rows of every piece that it touches as a row of its own, before the first frame that it has
+    there, and is carried forward within the piece.
     """
-    starts = segments.select(key, F.col("segment_start").alias(order), F.struct("segment_start", "segment_end").alias("_segment"), F.lit(0).alias("_kind"))
-    both = rows.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    carried = carried_fill(both, F.col("_segment"), [key], [order, "_kind"], back="_within")
+    last = F.floor((F.col("segment_end") - 1) / PIECE)
+    marks = segments.select(key, F.struct("segment_start", "segment_end").alias("_segment"), F.explode(F.sequence(F.floor(F.col("segment_start") / PIECE), last)).alias("_piece"))
+    kind = dict(rows.dtypes)[order]
+    marks = marks.select(key, F.greatest("_segment.segment_start", F.col("_piece") * PIECE).cast(kind).alias(order), "_segment", "_piece", F.lit(0).alias("_kind"))
+    both = rows.withColumns({"_piece": F.floor(F.col(order) / PIECE), "_kind": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    along = Window.partitionBy(key, "_piece").orderBy(order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_within", F.last("_segment", ignorenulls=True).over(along))
     return carried.filter((F.col("_kind") == 1) & (F.col(order) < F.col("_within.segment_end"))).select(*rows.columns, "_within.*")
 
 
-
-
 def meet_pieces(rows: DataFrame, pieces: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """rows with the columns of their piece; null is a key."""
     named = pieces.withColumnsRenamed({k: f"_of_{k}" for k in keys})
@@ -106,22 +110,22 @@ def carried_lag(rows: DataFrame, value: str, keys: Sequence[str], order: Sequenc
     order[0] is a whole frame number. No task holds a series: the last value of each piece goes to the next
     one by a table with a row a piece.
     """
-    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece))
-    last = cut.groupBy(*keys, "_piece").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    placed = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece))
+    last = placed.groupBy(*keys, "_piece").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
     last = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_piece"))).drop("_last")
     along = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    inside = cut.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(along))
+    inside = placed.withColumn("_before", F.lag(F.struct(F.col(value).alias("v"))).over(along))
     return meet_pieces(inside, last, [*keys, "_piece"]).withColumn(out, F.coalesce("_before", "_carried")["v"]).select(*rows.columns, out)
 
 
 def carried_sum(rows: DataFrame, value: Column, keys: Sequence[str], order: Sequence[str], out: str, piece: int = PIECE) -> DataFrame:
     """Adds the running total of a value, its own row included, by windows over pieces as carried_lag() does."""
-    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
-    total = cut.groupBy(*keys, "_piece").agg(F.sum("_value").alias("_total"))
+    placed = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
+    total = placed.groupBy(*keys, "_piece").agg(F.sum("_value").alias("_total"))
     before = F.sum("_total").over(Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
     total = total.withColumn("_carried", F.coalesce(before, F.lit(0))).drop("_total")
     along = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = cut.withColumn("_inside", F.sum("_value").over(along))
+    inside = placed.withColumn("_inside", F.sum("_value").over(along))
     return meet_pieces(inside, total, [*keys, "_piece"]).withColumn(out, F.col("_carried") + F.col("_inside")).select(*rows.columns, out)
 
 
@@ -131,9 +135,9 @@ def carried_steps(rows: DataFrame, value: Column, step: Callable[[Column, Column
     One pass over pieces: each gives its first and last value and its own total, and the steps across the seams
     are taken between these.
     """
-    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
+    placed = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
     along, boxed = Window.partitionBy(*keys, "_piece").orderBy(*order), F.struct(F.col("_value").alias("v"))
-    inside = cut.withColumn("_before", F.lag(boxed).over(along))
+    inside = placed.withColumn("_before", F.lag(boxed).over(along))
     inside = inside.withColumn("_step", F.when(F.col("_before").isNotNull(), step(F.col("_before")["v"], F.col("_value")))).drop("_before")
     total = F.coalesce(F.sum("_step").over(along.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     ends = inside.groupBy(*keys, "_piece").agg(
@@ -153,18 +157,18 @@ def carried_fill(rows: DataFrame, value: Column, keys: Sequence[str], order: Seq
     Within pieces by windows that run to the row, one in each direction; the last and the first known value of each piece go on
     to the pieces after and before it, past pieces that know none.
     """
-    cut = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
+    placed = rows.withColumn("_piece", F.floor(F.col(order[0]) / piece)).withColumn("_value", value)
     known, boxed = F.when(F.col("_value").isNotNull(), F.struct(*order)), F.struct(F.col("_value").alias("v"))
-    edges = cut.groupBy(*keys, "_piece").agg(F.min_by(boxed, known).alias("_first"), F.max_by(boxed, known).alias("_last"))
+    edges = placed.groupBy(*keys, "_piece").agg(F.min_by(boxed, known).alias("_first"), F.max_by(boxed, known).alias("_last"))
     columns = {}
     for name, edge, place in ((back, "_last", lambda c: F.asc(c)), (ahead, "_first", lambda c: F.desc(c))):
         if name is not None:
             running = Window.partitionBy(*keys).orderBy(place("_piece")).rowsBetween(Window.unboundedPreceding, -1)
             edges = edges.withColumn(f"_from{edge}", F.last(F.when(F.col(edge)["v"].isNotNull(), F.col(edge)), ignorenulls=True).over(running))
             within = Window.partitionBy(*keys, "_piece").orderBy(*[place(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-            cut = cut.withColumn(f"_in{edge}", F.last("_value", ignorenulls=True).over(within))
+            placed = placed.withColumn(f"_in{edge}", F.last("_value", ignorenulls=True).over(within))
             columns[name] = F.coalesce(f"_in{edge}", F.col(f"_from{edge}")["v"])
-    return meet_pieces(cut, edges.drop("_first", "_last"), [*keys, "_piece"]).withColumns(columns).select(*rows.columns, *columns)
+    return meet_pieces(placed, edges.drop("_first", "_last"), [*keys, "_piece"]).withColumns(columns).select(*rows.columns, *columns)
 
 
 def unwrap(rows: DataFrame, angle: str, keys: Sequence[str], order: Sequence[str], out: str = "unwrapped") -> DataFrame:
@@ -189,15 +193,16 @@ def frame_major_unwrap(frames: DataFrame, theta: str = "theta", key: str = "vide
 
 def smooth(
     rows: DataFrame, value: str, window: int = SMOOTH_WINDOW, poly: int = SMOOTH_ORDER, keys: Sequence[str] = ("video", "segment_start"), order: str = "frame_index",
-    out: str = "smoothed", piece: int = PIECE,
+    out: str = "smoothed", piece: int = PIECE, bounds: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Savitzky-Golay smoothing within groups of consecutive frames; null in groups shorter than the window.
 
     Inner samples take the middle weights, the ends of a group those of the first or
     last full window's polynomial: all are sums over neighbours at fixed offsets.
     An even window counts as the next odd one. A group is smoothed in pieces: each carries the rows within a
-    window's reach of its edges from its neighbours as a halo, so the windows never see a whole group. Frames that are missing or
-    repeated in a group are an error: reach is counted in frames.
+    window's reach of its edges from its neighbours as a halo, so the windows never see a whole group. bounds names the columns of
+    each row that hold its group's first frame and the end after its last one, as in_segments() gives them. Without them they are
+    found by an aggregate, and frames that are missing or repeated in a group are an error: reach is counted in frames.
     """
     window += 1 - window % 2
     if piece < window:
@@ -208,11 +213,17 @@ def smooth(
     place = F.col(order) - own * piece
     reach = F.array_compact(F.array(own, F.when(place < window, own - 1), F.when(place >= piece - window, own + 1)))
     spread = rows.withColumn("_piece", F.explode(reach))
-    ends = rows.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("_n"))
-    broken = F.raise_error(F.lit("the frames of a group must be consecutive to be smoothed"))
-    ends = ends.withColumn("_n", F.when(F.col("_hi") - F.col("_lo") + 1 == F.col("_n"), F.col("_n")).otherwise(broken))
-    ends = ends.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_lo") / piece), F.floor(F.col("_hi") / piece))))
-    met = meet_pieces(spread, ends, group).withColumn("_at", F.col(order) - F.col("_lo"))
+    if bounds is not None:
+        first, end = map(F.col, bounds)
+        touched = (F.col("_piece") >= F.floor(first / piece)) & (F.col("_piece") <= F.floor((end - 1) / piece))
+        met = spread.withColumns({"_lo": first, "_n": end - first}).filter(touched)
+    else:
+        ends = rows.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("_n"))
+        broken = F.raise_error(F.lit("the frames of a group must be consecutive to be smoothed"))
+        ends = ends.withColumn("_n", F.when(F.col("_hi") - F.col("_lo") + 1 == F.col("_n"), F.col("_n")).otherwise(broken))
+        ends = ends.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_lo") / piece), F.floor(F.col("_hi") / piece))))
+        met = meet_pieces(spread, ends, group)
+    met = met.withColumn("_at", F.col(order) - F.col("_lo"))
     along = Window.partitionBy(*group).orderBy(order)
 
     def fitted(place: int) -> Column:

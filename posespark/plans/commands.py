@@ -122,10 +122,10 @@ def post_process(
     flat = timeseries.frame_major_unwrap(rows.filter("theta is not null"), "theta", "video", "frame_index").select("video", "frame_index", "dim", "unwrapped")
     dims = flat.groupBy("video").agg(F.max("dim").alias("most"))
     inside = timeseries.in_segments(rows.select("video", "frame_index"), segments).join(dims, "video")
-    every = inside.select("video", "frame_index", "segment_start", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("dim"))
+    every = inside.select("video", "frame_index", "segment_start", "segment_end", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("dim"))
     keys = ["video", "segment_start", "dim"]
     filled = timeseries.spline_fill(every.join(flat, ["video", "frame_index", "dim"], "left"), "unwrapped", keys)
-    smoothed = timeseries.smooth(filled, "filled", window, order, keys)
+    smoothed = timeseries.smooth(filled, "filled", window, order, keys, bounds=("segment_start", "segment_end"))
     gathered = smoothed.groupBy("video", "frame_index").agg(F.sort_array(F.collect_list(F.struct("dim", "filled", "smoothed"))).alias("s"))
     whole = lambda name: F.when(~F.exists("s", lambda x: x[name].isNull()), F.transform("s", lambda x: x[name]))
     out = rows.join(gathered, ["video", "frame_index"], "left").select("video", F.col("frame_index").alias("t"), F.col("theta").alias("raw"), whole("filled").alias("interp"), whole("smoothed").alias("smooth"))

@@ -279,7 +279,7 @@ SELECT video, frame_index, round(v, 6) + 0.0 AS smoothed FROM s WHERE n >= 9"""
 def savgol_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series(spark, sf_dir)
     runs = timeseries.valid_runs(rows, F.col("valid")).select("video", F.col("run_start").alias("segment_start"), F.col("run_end").alias("segment_end"))
-    smoothed = timeseries.smooth(timeseries.in_segments(rows, runs), "angle").filter("smoothed is not null")
+    smoothed = timeseries.smooth(timeseries.in_segments(rows, runs), "angle", bounds=("segment_start", "segment_end")).filter("smoothed is not null")
     return smoothed.select("video", "frame_index", r6(F.col("smoothed")).alias("smoothed"))
 
 

@@ -165,6 +165,10 @@ def test_smoothing_in_pieces(spark, piece):
             first = min(max(i - 4, 0), n - 9)
             fit = np.polynomial.Polynomial.fit(np.arange(9), [value[a + first + j] for j in range(9)], 3)
             assert got[a + i] == pytest.approx(fit(i - first))
+    last = {a: a + n for a, n in ((3, 40), (60, 9), (80, 8), (100, 1), (110, 27))}
+    bounded = spark.createDataFrame([(*r, last[r[1]]) for r in rows], "video string, segment_start int, frame_index int, a double, segment_end int").repartition(3)
+    again = {r["frame_index"]: r["smoothed"] for r in timeseries.smooth(bounded, "a", piece=piece, bounds=("segment_start", "segment_end")).collect()}
+    assert again == got
     with pytest.raises(Exception, match="consecutive"):
         timeseries.smooth(df.filter("frame_index <> 20"), "a", piece=piece).collect()
     with pytest.raises(ValueError, match="longer"):
