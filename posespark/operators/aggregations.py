@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import nan_mean
 from ..functions.angles import crop_size
+from .lineage import cut
+from .timeseries import meet_pieces
 
 
 def video_means(rows: DataFrame, columns: Sequence[str], key: str = "video") -> DataFrame:
@@ -44,11 +46,29 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, n_bins: int)
 def percentile_cut(rows: DataFrame, value: str, percent: float, key: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Per group the percentile (linear interpolation); no value of the cut is taken from a sample.
 
-    The exact percentile keeps a group's distinct values in one task. With an accuracy it is a value of the group whose rank
-    is off by one in so many of its rows at most, in memory that does not grow with the group.
+    Exact: distinct values are counted before they move and sorted over range partitions; counts of each partition tell
+    which one or two hold the ranks that are wanted, and only these are numbered. No task holds a group. With an accuracy it is a value of the
+    group whose rank is off by one in so many of its rows at most, in one pass. Nulls don't count; a group of nulls has no row in the exact form.
     """
-    cut = F.percentile(value, percent / 100) if accuracy is None else F.percentile_approx(value, percent / 100, accuracy)
-    return rows.groupBy(*key).agg(cut.alias("cut"))
+    if accuracy is not None:
+        return rows.groupBy(*key).agg(F.percentile_approx(value, percent / 100, accuracy).alias("cut"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    ordered = counts.repartitionByRange(*key, "_value").sortWithinPartitions(*key, "_value")
+    ordered = cut(ordered.withColumn("_part", F.spark_partition_id()))
+    whole = Window.partitionBy(*key)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy(*key, "_part").agg(F.sum("_n").alias("_here"))
+    parts = parts.select(*key, "_part", "_here", F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"), F.sum("_here").over(whole).alias("_all"))
+    place = (F.col("_all") - 1) * (percent / 100)
+    parts = parts.withColumns({"_low": F.floor(place), "_high": F.ceil(place), "_share": place - F.floor(place)})
+    holds = lambda rank, first, n: (F.col(rank) >= first) & (F.col(rank) < first + n)
+    parts = parts.filter(holds("_low", F.col("_before"), F.col("_here")) | holds("_high", F.col("_before"), F.col("_here")))
+    near = meet_pieces(ordered, parts, [*key, "_part"])
+    inside = Window.partitionBy(*key, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    pick = lambda rank: F.max(F.when(holds(rank, F.col("_first"), F.col("_n")), F.col("_value")))
+    found = near.groupBy(*key).agg(pick("_low").alias("_a"), pick("_high").alias("_b"), F.max("_share").alias("_s"))
+    return found.select(*key, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_s")).alias("cut"))
 
 
 def curvature_order(means: DataFrame, vector: str = "mean", name: str = "component") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from math import pi
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..functions import angles as A
 from ..functions.aggregates import nan_mean
 from ..functions.arrow import resample_skeleton
 from ..functions.kernels import savgol_weights
-from ..operators import aggregations, alignment, headtail, models, sampling, timeseries
+from ..operators import aggregations, alignment, blobs, headtail, models, sampling, timeseries
 from ..sources.toy import toy_features
 from . import commands
 from .views import FRAME_RATE, SERIES, WIDTHS, cosine_basis, losses, poses, poses_sql, series, table, widths
@@ -660,9 +661,88 @@ def background_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregations.background_and_roi(_pixels(spark, sf_dir), F.col("value") > 200).drop("frame_index")
 
 
+_OTSU = f"""{_PIXELS}, bins AS (SELECT video, value, count(*) AS n FROM pixels WHERE value > 0 GROUP BY ALL),
+sums AS (SELECT video, value, sum(n) OVER w AS below, sum(n * value) OVER w AS mass, sum(n) OVER (PARTITION BY video) AS all_n, sum(n * value) OVER (PARTITION BY video) AS all_mass FROM bins WINDOW w AS (PARTITION BY video ORDER BY value)),
+between_classes AS (SELECT video, value, CASE WHEN below < all_n THEN pow(all_mass::DOUBLE * below - mass::DOUBLE * all_n, 2) / (below::DOUBLE * (all_n - below)) ELSE -1 END AS v FROM sums),
+levels AS (SELECT video, CASE WHEN v < 0 THEN 0 ELSE value END AS level FROM between_classes QUALIFY row_number() OVER (PARTITION BY video ORDER BY v DESC, value) = 1)"""
+
+
+@query(f"WITH {_OTSU} SELECT video, level FROM levels")
+def otsu_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blobs.otsu_levels(_pixels(spark, sf_dir)).select("video", "level")
+
+
+@query(f"""WITH RECURSIVE {_PIXELS}, dark AS (SELECT video, y, x FROM pixels WHERE value > 0 AND value < 70),
+islands AS (SELECT *, x - row_number() OVER (PARTITION BY video, y ORDER BY x) AS island FROM dark),
+runs AS (SELECT video, y, min(x) AS x0, max(x) AS x1, y * 65536 + min(x) AS id FROM islands GROUP BY video, y, island),
+links AS (SELECT a.video, a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.video = b.video AND abs(a.y - b.y) = 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1),
+reach AS (SELECT video, id, id AS blob FROM runs UNION SELECT l.video, l.b, r.blob FROM reach r JOIN links l ON l.video = r.video AND l.a = r.id WHERE r.blob < l.b),
+named AS (SELECT video, id, min(blob) AS blob FROM reach GROUP BY video, id),
+found AS (SELECT video, blob, CAST(sum(x1 - x0 + 1) AS BIGINT) AS n_pixels, CAST(sum(CASE WHEN y BETWEEN 7 AND 24 THEN greatest(0, least(x1, 42) - greatest(x0, 7) + 1) ELSE 0 END) AS BIGINT) AS n_central,
+  min(y) AS y0, max(y) AS y1, min(x0) AS x0, max(x1) AS x1 FROM runs JOIN named USING (video, id) GROUP BY video, blob)
+SELECT video, CAST(blob AS INTEGER) AS blob, n_pixels, n_central, y0, y1, x0, x1 FROM found QUALIFY row_number() OVER (PARTITION BY video ORDER BY n_central DESC, blob) = 1""")
+def central_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = _pixels(spark, sf_dir)
+    levels = pixels.select("video", "frame_index").distinct().withColumn("level", F.lit(70))
+    sizes = pixels.select("video", "frame_index", "height", "width").distinct()
+    return blobs.central_blob(blobs.dark_pixels(pixels, levels), sizes).drop("frame_index")
+
+
+_SIDE = "CAST(trunc({c}x + {s} * ey / len * {h}) AS INTEGER) AS {n}_x, CAST(trunc({c}y - {s} * ex / len * {h}) AS INTEGER) AS {n}_y"
+
+
+def _outline_sql() -> str:
+    half = "(2.0::DOUBLE + 3 * sin({i} * 0.05::DOUBLE))"
+    sides = ", ".join(_SIDE.format(c=c, s=s, h=half.format(i=i), n=n) for c, s, i, n in (("", 1, "i", "a"), ("", -1, "i", "b"), ("p0", 1, 1, "f"), ("p0", -1, 1, "g")))
+    edges = " UNION ALL ".join(f"SELECT video, t, i, {a}_x AS px, {a}_y AS py, {b}_x AS qx, {b}_y AS qy, lo, hi FROM quads" for a, b in (("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")))
+    return f"""WITH {poses_sql()}, {_points('theta', 'video, t', 'poses')},
+moved AS (SELECT video, t, i, round(x, 6) + 40 AS x, round(y, 6) + 40 AS y FROM points),
+near AS (SELECT *, lag(x, 2) OVER w AS p0x, lag(y, 2) OVER w AS p0y, max(i) OVER (PARTITION BY video, t) AS last FROM moved WINDOW w AS (PARTITION BY video, t ORDER BY i)),
+lines AS (SELECT *, x - p0x AS ex, y - p0y AS ey, nullif(sqrt((x - p0x) * (x - p0x) + (y - p0y) * (y - p0y)), 0) AS len FROM near),
+sides AS (SELECT video, t, i, {sides} FROM lines WHERE i >= 2),
+joined AS (SELECT video, t, i, a_x, a_y, b_x, b_y, CASE WHEN i = 2 THEN g_x ELSE lag(b_x) OVER w END AS c_x, CASE WHEN i = 2 THEN g_y ELSE lag(b_y) OVER w END AS c_y,
+  CASE WHEN i = 2 THEN f_x ELSE lag(a_x) OVER w END AS d_x, CASE WHEN i = 2 THEN f_y ELSE lag(a_y) OVER w END AS d_y FROM sides WINDOW w AS (PARTITION BY video, t ORDER BY i)),
+quads AS (SELECT *, least(a_y, b_y, c_y, d_y) AS lo, greatest(a_y, b_y, c_y, d_y) AS hi FROM joined WHERE a_x + b_x + c_x + d_x IS NOT NULL),
+edges AS ({edges}),
+crossings AS (SELECT video, t, i, y, CASE WHEN py = qy THEN px ELSE px + (qx - px) * (y - py)::DOUBLE / (qy - py) END AS x, CASE WHEN py = qy THEN qx END AS x2
+  FROM (SELECT *, unnest(range(lo, hi + 1)) AS y FROM edges) WHERE y BETWEEN least(py, qy) AND greatest(py, qy)),
+spans AS (SELECT video, t, y, floor(least(min(x), coalesce(min(x2), min(x))) + 0.5) AS x0, floor(greatest(max(x), coalesce(max(x2), max(x))) + 0.5) AS x1 FROM crossings GROUP BY video, t, i, y),
+discs AS (SELECT video, t, CAST(trunc(x) AS INTEGER) AS x, CAST(trunc(y) AS INTEGER) AS y, CAST(trunc({half.format(i='i')}) AS INTEGER) AS r FROM lines WHERE i = 0 OR i = last),
+pixels AS (SELECT video, t, y, unnest(range(CAST(x0 AS INTEGER), CAST(x1 AS INTEGER) + 1)) AS x FROM spans
+  UNION SELECT video, t, y + a, x + b FROM discs, range(-9, 10) AS r(a), range(-9, 10) AS s(b) WHERE a * a + b * b <= r * r)
+SELECT video, t, count(*) AS n_pixels FROM pixels GROUP BY video, t"""
+
+
+@query(_outline_sql())
+def outline_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of the outline of each pose's body, drawn as scan-lines of quads and end discs."""
+    moved = F.transform("skeleton", lambda p: F.struct((F.round(p["x"], 6) + 40).alias("x"), (F.round(p["y"], 6) + 40).alias("y")))
+    rows = _skeletons(spark, sf_dir).select("video", "t", moved.alias("skeleton"))
+    half = F.transform("skeleton", lambda p, i: 2.0 + 3 * F.sin(i * 0.05))
+    return blobs.span_area(blobs.outline_spans(rows, "skeleton", half, ["video", "t"]), ["video", "t"])
+
+
 # --- attributes, columns and sources
 
 
+@query("""SELECT count(*) AS n, CAST(len(embedding) AS INTEGER) AS dims, label, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 4) + 0.0 AS total,
+round(sum(embedding[1]::DOUBLE + vec_id % 100), 4) AS flipped FROM embeddings GROUP BY label, len(embedding)""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled samples written as record files and read again; the image holds the label's number."""
+    from ..operators.lineage import cut, remove, shared_dir
+    from ..sources.records import read_records, write_records
+
+    path = f"{shared_dir(spark)}/records-{uuid4().hex}"
+    rows = table(spark, sf_dir, "embeddings")
+    other = F.transform("embedding", lambda x: (x + (F.col("vec_id") % 100)).cast("float"))
+    write_records(rows.select(F.col("label").cast("string").cast("binary").alias("image"), F.col("embedding").alias("label0"), other.alias("label1")), path)
+    total = F.aggregate("label0", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    back = read_records(spark, path).groupBy(F.col("data").cast("string").cast("int").alias("label"), F.size("label0").alias("dims"))
+    found = cut(back.agg(F.count("*").alias("n"), (F.round(F.sum(total), 4) + 0.0).alias("total"), F.round(F.sum(F.get("label1", F.lit(0)).cast("double")), 4).alias("flipped")))
+    remove(spark, path)
+    return found
+
+
 @query("""WITH j AS (SELECT event_id, TRY_CAST(props ->> '$.k' AS DOUBLE) AS k, props ->> '$.fps' AS fps, value FROM events)
 SELECT event_id, coalesce(TRY_CAST(fps AS DOUBLE), k, 1.0) AS frame_rate, 'unknown' AS ventral_side FROM j""")
 def json_attribute_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -712,14 +792,16 @@ def trajectory_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {poses_sql()} SELECT stage, video, CAST(t AS INTEGER) AS t, round(score, 6) AS score FROM (SELECT 'resolved' AS stage, video, t, score FROM poses UNION ALL SELECT 'original', video, t, score FROM poses WHERE t % 3 = 0)""")
 def results_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written by stage and video, the one stage twice and one that is not asked for, and read again."""
-    from ..operators.lineage import shared_dir
+    from ..operators.lineage import cut, remove, shared_dir
     from ..sources.exporters import read_results, write_results
 
-    path = f"{shared_dir(spark)}/results-{spark.sparkContext.applicationId}"
+    path = f"{shared_dir(spark)}/results-{uuid4().hex}"
     rows = poses(spark, sf_dir).select("video", "t", "score")
     for stages in ({"resolved": rows.filter("t < 5"), "unaligned": rows}, {"resolved": rows, "original": rows.filter("t % 3 = 0")}):
         write_results(stages, path)
-    return read_results(spark, path).select("stage", "video", "t", r6(F.col("score")).alias("score"))
+    found = cut(read_results(spark, path).select("stage", "video", "t", r6(F.col("score")).alias("score")))
+    remove(spark, path)
+    return found
 
 
 @query(f"""WITH {poses_sql()} SELECT video, CAST(t AS INTEGER) AS t, 't' || lpad(CAST(t AS VARCHAR), 6, '0') || '_f' || lpad(CAST(vec_id AS VARCHAR), 6, '0') || '_s' || CASE WHEN vec_id % 7 = 0 THEN 'nan' ELSE printf('%.4f', score) END || '.pgm' AS name FROM poses""")

@@ -41,9 +41,9 @@ def trajectory_json(rows: DataFrame, frame_rate: float, ident: str = "1", chunk:
 
 
 def write_results(results: Mapping[str, DataFrame], path: str) -> None:
-    """Each stage of results under its own partition of one table, by video; a rerun replaces the partitions that it writes."""
+    """Each stage of results under its own partition of one table, by video; a rerun replaces a stage whole, videos that it no longer has included."""
     for stage, rows in results.items():
-        rows.withColumn("stage", F.lit(stage)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "video").parquet(path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("video").parquet(f"{path}/stage={stage}")
 
 
 def read_results(spark, path: str, stages: tuple[str, ...] = ("resolved", "original")) -> DataFrame:

@@ -140,3 +140,53 @@ def test_archives(spark, tmp_path):
         archive = zipfile.ZipFile(io.BytesIO(bytes(r["archive"])))
         found[(r["video"], r["part"])] = {n: archive.read(n) for n in archive.namelist()}
     assert found == {("v", 0): {f"f{k}.pgm": bytes([k]) for k in range(3)}, ("v", 1): {f"f{k}.pgm": bytes([k]) for k in (3, 4)}, ("w", 0): {"f0.pgm": b"x"}}
+
+
+def test_a_rerun_replaces_a_stage_whole(spark, tmp_path):
+    from posespark.sources.exporters import read_results, write_results
+
+    rows = spark.createDataFrame([("a", 0), ("b", 0)], "video string, t int")
+    write_results({"resolved": rows, "original": rows}, f"{tmp_path}/r")
+    write_results({"resolved": rows.filter("video = 'a'")}, f"{tmp_path}/r")
+    got = sorted((r["stage"], r["video"]) for r in read_results(spark, f"{tmp_path}/r").collect())
+    assert got == [("original", "a"), ("original", "b"), ("resolved", "a")]
+
+
+def test_record_files(spark, tmp_path):
+    import gzip
+    import struct
+    from pathlib import Path
+
+    from posespark.sources import records
+
+    # published check value of CRC-32C, and of its masked form for the eight bytes of a length
+    assert records.crc32c(b"123456789") == 0xE3069283 and records.crc32c(bytes(32)) == 0x8A9136AA
+    rows = [(i, bytearray([i % 256] * i), [float(i), -0.5], [0.25 * i]) for i in range(300)]
+    samples = spark.createDataFrame(rows, "id int, image binary, label0 array<double>, label1 array<double>").repartition(4)
+    for _ in range(2):  # the second run replaces the first
+        records.write_records(samples, f"{tmp_path}/r")
+    files = list(Path(f"{tmp_path}/r").glob("*"))
+    assert len(files) == 4 and all(f.suffix == ".tfrecord" for f in files)
+    got = sorted((bytes(r["data"]), r["label0"], r["label1"]) for r in records.read_records(spark, f"{tmp_path}/r").collect())
+    assert got == sorted((bytes(d), a, b) for _, d, a, b in rows)
+    plain = gzip.decompress(files[0].read_bytes())
+    broken = bytearray(plain)
+    broken[20] ^= 1
+    for stream in (bytes(broken), plain[:-3]):
+        try:
+            list(records.unframed(stream))
+        except ValueError:
+            continue
+        raise AssertionError("a damaged file was read")
+    # floats that are not packed are read as well
+    loose = records._field(1, records._field(1, records._field(1, b"label0") + records._field(2, records._field(2, b"\x0d" + struct.pack("<f", 1.5) + b"\x0d" + struct.pack("<f", 2.0)))))
+    assert records.decode(loose)["label0"].tolist() == [1.5, 2.0]
+
+
+def test_record_files_need_a_shared_folder(spark):
+    import pytest
+
+    from posespark.sources.records import write_records
+
+    with pytest.raises(ValueError, match="shared"):
+        write_records(spark.createDataFrame([], "image binary, label0 array<float>, label1 array<float>"), "s3a://somewhere/x")

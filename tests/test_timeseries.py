@@ -207,6 +207,18 @@ def test_pieces_carry_over(spark, piece):
         assert [r["total"] for r in mine] == pytest.approx(np.cumsum([v or 0.0 for v in values]).tolist())
 
 
+def test_exact_percentile_by_ranks(spark):
+    from posespark.operators.aggregations import percentile_cut
+
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=999).tolist(), "b": [1.0] * 500 + [2.0], "c": [3.0], None: [5.0, 7.0], "d": rng.integers(0, 4, 1000).astype(float).tolist()}
+    rows = [(k, v) for k, values in groups.items() for v in values] + [("a", None), ("e", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    for percent in (0, 37.5, 97.5, 100):
+        got = {r["k"]: r["cut"] for r in percentile_cut(df, "v", percent, ["k"]).collect()}
+        assert got == {k: pytest.approx(np.percentile(values, percent)) for k, values in groups.items()}
+
+
 def test_percentile_of_bounded_memory(spark):
     from posespark.operators.aggregations import percentile_cut
 
