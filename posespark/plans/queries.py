@@ -847,6 +847,27 @@ def criterion_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.criterion_spread(rows).select("k", "n", F.round("mean_aic", 3).alias("mean_aic"), F.round("deviation", 3).alias("deviation"))
 
 
+_RIDGE = repr(models.RIDGE)
+
+
+@query(f"""WITH p AS (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings),
+s AS (SELECT count(*) AS n, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS c FROM p), r AS (SELECT n, va, vb, c, va + {_RIDGE} AS ra, vb + {_RIDGE} AS rb FROM s)
+SELECT CAST(1 AS INTEGER) AS k, round(10 + n * (2 * ln(2 * {PI}) + ln(ra * rb - c * c) + (rb * va - 2 * c * c + ra * vb) / (ra * rb - c * c)), 3) AS aic FROM r""")
+def gaussian_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The criterion of a mixture of one component, which has a closed form."""
+    points = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 2).alias("v"))
+    rows = models.information_criterion(points, "v", [1])
+    return spark.createDataFrame([(k, round(aic, 3)) for k, _, aic in rows], "k int, aic double")
+
+
+@query()
+def mixture_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Criteria of mixtures of several sizes and seeds over the modes of all poses, fitted in the same passes."""
+    modes = poses(spark, sf_dir).select(F.slice(A.project(F.col("theta"), _basis()), 1, 3).alias("v"))
+    found = models.sweep_mixtures(modes, "v", (1, 2, 4), (0, 1), max_iter=20)
+    return spark.createDataFrame([(k, seed, m.steps, float(m.likelihood), float(m.criterion())) for (k, seed), m in found.items()], "k int, seed int, steps int, likelihood double, aic double")
+
+
 @query("""WITH m AS (SELECT CAST(o_orderkey AS VARCHAR) AS name, o_custkey AS epoch, o_totalprice AS val_loss FROM orders WHERE o_orderpriority = '1-URGENT'),
 b AS (SELECT name FROM m ORDER BY val_loss, name DESC LIMIT 5), l AS (SELECT name FROM m ORDER BY epoch DESC, name DESC LIMIT 1)
 SELECT name, epoch, round(val_loss, 6) AS val_loss, name IN (SELECT name FROM b) AS is_best, name IN (SELECT name FROM l) AS is_last, name IN (SELECT name FROM b) OR name IN (SELECT name FROM l) AS keep FROM m""")

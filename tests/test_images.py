@@ -194,6 +194,34 @@ def test_mixture(spark):
     assert sorted(round(r["mean"][0]) for r in fitted) == [0, 4] and sum(r["weight"] for r in fitted) == pytest.approx(1)
 
 
+def test_a_sweep_equals_fits_one_by_one(spark):
+    """All models in the same passes: each as a plain EM from the same start gives it, likelihood by SQL from the fitted table."""
+    import duckdb
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (80, 2)) for c in (0, 3, 6)])
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,), ([float("nan"), 1.0],)], "v array<double>").repartition(3)
+    fitted = models_sweep(df)
+    assert set(fitted) == {(1, 0), (1, 5), (3, 0), (3, 5)} and all(m.steps <= 40 for m in fitted.values())
+    for (k, seed), model in fitted.items():
+        alone = models_sweep(df, [k], [seed])[k, seed]
+        assert alone.likelihood == pytest.approx(model.likelihood) and alone.means == pytest.approx(model.means)
+        con = duckdb.connect()
+        con.execute("CREATE TABLE p AS SELECT * FROM (VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a, b in x.tolist()) + ") AS t(a, b)")
+        values = ", ".join(f"({w!r}::DOUBLE, {m[0]!r}::DOUBLE, {m[1]!r}::DOUBLE, {v[0][0]!r}::DOUBLE, {v[0][1]!r}::DOUBLE, {v[1][1]!r}::DOUBLE)" for w, m, v in zip(model.weights.tolist(), model.means.tolist(), model.covariances.tolist()))
+        likelihood = con.execute(f"""WITH c AS (SELECT *, s * u - r * r AS det FROM (VALUES {values}) AS t(w, ma, mb, s, r, u)), d AS (SELECT a, b, sum(w / (2 * pi() * sqrt(det)) *
+            exp(-0.5 * (u * (a - ma) * (a - ma) - 2 * r * (a - ma) * (b - mb) + s * (b - mb) * (b - mb)) / det)) AS f FROM p, c GROUP BY a, b) SELECT sum(ln(f)) FROM d""").fetchone()[0]
+        assert likelihood == pytest.approx(model.likelihood, abs=0.2)
+        if k == 1:
+            assert model.means[0] == pytest.approx(x.mean(axis=0)) and model.covariances[0] == pytest.approx(np.cov(x.T, bias=True), abs=1e-4)
+    assert min(fitted[3, s].criterion() for s in (0, 5)) < fitted[1, 0].criterion()
+    assert models_sweep(df.limit(0)) == {}
+
+
+def models_sweep(df, ks=(1, 3), seeds=(0, 5)):
+    return models.sweep_mixtures(df, "v", ks, seeds, max_iter=40)
+
+
 def test_spread_of_criteria(spark):
     rows = spark.createDataFrame([(2, 0, 1.0), (2, 1, 3.0), (2, 2, float("nan")), (3, 0, 5.0)], "k int, seed int, aic double")
     out = {r["k"]: tuple(r)[1:] for r in models.criterion_spread(rows).collect()}
