@@ -69,7 +69,7 @@ def _frequent(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
                 hashes = [s if fresh else s[:0] for s, fresh in zip(sets, new, strict=True)]
                 yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hashes).view(np.int64)), "fp": pa.array(np.repeat(prints, [len(h) for h in hashes]))})
 
-    counts = part.mapInArrow(run, "h long, fp long").repartition("h").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    counts = part.mapInArrow(run, "h long, fp long").distinct().groupBy("h").agg(F.count("*").alias("n"))  # a shingle of every page is counted in parts
     table = counts.filter(F.col("n") >= SEEN).orderBy(F.desc("n"), "h").limit(MOST).toArrow()
     hashes, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
     by_hash = np.argsort(hashes)
