@@ -93,39 +93,42 @@ def outline_spans(rows: DataFrame, skeleton: str, half_widths: Column, key: Sequ
     two corners with the quad before it. Corners, centres and radii are cut to whole numbers; a scan-line goes from the least to
     the greatest crossing with the sides, rounded. Spans may overlap. Quads with a missing corner (joints in one place) are left out.
     """
-    at = lambda name, i: F.element_at(name, (i + 1).cast("int"))
-    i = F.col("_i")
     body = rows.select(*key, F.col(skeleton).alias("_s"), half_widths.alias("_h"))
-    joints = body.withColumn("_i", F.explode(F.sequence(F.lit(2), F.size("_s") - 1)))
-
-    def across(i: Column, centre: Column, width: Column) -> list[Column]:
-        """Both ends of the side that stands at centre, across the line to joint i."""
-        dx, dy = at("_s", i)["x"] - at("_s", i - 2)["x"], at("_s", i)["y"] - at("_s", i - 2)["y"]
-        length = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
-        ox, oy = dy / length * width, -dx / length * width
-        whole = lambda v: v.cast("int")
-        return [F.struct(whole(centre["x"] + s * ox).alias("x"), whole(centre["y"] + s * oy).alias("y")) for s in (1, -1)]
-
-    first = across(F.lit(2), at("_s", F.lit(0)), at("_h", F.lit(1)))
-    before = across(i - 1, at("_s", i - 1), at("_h", i - 1))
-    here = across(i, at("_s", i), at("_h", i))
-    left, right = (F.when(i == 2, f).otherwise(b) for f, b in zip(first, before, strict=True))
-    quads = joints.select(*key, F.array(here[0], here[1], right, left).alias("_v"))
-    quads = quads.filter(~F.exists("_v", lambda p: p["x"].isNull() | p["y"].isNull()))
-    lines = quads.withColumn("y", F.explode(F.sequence(F.array_min(F.transform("_v", lambda p: p["y"])), F.array_max(F.transform("_v", lambda p: p["y"])))))
-    sides = [(F.col("_v")[k], F.col("_v")[(k + 1) % 4]) for k in range(4)]
-    crossing = []
-    for a, b in sides:
-        met = (F.col("y") >= F.least(a["y"], b["y"])) & (F.col("y") <= F.greatest(a["y"], b["y"]))
-        x = F.when(a["y"] == b["y"], a["x"]).otherwise(a["x"] + (b["x"] - a["x"]) * (F.col("y") - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0)))
-        crossing += [F.when(met, x.cast("double")), F.when(met & (a["y"] == b["y"]), b["x"].cast("double"))]
-    spans = lines.select(*key, "y", *[F.floor(f(*crossing) + 0.5).cast("int").alias(n) for n, f in (("x0", F.least), ("x1", F.greatest))])
+    joints = body.select(*key, "_s", "_h", F.explode(F.sequence(F.lit(1), F.size("_s") - 1)).alias("_i")).filter(F.size("_s") > 2)
+    # side 1 stands at the first joint, across the line to joint 2
+    to, at = F.greatest("_i", F.lit(2)), F.when(F.col("_i") == 1, 0).otherwise(F.col("_i"))
+    joint = lambda i: F.element_at("_s", (i + 1).cast("int"))
+    lines = joints.select(*key, "_i", joint(to).alias("p"), joint(to - 2).alias("q"), joint(at).alias("c"), F.element_at("_h", F.col("_i") + 1).alias("w"))
+    lines = lines.select(*key, "_i", (F.col("p.x") - F.col("q.x")).alias("dx"), (F.col("p.y") - F.col("q.y")).alias("dy"), "c", "w")
+    lines = lines.withColumn("length", F.nullif(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), F.lit(0.0)))
+    ox, oy = F.col("dy") / F.col("length") * F.col("w"), -F.col("dx") / F.col("length") * F.col("w")
+    corner = {f"{n}{axis}": (F.col(f"c.{axis}") + s * o).cast("int") for n, s in (("a", 1), ("b", -1)) for axis, o in (("x", ox), ("y", oy))}
+    sides = lines.select(*key, "_i", *[v.alias(n) for n, v in corner.items()])
+    along = Window.partitionBy(*key).orderBy("_i")  # the joints of one body
+    quads = sides.select(*key, "_i", *corner, *[F.lag(n).over(along).alias(f"{n}_") for n in corner]).filter("_i >= 2").dropna(subset=[*corner, *[f"{n}_" for n in corner]])
+    spans = scan_lines(quads.select(*key, *_corners(["ax", "bx", "bx_", "ax_"], ["ay", "by", "by_", "ay_"])), key)
     ends = body.select(*key, F.explode(F.array(*[F.struct(F.element_at("_s", k)["x"].cast("int").alias("x"), F.element_at("_s", k)["y"].cast("int").alias("y"), F.element_at("_h", k).cast("int").alias("r")) for k in (1, -1)])).alias("c"))
     discs = ends.filter("c.x is not null and c.y is not null and c.r is not null").select(*key, "c.*").withColumn("d", F.explode(F.sequence(-F.col("r"), F.col("r"))))
     reach = F.floor(F.sqrt(F.col("r") * F.col("r") - F.col("d") * F.col("d"))).cast("int")
     return spans.unionByName(discs.select(*key, (F.col("y") + F.col("d")).alias("y"), (F.col("x") - reach).alias("x0"), (F.col("x") + reach).alias("x1")))
 
 
+def _corners(xs: Sequence[str], ys: Sequence[str]) -> list[Column]:
+    return [F.col(n).alias(f"{axis}{k}") for axis, names in (("x", xs), ("y", ys)) for k, n in enumerate(names)]
+
+
+def scan_lines(quads: DataFrame, key: Sequence[str]) -> DataFrame:
+    """key, y, x0 and x1 (the last pixel) of the rows of pixels of convex quads with corners x0..x3, y0..y3 in whole numbers."""
+    ys = [F.col(f"y{k}") for k in range(4)]
+    named = quads.select(*key, *[F.col(f"{a}{k}").alias(f"_{a}{k}") for a in "xy" for k in range(4)], F.explode(F.sequence(F.least(*ys), F.greatest(*ys))).alias("y"))
+    crossing = []
+    for k in range(4):
+        (ax, ay), (bx, by) = ((F.col(f"_x{j}"), F.col(f"_y{j}")) for j in (k, (k + 1) % 4))
+        flat, met = ay == by, (F.col("y") >= F.least(ay, by)) & (F.col("y") <= F.greatest(ay, by))
+        crossing += [F.when(met, F.when(flat, ax).otherwise(ax + (bx - ax) * (F.col("y") - ay) / F.nullif(by - ay, F.lit(0))).cast("double")), F.when(met & flat, bx.cast("double"))]
+    return named.select(*key, "y", *[F.floor(f(*crossing) + 0.5).cast("int").alias(n) for n, f in (("x0", F.least), ("x1", F.greatest))])
+
+
 def span_area(spans: DataFrame, key: Sequence[str]) -> DataFrame:
     """key and n_pixels, each pixel counted once: on a row a span adds what lies beyond the spans before it."""
     row = Window.partitionBy(*key, "y").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
