@@ -13,7 +13,7 @@ from ..functions import angles as A
 from ..functions.aggregates import nan_mean
 from ..functions.arrow import resample_skeleton
 from ..functions.kernels import savgol_weights
-from ..operators import aggregations, alignment, blobs, headtail, models, sampling, timeseries
+from ..operators import aggregations, alignment, blobs, headtail, models, patches, sampling, timeseries
 from ..sources.toy import toy_features
 from . import commands
 from .views import FRAME_RATE, SERIES, WIDTHS, cosine_basis, losses, poses, poses_sql, series, table, widths
@@ -722,6 +722,23 @@ def outline_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.span_area(blobs.outline_spans(rows, "skeleton", half, ["video", "t"]), ["video", "t"])
 
 
+_CORNERS = ", ".join(f"round({e}{c} {s} p{c}, 5) + 0.0 AS {c}{k}" for c in "xy" for k, (e, s) in enumerate((("a", "+"), ("b", "+"), ("b", "-"), ("a", "-"))))
+
+
+@query(f"""WITH {poses_sql()}, {_points('theta', 'video, t', 'poses')}, moved AS (SELECT video, t, i, round(x, 6) AS x, round(y, 6) AS y FROM points),
+far AS (SELECT a.video, a.t, a.i, a.x, a.y, b.x AS fx, b.y AS fy FROM moved a JOIN moved b ON b.video = a.video AND b.t = a.t AND b.i = a.i + 4),
+laid AS (SELECT video, t, 61 - i AS place, x AS ax, y AS ay, fx AS bx, fy AS b_y, 6.0::DOUBLE + 0.05 * i AS w FROM far
+  UNION ALL SELECT video, t, 0, 2 * x - fx, 2 * y - fy, x, y, 6.0::DOUBLE FROM far WHERE i = 0 UNION ALL SELECT video, t, 1, fx, fy, 2 * fx - x, 2 * fy - y, 6.0::DOUBLE + 0.05 * 60 FROM far WHERE i = 59),
+across AS (SELECT *, -(b_y - ay) / nullif(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0) * (w / 2) AS px, (bx - ax) / nullif(sqrt((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)), 0) * (w / 2) AS py FROM laid)
+SELECT video, t, CAST(place AS INTEGER) AS place, {_CORNERS.replace("by ", "b_y ")} FROM across""")
+def body_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the patches along each pose's body, in drawing order."""
+    plain = F.transform("skeleton", lambda p: F.struct(F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y")))
+    rows = _skeletons(spark, sf_dir).select("video", "t", plain.alias("skeleton"))
+    corners = patches.body_patches(rows, "skeleton", F.transform("skeleton", lambda p, i: 6.0 + 0.05 * i), ["video", "t"])
+    return corners.select("video", "t", "place", *[(F.round(n, 5) + 0.0).alias(n) for n in corners.columns[3:]])
+
+
 # --- attributes, columns and sources
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from posespark.functions import images
-from posespark.operators import blobs
+from posespark.operators import blobs, patches
 
 
 def _table(spark, frames):
@@ -51,3 +51,33 @@ def test_outline_of_a_straight_body(spark):
     assert seen[1] == disc  # joints in one place have no quads
     assert seen[0] == {(y, x) for y in range(17, 24) for x in range(10, 41)} | disc | {(y, x + 30) for y, x in disc}
     assert {r["t"]: r["n_pixels"] for r in blobs.span_area(spans, ["video", "t"]).collect()} == {t: len(s) for t, s in seen.items()}
+
+
+def test_a_body_drawn_from_itself(spark):
+    """Every pixel of a patch looks itself up where both postures are the same; values are those of the image."""
+    rng = np.random.default_rng(9)
+    image = rng.integers(1, 255, (40, 60)).astype(np.uint8)
+    points = [{"x": 10.0 + i, "y": 20.0 + (i % 3)} for i in range(40)]
+    rows = spark.createDataFrame([("v", 0, points)], "video string, frame_index int, s array<struct<x:double,y:double>>")
+    key = ["video", "frame_index"]
+    width = F.array_repeat(F.lit(8.0), 40)
+    own = patches.body_patches(rows, "s", width, key)
+    pixels = patches.patch_pixels(own.join(patches.body_patches(rows, "s", width, key, name="from_"), [*key, "place"]), key)
+    found = pixels.collect()
+    assert len({r["place"] for r in found}) == 40 and all((r["y"], r["x"]) == (r["source_y"], r["source_x"]) for r in found)
+    drawn = patches.draw_patches(pixels, _table(spark, [image]), key, key).collect()
+    inside = {(r["y"], r["x"]) for r in found if 0 <= r["y"] < 40 and 0 <= r["x"] < 60}
+    assert {(r["y"], r["x"]) for r in drawn} == inside and all(abs(r["value"] - int(image[r["y"], r["x"]])) <= 1 for r in drawn)
+
+
+def test_a_body_moved_and_overlaid(spark):
+    """A body two rows lower looks up two rows higher; patches over a pixel are averaged in their order, and the order may be turned."""
+    rows = spark.createDataFrame([("v", 0, [{"x": 5.0 + i, "y": 10.0} for i in range(20)], [{"x": 5.0 + i, "y": 12.0} for i in range(20)])], "video string, frame_index int, s array<struct<x:double,y:double>>, m array<struct<x:double,y:double>>")
+    key, width = ["video", "frame_index"], F.array_repeat(F.lit(4.0), 20)
+    pair = patches.body_patches(rows, "m", width, key).join(patches.body_patches(rows, "s", width, key, name="from_"), [*key, "place"])
+    assert {(r["y"] - r["source_y"], r["x"] - r["source_x"]) for r in patches.patch_pixels(pair, key).collect()} == {(2, 0)}
+    head, tail = ({r["place"]: r["x0"] for r in patches.body_patches(rows, "s", width, key, on_top).collect()} for on_top in (True, False))
+    assert head[0] == tail[0] == 4.0 and head[1] == tail[1] and [head[p] for p in range(2, 21)] == [tail[p] for p in range(20, 1, -1)] == [float(x) for x in range(23, 4, -1)]
+    pixels = spark.createDataFrame([("v", 0, 2, 1, 1, 0, 0), ("v", 0, 5, 1, 1, 0, 1), ("v", 0, 3, 1, 1, 0, 2), ("v", 0, 9, 1, 1, 7, 7)], "video string, frame_index int, place int, y int, x int, source_y int, source_x int")
+    source = spark.createDataFrame([("v", 0, 0, 0, 100), ("v", 0, 0, 1, 50), ("v", 0, 0, 2, 0)], "video string, frame_index int, y int, x int, value int")
+    assert patches.draw_patches(pixels, source, key, key).first()["value"] == 75
