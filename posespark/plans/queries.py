@@ -14,7 +14,7 @@ from ..functions.aggregates import nan_mean
 from ..functions.arrow import resample_skeleton
 from ..functions.kernels import savgol_weights
 from ..operators import aggregations, alignment, blobs, headtail, models, patches, sampling, timeseries
-from ..sources.toy import toy_features
+from ..sources.toy import toy_features_of
 from . import commands
 from .views import FRAME_RATE, SERIES, WIDTHS, cosine_basis, losses, poses, poses_sql, series, table, widths
 
@@ -574,8 +574,10 @@ def evaluation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def template_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws with replacement: a template and whether it is turned, by hash of the sample's number."""
-    return spark.range(1000).select("id", sampling.choice(7, 500, "id").alias("template"), sampling.choice(8, 2, "id").alias("turned"))
+    """Draws with replacement for each event: one of its user's frames as a template, and whether it is turned, by hash of the event's number."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
+    return rows.join(sizes, "user_id").select(F.col("event_id").alias("id"), sampling.choice(7, F.col("n"), "event_id").alias("template"), sampling.choice(8, 2, "event_id").alias("turned"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS name, o_totalprice AS val_loss FROM orders ORDER BY o_totalprice, CAST(o_orderkey AS VARCHAR) DESC LIMIT 5""")
@@ -778,10 +780,12 @@ def single_entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", "o_orderkey", (F.col(column_like(rows, "price", "total")) * 0.5).alias("width"))
 
 
-@query("""SELECT CAST(f AS INTEGER) AS frame_index, CAST(j AS INTEGER) AS joint, CAST(trunc(50 + 25 * cos(radians(f + j * 180.0::DOUBLE / 49))) AS DOUBLE) AS x, CAST(trunc(50 - 33 * sin(radians(f + j * 180.0::DOUBLE / 49))) AS DOUBLE) AS y
-FROM range(500) AS a(f), range(50) AS b(j)""")
+@query(f"""WITH {poses_sql()} SELECT video, t AS frame_index, CAST(j AS INTEGER) AS joint, CAST(trunc(50 + 25 * cos(radians(t + j * 180.0::DOUBLE / 49))) AS DOUBLE) AS x, CAST(trunc(50 - 33 * sin(radians(t + j * 180.0::DOUBLE / 49))) AS DOUBLE) AS y
+FROM poses, range(50) AS b(j)""")
 def toy_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toy_features(spark).select("frame_index", F.posexplode("skeleton").alias("joint", "p")).select("frame_index", "joint", "p.x", "p.y")
+    """The body of known shape for each frame of each video of the poses."""
+    features = toy_features_of(poses(spark, sf_dir).select("video", F.col("t").alias("id")))
+    return features.select("video", "frame_index", F.posexplode("skeleton").alias("joint", "p")).select("video", "frame_index", "joint", "p.x", "p.y")
 
 
 @query()

@@ -15,12 +15,17 @@ FRAME_RATE, WIDTH, SIDE = 30.0, 5.0, 100
 
 def toy_features(spark: SparkSession, num_frames: int = 500, num_joints: int = 50, video: str = "toy") -> DataFrame:
     """video, frame_index, timestamp, skeleton (whole-number points), three widths, frame_rate, ventral_side."""
+    return toy_features_of(spark.range(num_frames).select(F.lit(video).alias("video"), "id"), num_joints)
+
+
+def toy_features_of(frames: DataFrame, num_joints: int = 50) -> DataFrame:
+    """The same for the frames (video, id) of a table."""
     step = 180.0 / (num_joints - 1)
     angle = lambda j: F.radians(F.col("id") + j * F.lit(step))
     whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")
     point = lambda j: F.struct(whole(50 + 25 * F.cos(angle(j))).alias("x"), whole(50 - 33 * F.sin(angle(j))).alias("y"))
-    return spark.range(num_frames).select(
-        F.lit(video).alias("video"), F.col("id").cast("int").alias("frame_index"), F.col("id").alias("timestamp"),
+    return frames.select(
+        "video", F.col("id").cast("int").alias("frame_index"), F.col("id").cast("long").alias("timestamp"),
         F.transform(F.sequence(F.lit(0), F.lit(num_joints - 1)), point).alias("skeleton"),
         *[F.lit(WIDTH).alias(f"{part}_width") for part in ("head", "midbody", "tail")],
         F.lit(FRAME_RATE).alias("frame_rate"), F.lit("unknown").alias("ventral_side"),
