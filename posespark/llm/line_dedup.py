@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import Scratch, cut
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 8
@@ -101,7 +101,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
 
     A site is a value of `source`. Lines are compared without white space at their
     ends; lines without a word are never removed. The lines' hashes are written once
-    to the shared folder. A document's boilerplate lines are gathered by doc_id and
+    to the shared folder, and deleted when the boilerplate of each document is known. A document's boilerplate lines are gathered by doc_id and
     hash of the text (as many as the document has lines), never a line's documents;
     texts move once, to meet them.
 
@@ -111,9 +111,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int =
     rows; extra columns are ignored.
     """
     docs = docs.select("doc_id", "source", "text")
-    keys = written(line_keys(docs), "lines")
-    found = boilerplate_lines(keys, line_spread(keys, min_sites, lg_k, near))
-    per_doc = found.distinct().groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("h1", "h2")).alias("bad"))
+    with Scratch(docs.sparkSession) as tables:
+        keys = tables.write(line_keys(docs), "lines")
+        found = boilerplate_lines(keys, line_spread(keys, min_sites, lg_k, near))
+        per_doc = cut(found.distinct().groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("h1", "h2")).alias("bad")))
     same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_hash"))
     met = docs.select("doc_id", "text").join(per_doc, same, "left")
     kind = dict(docs.dtypes)["doc_id"]
