@@ -745,7 +745,7 @@ def body_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT count(*) AS n, CAST(len(embedding) AS INTEGER) AS dims, label, round(sum(list_sum(list_transform(embedding, lambda x: x::DOUBLE))), 4) + 0.0 AS total,
-round(sum(embedding[1]::DOUBLE + vec_id % 100), 4) AS flipped FROM embeddings GROUP BY label, len(embedding)""")
+round(sum(CAST(embedding[1]::DOUBLE + vec_id % 100 AS FLOAT)::DOUBLE), 4) AS flipped FROM embeddings GROUP BY label, len(embedding)""")
 def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled samples written as record files and read again; the image holds the label's number."""
     from ..operators.lineage import cut, remove, shared_dir
@@ -753,7 +753,7 @@ def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/records-{uuid4().hex}"
     rows = table(spark, sf_dir, "embeddings")
-    other = F.transform("embedding", lambda x: (x + (F.col("vec_id") % 100)).cast("float"))
+    other = F.transform("embedding", lambda x: (x.cast("double") + F.col("vec_id") % 100).cast("float"))
     write_records(rows.select(F.col("label").cast("string").cast("binary").alias("image"), F.col("embedding").alias("label0"), other.alias("label1")), path)
     total = F.aggregate("label0", F.lit(0.0), lambda a, x: a + x.cast("double"))
     back = read_records(spark, path).groupBy(F.col("data").cast("string").cast("int").alias("label"), F.size("label0").alias("dims"))
