@@ -37,13 +37,14 @@ def nearest_template(frames: DataFrame, is_template: Column, key: str = "video",
 def tick_lookup(ticks: DataFrame, frames: DataFrame, key: str = "video", tick: str = "t", ts: str = "tick", order: str = "frame_index", first: bool = False) -> DataFrame:
     """Ticks joined with the frames whose timestamp, from the series' first on, is that tick.
 
-    All frames of a tick, or the first only.
+    All frames of a tick, or the first only. The join is by sorting: ticks made from bounds look as small as the bounds to
+    the planner, which would send all of them to every task.
     """
     start = frames.groupBy(key).agg(F.min(ts).alias("_start"))
     placed = frames.join(start, key).withColumn(tick, (F.col(ts) - F.col("_start")).cast("int")).drop("_start")
     if first:
         placed = placed.groupBy(key, tick).agg(F.min(order).alias(order))
-    return ticks.select(key, tick).join(placed, [key, tick])
+    return ticks.select(key, tick).hint("merge").join(placed, [key, tick])
 
 
 def closest_flip(predicted: Column, label: Column) -> Column:

@@ -26,12 +26,14 @@ def dense_resample(rows: DataFrame, values: Sequence[str], key: str = "video", t
     """A row for every tick from 0 to last - first of each series; null where none was seen.
 
     Of several rows with a tick the one latest in order counts. Ticks are made in two steps, pieces and then their
-    ticks, so that a series of any length is no single array and its ticks are made by many tasks.
+    ticks, so that a series of any length is no single array and its ticks are made by many tasks: the pieces are dealt out by
+    number, since rows as few as they are would be put together into one task.
     """
     last = rows.groupBy(key, tick).agg(F.max_by(F.struct(*values), order).alias("v"))
     bounds = rows.groupBy(key).agg(F.min(tick).alias("lo"), F.max(tick).alias("hi"))
     most = (F.col("hi") - F.col("lo")).cast("int")
-    pieces = bounds.select(key, "lo", most.alias("most"), F.explode(F.sequence(F.lit(0), F.floor(most / PIECE).cast("int"))).alias("_piece")).repartition(key, "_piece")
+    pieces = bounds.select(key, "lo", most.alias("most"), F.explode(F.sequence(F.lit(0), F.floor(most / PIECE).cast("int"))).alias("_piece"))
+    pieces = pieces.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_piece")
     first = F.col("_piece") * PIECE
     every = pieces.select(key, "lo", F.explode(F.sequence(first, F.least(F.col("most"), first + (PIECE - 1)))).alias("t"))
     placed = every.select(key, "t", (F.col("t") + F.col("lo")).alias(tick))

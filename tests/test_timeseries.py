@@ -192,6 +192,20 @@ def test_a_long_video_is_linear_and_has_no_window_over_it(spark):
         assert over_frames == []
 
 
+def test_made_ticks_are_not_broadcast(spark):
+    """Two frames a video with many ticks between them: the ticks do not go to every task."""
+    rows = spark.range(40).select((F.col("id") % 20).alias("video"), F.floor(F.col("id") / 20).cast("int").alias("frame_index"), (F.floor(F.col("id") / 20) * 5000 + F.col("id") % 20).cast("int").alias("tick"))
+    met = alignment.tick_lookup(timeseries.dense_resample(rows, ["frame_index"]), rows)
+    assert sorted((r["video"], r["t"], r["frame_index"]) for r in met.collect()) == [(v, 5000 * i, i) for v in range(20) for i in (0, 1)]
+    plan = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    made = [i for i, line in enumerate(plan) if "Generate explode" in line]
+    assert made
+    for i in made:
+        above = [j for j in range(i) if all(depth[j] < d for d in depth[j + 1 : i + 1])]
+        assert not any("BroadcastExchange" in plan[j] for j in above)
+
+
 @pytest.mark.parametrize("piece", [3, 7, 1000])
 def test_pieces_carry_over(spark, piece):
     """Lags and running totals over pieces equal those over whole series; null keys and values included."""
