@@ -173,18 +173,20 @@ def carried_fill(rows: DataFrame, value: Column, keys: Sequence[str], order: Seq
     return meet_pieces(placed, edges.drop("_first", "_last"), [*keys, "_piece"]).withColumns(columns).select(*rows.columns, *columns)
 
 
+def _turn(before: Column, now: Column) -> Column:
+    """What the angle now is turned by, so that it is less than half a turn from the one before."""
+    step = now - before
+    turned = (step + pi) - 2 * pi * F.floor((step + pi) / (2 * pi)) - pi
+    turned = F.when((turned == -pi) & (step > 0), F.lit(pi)).otherwise(turned)
+    return F.coalesce(F.when(F.abs(step) < pi, 0.0).otherwise(turned - step), F.lit(0.0))
+
+
 def unwrap(rows: DataFrame, angle: str, keys: Sequence[str], order: Sequence[str], out: str = "unwrapped") -> DataFrame:
     """Adds the angle without jumps of a whole turn along the order; rows are the valid samples only.
 
     order[0] is a frame number; a long series is unwrapped in pieces, in one pass.
     """
-    def turn(before: Column, now: Column) -> Column:
-        step = now - before
-        turned = (step + pi) - 2 * pi * F.floor((step + pi) / (2 * pi)) - pi
-        turned = F.when((turned == -pi) & (step > 0), F.lit(pi)).otherwise(turned)
-        return F.coalesce(F.when(F.abs(step) < pi, 0.0).otherwise(turned - step), F.lit(0.0))
-
-    return carried_steps(rows, F.col(angle), turn, keys, order, "_turns").withColumn(out, F.col(angle) + F.col("_turns")).select(*rows.columns, out)
+    return carried_steps(rows, F.col(angle), _turn, keys, order, "_turns").withColumn(out, F.col(angle) + F.col("_turns")).select(*rows.columns, out)
 
 
 def frame_major_unwrap(frames: DataFrame, theta: str = "theta", key: str = "video", order: str = "t") -> DataFrame:
@@ -193,12 +195,28 @@ def frame_major_unwrap(frames: DataFrame, theta: str = "theta", key: str = "vide
     return unwrap(flat, "angle", [key], [order, "dim"])
 
 
+def unwrapped_frames(frames: DataFrame, theta: str = "theta", key: str = "video", order: str = "frame_index", out: str = "unwrapped") -> DataFrame:
+    """key, order and the angles as frame_major_unwrap() turns them, a row a frame; frames without angles are left out.
+
+    Turns along the body stay in their row, and what is carried from frame to frame is one number.
+    """
+    body = frames.filter(F.size(theta) > 0).select(key, order, F.col(theta).cast("array<double>").alias("_theta"))
+    steps = F.transform("_theta", lambda a, i: F.when(i == 0, 0.0).otherwise(_turn(F.get("_theta", i - 1), a)))
+    added = lambda sums, step: F.array_append(sums, F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0.0)) + step)
+    body = body.withColumn("_along", F.aggregate(steps, F.array().cast("array<double>"), added))
+    ends = F.struct(F.element_at("_theta", 1).alias("first"), F.element_at("_theta", -1).alias("last"), F.element_at("_along", -1).alias("turns"))
+    carried = carried_steps(body, ends, lambda before, now: before["turns"] + _turn(before["last"], now["first"]), [key], [order], "_turns")
+    return carried.select(key, order, F.zip_with("_theta", "_along", lambda a, t: a + (F.col("_turns") + t)).alias(out))
+
+
 def smooth(
     rows: DataFrame, value: str, window: int = SMOOTH_WINDOW, poly: int = SMOOTH_ORDER, keys: Sequence[str] = ("video", "segment_start"), order: str = "frame_index",
     out: str = "smoothed", piece: int = PIECE, bounds: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Savitzky-Golay smoothing within groups of consecutive frames; null in groups shorter than the window.
 
+    The value is a number, or an array of equally many numbers in all rows of a group.
+
     Inner samples take the middle weights, the ends of a group those of the first or
     last full window's polynomial: all are sums over neighbours at fixed offsets.
     An even window counts as the next odd one. A group is smoothed in pieces: each carries the rows within a
@@ -227,12 +245,18 @@ def smooth(
         met = meet_pieces(spread, ends, group)
     met = met.withColumn("_at", F.col(order) - F.col("_lo"))
     along = Window.partitionBy(*group).orderBy(order)
+    met = met.withColumns({f"_near{k}": F.lead(value, k).over(along) for k in range(1 - window, window)})
 
-    def fitted(place: int) -> Column:
-        total = F.lit(0.0)
+    def total(place: int, near: Callable[[int], Column]) -> Column:
+        out = F.lit(0.0)
         for j in range(window):
-            total = total + F.lit(float(weights[place][j])) * F.lead(value, j - place).over(along)
-        return total
+            out = out + F.lit(float(weights[place][j])) * near(j - place)
+        return out
+
+    def fitted(place: int) -> Column:
+        if not dict(rows.dtypes)[value].startswith("array"):
+            return total(place, lambda k: F.col(f"_near{k}"))
+        return F.transform(value, lambda _, d: total(place, lambda k: F.get(f"_near{k}", d)))
 
     result = fitted(half)
     for p in range(half):
@@ -248,8 +272,15 @@ def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "se
     Samples outside the known ones stay null (strict: an error), as do groups of fewer
     than four. A long group is fitted in chunks of CHUNK_KNOTS that overlap by
     OVERLAP_KNOTS on either side, so no task holds a whole series.
+
+    The value is a number, or an array of one length in a group. Each place of an array has its own known samples and is filled as a
+    number is; places with the same ones are fitted in one go. Chunks are counted in rows that are known in all places.
     """
-    marked = carried_sum(rows, F.col(value).isNotNull().cast("long"), keys, [order], "_knots")
+    wide = dict(rows.dtypes)[value].startswith("array")
+    knot = F.col(value).isNotNull()
+    if wide:
+        knot = knot & ~F.coalesce(F.exists(value, lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+    marked = carried_sum(rows, knot.cast("long"), keys, [order], "_knots")
     marked = marked.withColumn("_knot", F.greatest(F.col("_knots") - 1, F.lit(0))).drop("_knots")
     chunk = F.floor(F.col("_knot") / CHUNK_KNOTS)
     at = F.col("_knot") % CHUNK_KNOTS
@@ -262,16 +293,15 @@ def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "se
 
     def filled(part: pd.DataFrame) -> pd.DataFrame:
         """Whole groups, one after the other."""
-        y, at = part[value].to_numpy(float), part[order].to_numpy(float)
-        known, result = ~np.isnan(y), np.full(len(part), np.nan)
+        values, at = part[value].to_numpy(), part[order].to_numpy(float)
+        result: list = [None] * len(part)
         bounds = [*_starts(part, group), len(part)]
         for a, b in zip(bounds, bounds[1:], strict=False):
-            here = known[a:b]
-            if here.sum() >= 4:
-                result[a:b] = not_a_knot(at[a:b][here], y[a:b][here], at[a:b])
-        if strict and np.isnan(result).any():
+            y = _rows_of(values[a:b]) if wide else values[a:b].astype(float)[:, None]
+            result[a:b] = _filled(at[a:b], y) if y.shape[1] else [None] * (b - a)
+        if strict and any(r is None or np.isnan(r).any() for r in result):
             raise ValueError("samples outside the spline's knots")
-        part[out] = result
+        part[out] = result if wide else np.array([r[0] for r in result], dtype=float)
         return part.loc[part["_own"], names]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,9 +315,31 @@ def spline_fill(rows: DataFrame, value: str, keys: Sequence[str] = ("video", "se
         if held is not None and len(held):
             yield filled(held.copy())
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + f", `{out}` {'array<double>' if wide else 'double'}"
     placed = spread.repartition(*group).sortWithinPartitions(*group, order)
-    return placed.mapInPandas(run, schema).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    number = lambda v: F.when(~F.isnan(v), v)
+    return placed.mapInPandas(run, schema).withColumn(out, F.transform(out, number) if wide else number(F.col(out)))
+
+
+def _rows_of(arrays: np.ndarray) -> np.ndarray:
+    """A row for each array, missing where there is none."""
+    some = [a is not None for a in arrays]
+    known = np.array([a for a in arrays if a is not None], dtype=float)
+    y = np.full((len(arrays), known.shape[1] if known.ndim == 2 else 0), np.nan)
+    if any(some):
+        y[some] = known
+    return y
+
+
+def _filled(at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Splines through the known samples of each column, missing in columns of fewer than four."""
+    known, result = ~np.isnan(y), np.full(y.shape, np.nan)
+    alike = bool((known == known[:, :1]).all())
+    for columns in [slice(None)] if alike else [slice(k, k + 1) for k in range(y.shape[1])]:
+        here = known[:, columns][:, 0]
+        if here.sum() >= 4:
+            result[:, columns] = not_a_knot(at[here], y[here, columns], at)
+    return result
 
 
 def _starts(part: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:

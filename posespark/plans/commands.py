@@ -116,19 +116,18 @@ def post_process(
     frame are left out. Raw angles stay as they came; interp and smooth are unwrapped.
     """
     rows = resolved.select("video", F.col("t").cast("int").alias("frame_index"), "theta")
-    known = rows.filter("theta is not null").select("video").distinct()
-    rows = rows.join(known, "video", "left_semi")
+    most = rows.filter("theta is not null").groupBy("video").agg(F.max(F.size("theta")).alias("_most"))
+    rows = rows.join(most, "video")
     segments = timeseries.valid_segments(rows, F.col("theta").isNotNull(), max_gap, min_segment)
-    flat = timeseries.frame_major_unwrap(rows.filter("theta is not null"), "theta", "video", "frame_index").select("video", "frame_index", "dim", "unwrapped")
-    dims = flat.groupBy("video").agg(F.max("dim").alias("most"))
-    inside = timeseries.in_segments(rows.select("video", "frame_index"), segments).join(dims, "video")
-    every = inside.select("video", "frame_index", "segment_start", "segment_end", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("dim"))
-    keys = ["video", "segment_start", "dim"]
-    filled = timeseries.spline_fill(every.join(flat, ["video", "frame_index", "dim"], "left"), "unwrapped", keys)
+    inside = timeseries.in_segments(rows.select("video", "frame_index", "_most"), segments).filter("_most > 0")
+    padded = F.transform(F.sequence(F.lit(0), F.col("_most") - 1), lambda i: F.get("unwrapped", i))
+    unwrapped = F.when(F.size("unwrapped") == F.col("_most"), F.col("unwrapped")).when(F.col("unwrapped").isNotNull(), padded)
+    every = inside.join(timeseries.unwrapped_frames(rows), ["video", "frame_index"], "left").withColumn("unwrapped", unwrapped).drop("_most")
+    keys = ["video", "segment_start"]
+    filled = timeseries.spline_fill(every, "unwrapped", keys).drop("unwrapped")
     smoothed = timeseries.smooth(filled, "filled", window, order, keys, bounds=("segment_start", "segment_end"))
-    gathered = smoothed.groupBy("video", "frame_index").agg(F.sort_array(F.collect_list(F.struct("dim", "filled", "smoothed"))).alias("s"))
-    whole = lambda name: F.when(~F.exists("s", lambda x: x[name].isNull()), F.transform("s", lambda x: x[name]))
-    out = rows.join(gathered, ["video", "frame_index"], "left").select("video", F.col("frame_index").alias("t"), F.col("theta").alias("raw"), whole("filled").alias("interp"), whole("smoothed").alias("smooth"))
+    whole = lambda name: F.when(~F.exists(name, lambda x: x.isNull()), F.col(name))
+    out = rows.join(smoothed, ["video", "frame_index"], "left").select("video", F.col("frame_index").alias("t"), F.col("theta").alias("raw"), whole("filled").alias("interp"), whole("smoothed").alias("smooth"))
     names = ("raw", "interp", "smooth")
     if ventral_side is not None:
         out = out.withColumns({n: A.dorsal_ventral_flip(F.col(n), ventral_side) for n in names})

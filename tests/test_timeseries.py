@@ -126,6 +126,32 @@ def test_post_processing(spark):
     assert out[12]["modes_smooth"] == pytest.approx([0], abs=1e-6)
 
 
+def test_frames_are_processed_whole(spark, monkeypatch):
+    """Angles stay in one row a frame: turned, filled and smoothed as a row an angle is, missing angles and short frames included."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(timeseries, "CHUNK_KNOTS", 70)
+    body = lambda t: [float(a) for a in rng.uniform(-9, 9, 3)]
+    odd = {12: None, 13: None, 20: [1.0, None, 2.0], 31: [0.5, 4.0], 40: [], 57: [3.0, 1.0, None]}
+    rows = spark.createDataFrame([(v, t, odd[t] if t in odd else body(t)) for v in ("v", "w") for t in range(120)], "video string, t int, theta array<double>").repartition(3)
+    flat = timeseries.frame_major_unwrap(rows.filter("theta is not null"))
+    want = {(r["video"], r["t"], r["dim"]): r["unwrapped"] for r in flat.collect()}
+    got = {(r["video"], r["t"], d): a for r in timeseries.unwrapped_frames(rows, order="t").collect() for d, a in enumerate(r["unwrapped"])}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    values = [("v", 0, 120, t, d, want.get(("v", t, d))) for t in range(120) for d in range(3)]
+    single = spark.createDataFrame(values, "video string, segment_start int, segment_end int, frame_index int, dim int, a double")
+    filled = timeseries.spline_fill(single, "a", ["video", "segment_start", "dim"])
+    smoothed = timeseries.smooth(filled, "filled", keys=["video", "segment_start", "dim"], bounds=("segment_start", "segment_end"))
+    of = {(r["frame_index"], r["dim"]): (r["filled"], r["smoothed"]) for r in smoothed.collect()}
+    processed = commands.post_process(rows)
+    out = {r["t"]: r for r in processed.filter("video = 'v'").collect()}
+    assert len(out) == 120 and sum(r["smooth"] is not None for r in out.values()) > 90
+    for t, r in out.items():
+        for k, name in enumerate(("interp", "smooth")):
+            each = [of[t, d][k] for d in range(3)]
+            assert r[name] == (None if None in each else pytest.approx(each))
+    assert "posexplode" not in processed._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("piece", [5, 16, 1000])
 def test_runs_segments_and_templates_over_pieces(spark, monkeypatch, piece):
     monkeypatch.setattr(timeseries, "PIECE", piece)
